@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     """Groups of near-duplicate documents.
 
     ``docs`` needs doc_id (long) and text; other columns are ignored. Returns a row per row of
-    ``docs``: doc_id, n_shingles, component_id, kept. Documents are linked when
+    ``docs``: doc_id, n_shingles, component_id, kept and text_key (the text's MD5). Documents are linked when
     ``100 * |A & B| >= percent * |A | B|`` over their shingle sets, component_id is the smallest doc_id
     reachable over links, kept says that this is the document's own.
 
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     groups = groups.join(first, "root").select("vid", "component_id")
     out = sketched.select("doc_id", "vid", F.col("n").alias("n_shingles")).join(groups, "vid", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"))
+    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), F.col("vid").alias("text_key"))
 
 
 def _across(hits: DataFrame, labels: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:

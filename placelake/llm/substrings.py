@@ -9,6 +9,8 @@ suffixes (the region's fingerprint), equal regions are neighbours: whole regions
 are settled there. Only regions that share a parse suffix but not the region itself, at the rims of
 repeated passages, go on to a comparison window by window. Fingerprints of 64 bits stand in for
 ranks; the order is range-partitioned, so that a passage in a third of all texts is spread too.
+Before single windows are compared, such a region is ordered once more in blocks of BLOCK windows,
+by what the block's windows share and by all that they cover.
 
 Windows without any trigger, which are rare or periodic, are compared one by one as well.
 """
@@ -28,14 +30,15 @@ from placelake.llm.shared import binary_column, byte_arrays, chunks, write_table
 TRIGGER = 16
 TRIGGER_BITS = 6
 """A trigger starts at one position in 2**6."""
-SPAN, EMIT, KNOWN = 0, 1, 2
-"""What becomes of a region: all of it is repeated; its windows are looked for; they are known to be repeated, others look for them."""
+BLOCK = 20
+SPAN, EMIT = 0, 1
+"""What becomes of a region: all its windows are repeated, or some may be."""
 
 _NO_ID = -(2**63)
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """The regions of a batch of texts: row, key (parse suffix), region (dictionary suffix), lo and n of its windows; n is negative where no trigger names them."""
+    """The regions of a batch of texts: row, key (parse suffix), region (dictionary suffix), lo and n of its windows, and the trigger's place, -1 where no trigger names them."""
     sums, half, n = bh.prefix_sums(data), width // 2, len(data)
     first, last = offsets[:-1], offsets[1:]
     at = np.flatnonzero((bh.window_hash(sums, TRIGGER) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TRIGGER_BITS) == 0)
@@ -51,12 +54,12 @@ def parse(data: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.nda
     ok = a <= hi
     t, x, y = at[ok], a[ok], hi[ok]
     key = bh.range_hash(sums, t, t + half)
-    out.append((row[ok], key, bh.range_hash(sums, x, y + width) + (t - x).astype(np.uint64), x, y - x + 1))
+    out.append((row[ok], key, bh.range_hash(sums, x, y + width) + (t - x).astype(np.uint64), x, y - x + 1, t - first[row[ok]]))
     z = np.minimum(hi, at - half - 1)
     ok = lo <= z
     t, x, y = at[ok], lo[ok], z[ok]
     key = ~bh.range_hash(sums, t - half, t + TRIGGER)
-    out.append((row[ok], key, bh.range_hash(sums, x, y + width) + (t - x).astype(np.uint64), x, y - x + 1))
+    out.append((row[ok], key, bh.range_hash(sums, x, y + width) + (t - x).astype(np.uint64), x, y - x + 1, t - first[row[ok]]))
 
     # windows that hold no trigger: before each trigger, and after the last one of a text
     final = first - 1
@@ -67,9 +70,9 @@ def parse(data: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.nda
     r = np.concatenate([row, rows])
     ok = x <= y
     r, x, y = r[ok], x[ok], y[ok]
-    out.append((r, bh.mix(x.astype(np.uint64) ^ (sums[np.minimum(x + 8, n)] * np.uint64(3))), x.astype(np.uint64), x, -(y - x + 1)))
-    row, key, region, lo, n = (np.concatenate(c) for c in zip(*out, strict=True))
-    return {"row": row, "key": key, "region": region, "lo": lo - first[row] if len(row) else lo, "n": n}
+    out.append((r, bh.mix(x.astype(np.uint64) ^ (sums[np.minimum(x + 8, n)] * np.uint64(3))), x.astype(np.uint64), x, y - x + 1, np.full(len(x), -1)))
+    row, key, region, lo, n, at = (np.concatenate(c) for c in zip(*out, strict=True))
+    return {"row": row, "key": key, "region": region, "lo": lo - first[row] if len(row) else lo, "n": n, "at": at}
 
 
 def _regions(width: int):
@@ -78,7 +81,7 @@ def _regions(width: int):
             for part in chunks(batch, "text"):
                 r = parse(*byte_arrays(part.column("text")), width)
                 take = pa.array(r["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64)), pa.array(r["region"].view(np.int64)), part.column("id").take(take), part.column("h").take(take), pa.array(r["lo"], pa.int32()), pa.array(r["n"], pa.int32())], ["key", "region", "id", "h", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64)), pa.array(r["region"].view(np.int64)), part.column("id").take(take), part.column("h").take(take), *(pa.array(r[c], pa.int32()) for c in ("lo", "n", "at"))], ["key", "region", "id", "h", "lo", "n", "at"])
 
     return run
 
@@ -87,7 +90,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over regions in order: what becomes of each, from the one before and the one after it. The rims of a partition are looked for."""
 
     def judge(x: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
-        key, region, n = (x.column(c).to_numpy() for c in ("key", "region", "n"))
+        key, region, at = (x.column(c).to_numpy() for c in ("key", "region", "at"))
         same_key = np.ones(len(key) + 1, bool)
         same = np.zeros(len(key) + 1, bool)
         same_key[1:-1] = key[1:] == key[:-1]
@@ -96,16 +99,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same_key[0], same[0] = key[0] == before[0], (key[0], region[0]) == before
         if after:
             same_key[-1], same[-1] = key[-1] == after[0], (key[-1], region[-1]) == after
-        again = same[:-1] | same[1:]
-        rim = (same_key[:-1] & ~same[:-1]) | (same_key[1:] & ~same[1:])
-        bare = n < 0
-        rows, kind = [], []
-        for mask, k in ((again & ~bare, SPAN), ((~again & rim) | bare, EMIT), (again & rim & ~bare, KNOWN)):
-            rows.append(np.flatnonzero(mask))
-            kind.append(np.full(len(rows[-1]), k, np.int32))
-        take = np.concatenate(rows)
-        y = x.take(pa.array(take))
-        return pa.RecordBatch.from_arrays([y.column("id"), y.column("h"), y.column("lo"), pa.array(np.abs(n[take])), pa.array(np.concatenate(kind))], ["id", "h", "lo", "n", "kind"])
+        again = (same[:-1] | same[1:]) & (at >= 0)
+        rim = (same_key[:-1] & ~same[:-1]) | (same_key[1:] & ~same[1:]) | (at < 0)
+        span, emit = np.flatnonzero(again), np.flatnonzero(rim)  # one of equal regions speaks for them among the others
+        y = x.select(["id", "h", "lo", "n", "at"]).take(pa.array(np.concatenate([span, emit])))
+        return pa.RecordBatch.from_arrays([*y.columns, pa.array(np.repeat(np.array([SPAN, EMIT], np.int32), [len(span), len(emit)]))], ["id", "h", "lo", "n", "at", "kind"])
 
     held, before = None, None
     for batch in batches:
@@ -119,45 +117,95 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judge(held, before, None)
 
 
+def _slices(width: int):
+    """The bytes that chosen regions cover, a row per region; ``at`` counts from the region's start from here on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = byte_arrays(part.column("text"))
+                lists = part.column("regions")
+                flat = lists.flatten()
+                lo, n, at = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "n", "at"))
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                size = n + width - 1
+                stop = np.cumsum(size)
+                source = np.repeat(offsets[row] + lo - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(take), part.column("h").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(np.where(at < 0, -1, at - lo), pa.int32()), binary_column(data[source], np.concatenate([[0], stop]))],
+                    ["id", "h", "lo", "n", "at", "text"],
+                )
+
+    return run
+
+
+def _blocks(width: int):
+    """Regions as blocks of windows whose distances before the trigger are alike: key is of the bytes that they share, region of all that they cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = byte_arrays(part.column("text"))
+                sums = bh.prefix_sums(data)
+                n, at = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "at"))
+                near, far = (at - n + 1) // BLOCK, at // BLOCK
+                count = far - near + 1
+                row = np.repeat(np.arange(len(n)), count)
+                j = near[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                full = at[row] - BLOCK * j
+                x, y = np.maximum(full - BLOCK + 1, 0), np.minimum(full, n[row] - 1)
+                base = offsets[row]
+                key = bh.mix(bh.range_hash(sums, base + full, base + full - BLOCK + 1 + width) + j.astype(np.uint64))
+                region = bh.range_hash(sums, base + x, base + y + width) + (full - x).astype(np.uint64)
+                take = pa.array(row)
+                lo = part.column("lo").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), part.column("id").take(take), part.column("h").take(take), pa.array(lo + x, pa.int32()), pa.array(y - x + 1, pa.int32()), pa.array(lo, pa.int32())],
+                    ["key", "region", "id", "h", "lo", "n", "at"],
+                )
+
+    return run
+
+
 def _windows(width: int):
-    """The windows of chosen regions. A row with hash has the weight 1 and a place, or 2 and none; one without hash is a place that is known to be repeated."""
+    """The windows of chosen blocks. A row with hash has the weight 1 and a place, or 2 and none; those without hash are runs of places that are known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = byte_arrays(part.column("text"))
                 sums = bh.prefix_sums(data)
-                lists = part.column("regions")
-                per = np.diff(lists.offsets.to_numpy())
+                lists = part.column("blocks")
                 flat = lists.flatten()
-                lo, n, kind = (flat.field(c).to_numpy() for c in ("lo", "n", "kind"))
-                row = np.repeat(np.arange(len(per)), per)
-                begin = np.cumsum(n) - n
+                lo, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "n"))
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
                 which = np.repeat(np.arange(len(n)), n)
-                place = lo[which] + (np.arange(len(which)) - begin[which])
-                row, known = row[which], kind[which] == KNOWN
-                i = offsets[row] + place
+                place = lo[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
+                row = row[which]
+                i = offsets[row] + place - part.column("lo").to_numpy()[row]
                 h = bh.mix((sums[i + width] - sums[i]) * bh.powers(bh._INVERSE, len(sums))[i])
-                order = np.lexsort((place, h, row))
-                row, place, known, h = row[order], place[order], known[order], h[order]
-                # the same place may be asked for twice
-                once = np.ones(len(h), bool)
-                once[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+                order = np.lexsort((h, row))
+                row, place, h = row[order], place[order], h[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-                group = np.cumsum(new) - 1
-                size = np.bincount(group, weights=once)
-                sure = np.bincount(group, weights=known) > 0
-                again = (size > 1) | sure
-                repeated = np.flatnonzero(once & (size > 1)[group])
-                one = np.flatnonzero(new)
-                ids, hs = part.column("id"), part.column("h")
-                r = np.concatenate([row[one], row[repeated]])
-                hashes = pa.array(np.concatenate([h[one], h[repeated]]).view(np.int64), mask=np.arange(len(r)) >= len(one))
-                weight = np.concatenate([np.where(again, 2, 1), np.zeros(len(repeated))]).astype(np.int32)
-                at = np.concatenate([np.where(again, -1, place[one]), place[repeated]]).astype(np.int32)
-                take = pa.array(r, pa.int64())
-                yield pa.RecordBatch.from_arrays([hashes, pa.array(weight), ids.take(take), hs.take(take), pa.array(at)], ["window", "weight", "id", "h", "lo"])
+                size = np.diff(np.append(np.flatnonzero(new), len(h)))
+                again, one = size > 1, np.flatnonzero(new)
+                # places that are repeated within their text, as runs
+                r, at = np.divmod(np.sort((row * (1 << 40) + place)[np.repeat(again, size)]), 1 << 40)
+                head = np.ones(len(r), bool)
+                head[1:] = (r[1:] != r[:-1]) | (at[1:] > at[:-1] + 1)
+                head = np.flatnonzero(head)
+                run_n = np.diff(np.append(head, len(r)))
+                take = pa.array(np.concatenate([row[one], r[head]]), pa.int64())
+                hashes = pa.array(np.concatenate([h[one], np.zeros(len(head), np.uint64)]).view(np.int64), mask=np.arange(len(one) + len(head)) >= len(one))
+                columns = [
+                    np.concatenate([np.where(again, 2, 1), np.zeros(len(head))]),
+                    np.concatenate([np.where(again, -1, place[one]), at[head]]),
+                    np.concatenate([np.ones(len(one)), run_n]),
+                ]
+                weight, at, many = (pa.array(c.astype(np.int32)) for c in columns)
+                yield pa.RecordBatch.from_arrays([hashes, weight, part.column("id").take(take), part.column("h").take(take), at, many], ["window", "weight", "id", "h", "lo", "n"])
 
     return run
 
@@ -182,41 +230,54 @@ def _cut(width: int):
                 r = np.repeat(np.arange(len(offsets) - 1), np.diff(of))
                 ranges = pa.StructArray.from_arrays([pa.array(start - offsets[r]), pa.array(end - offsets[r])], ["start", "end"])
                 size, removed = np.diff(offsets), np.diff(offsets) - np.diff(left)
+                kept = binary_column(data[~gone], left)
+                texts = [kept[i].as_py().decode("utf-8", "ignore") if x else None for i, x in enumerate(removed.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(of, pa.int32()), ranges), binary_column(data[~gone], left)],
-                    ["row", "n_bytes", "n_removed", "spans", "kept"],
+                    [part.column("row"), pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(of, pa.int32()), ranges), kept, pa.array(texts, pa.string())],
+                    ["row", "n_bytes", "n_removed", "spans", "kept", "rest"],
                 )
 
     return run
 
 
+_ORDERED = "key long, region long, id long, h long, lo int, n int, at int"
+
+
+def _judged(regions: DataFrame, name: str) -> DataFrame:
+    """Order regions by key and region over the cluster, and keep those that are repeated or may be in part."""
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = regions.repartitionByRange(parts, "key", "region", "id", "lo").sortWithinPartitions("key", "region")
+    return write_table(ordered.mapInArrow(_neighbours, "id long, h long, lo int, n int, at int, kind int"), name)
+
+
 def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Cut every byte out of ``text`` that a ``width``-byte string covers which also starts anywhere else.
 
     ``docs`` needs doc_id (long) and text; returns a row per row: ``row`` (a struct of the columns
     ``carry``), n_bytes, n_removed, spans (array of start, end in bytes of the input: the maximal
-    removed runs) and kept (binary: the remaining bytes, perhaps no valid UTF-8 at the cuts). Strings
-    are judged on the input; occurrences may overlap or lie in one text, but never cross texts. Null
+    removed runs), kept (binary: the remaining bytes, perhaps no valid UTF-8 at the cuts) and rest (kept
+    as text without the bytes of broken characters, null where nothing was removed). Strings are judged on the input; occurrences may overlap or lie in one text, but never cross texts. Null
     and empty texts have no bytes and keep none; texts shorter than ``width`` stay whole; every one of
     several equal rows counts, so that equal texts of at least ``width`` bytes are removed in full.
     """
     docs = docs.select(F.struct(*carry).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
     texts = docs.select("id", "h", "text")
     long_ = texts.where(F.octet_length("text") >= width)
-    regions = long_.mapInArrow(_regions(width), "key long, region long, id long, h long, lo int, n int")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = regions.repartitionByRange(parts, "key", "region", "id", "lo").sortWithinPartitions("key", "region")
-    judged = write_table(ordered.mapInArrow(_neighbours, "id long, h long, lo int, n int, kind int"), "regions")
+    judged = _judged(long_.mapInArrow(_regions(width), _ORDERED), "regions")
+    wanted = judged.where(F.col("kind") == EMIT).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n", "at")).alias("regions"))
+    slices = write_table(long_.join(wanted, ["id", "h"]).mapInArrow(_slices(width), "id long, h long, lo int, n int, at int, text binary"), "slices")
 
-    wanted = judged.where(F.col("kind") != SPAN).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n", "kind")).alias("regions"))
-    windows = long_.join(wanted, ["id", "h"]).mapInArrow(_windows(width), "window long, weight int, id long, h long, lo int")
-    windows = write_table(windows, "windows")
+    blocks = _judged(slices.where("at >= 0").mapInArrow(_blocks(width), _ORDERED), "blocks")
+    wanted = blocks.where(F.col("kind") == EMIT).groupBy("id", "h", F.col("at").alias("lo")).agg(F.collect_set(F.struct("lo", "n")).alias("blocks"))
+    bare = slices.where("at < 0").select("id", "h", "lo", "text", F.array(F.struct("lo", "n")).alias("blocks"))
+    rims = slices.where("at >= 0").select("id", "h", "lo", "text").join(wanted, ["id", "h", "lo"]).unionByName(bare)
+    windows = write_table(rims.mapInArrow(_windows(width), "window long, weight int, id long, h long, lo int, n int"), "windows")
     again = windows.where("window is not null").groupBy("window").agg(F.sum("weight").alias("w")).where("w > 1").select("window")
     found = windows.where("weight = 1").join(again, "window").unionByName(windows.where("window is null"))
 
-    repeats = judged.where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", F.lit(1).alias("n")))
+    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n"))
     repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("repeats"))
     none = F.expr("cast(array() as array<struct<lo:int,n:int>>)")
     all_ = docs.join(repeats, ["id", "h"], "left").select("row", "text", F.coalesce("repeats", none).alias("repeats"))
     row = docs.schema["row"].dataType.simpleString()
-    return all_.mapInArrow(_cut(width), f"row {row}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return all_.mapInArrow(_cut(width), f"row {row}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, rest string")
