@@ -10,9 +10,8 @@ equal given both set sizes, and those that might reach the threshold are verifie
 No bucket emits all its pairs. First a bucket's members meet its pivot, the member that shares the
 most buckets with others, and each goes on with its best pivot. Where these links leave several
 components in a bucket, every member outside the bucket's largest component meets all members of
-other components: by a join in buckets of up to WHOLE_BUCKET members, and block by block in larger
-ones, where only likely pairs are put out. So no two documents that share a band and end in
-different components remain untested.
+other components, block by block, and only links are put out. So no two documents that share a band
+and end in different components remain untested.
 """
 
 from __future__ import annotations
@@ -37,10 +36,9 @@ TOP = 2**16 - 2
 """Registers hold 0 .. TOP + 1, in 16 bits."""
 ESTIMATE_SLACK = 0.2
 """Candidates whose estimate lies this far under the threshold aren't verified: over five standard deviations with 128 registers."""
-EDGES_PER_TASK = 256
+EDGES_PER_TASK = 64
 """Members that meet one copy of a pivot's set; a pivot with more of them is copied."""
 
-WHOLE_BUCKET = 64
 BLOCK = 256
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,11 +125,19 @@ def _likely(threshold: float):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
             j = estimate((a > b).sum(1), (a < b).sum(1), na, nb)
-            yield batch.select([c for c in ("a", "b", "bands") if c in batch.schema.names]).filter(pa.array((j >= threshold - ESTIMATE_SLACK) & (np.minimum(na, nb) >= (threshold - 1e-9) * np.maximum(na, nb))))
+            yield batch.select(["a", "b", "bands"]).filter(pa.array((j >= threshold - ESTIMATE_SLACK) & (np.minimum(na, nb) >= (threshold - 1e-9) * np.maximum(na, nb))))
 
     return run
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two full sets, sorted and distinct."""
+    if not len(a) or not len(b):
+        return False
+    both = int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, np.zeros(0, np.uint64)
@@ -143,42 +149,47 @@ def _verify(width: int, percent: int):
                     if not member:
                         pivot, own = b, s
                     elif pivot == b:
-                        # both are sorted and distinct
-                        at = np.searchsorted(own, s)
-                        both = int(np.count_nonzero(own[np.minimum(at, len(own) - 1)] == s)) if len(own) else 0
-                        if 100 * both >= percent * (len(own) + len(s) - both):
+                        if _similar(own, s, percent):
                             found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _blocks(threshold: float):
-    """Rows sorted by (key, block, visitor): every visitor meets its block's own members and likely pairs go on."""
+def _blocks(width: int, percent: int):
+    """Rows sorted by (key, block, visitor): every visitor meets its block's own members; the links go on.
+
+    A pair is judged only in the first of the bands that it shares.
+    """
+    threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
+        at, own, table = None, [], None
         for batch in batches:
-            out = []
-            for key, block, visitor, v, root, n, regs in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if at != (key, block):
-                    at, own, table = (key, block), [], None
-                if not visitor:
-                    own.append((v, root, n, np.frombuffer(regs, np.uint16)))
-                    continue
-                if table is None and own:
-                    table = np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.array([x[2] for x in own], float), np.stack([x[3] for x in own])
-                if not own:
-                    continue
-                ids, roots, sizes, sketches = table
-                r = np.frombuffer(regs, np.uint16)
-                fit = (roots != root) & (np.minimum(sizes, n) >= (threshold - 1e-9) * np.maximum(sizes, n))
-                # a pair at the threshold has about that share of equal registers
-                fit &= (sketches == r).sum(1) >= REGISTERS * (threshold - 2 * ESTIMATE_SLACK)
-                if k := np.flatnonzero(fit).tolist():
-                    j = estimate((r > sketches[k]).sum(1), (r < sketches[k]).sum(1), np.full(len(k), float(n)), sizes[k])
-                    out += [(max(v, w), min(v, w)) for w in ids[k][j >= threshold - ESTIMATE_SLACK].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            for part in chunks(batch, "text"):
+                out = []
+                columns = (part.column(c).to_pylist() for c in ("key", "block", "visitor", "band", "v", "root", "minor", "n", "regs"))
+                for (key, block, visitor, band, v, root, minor, n, regs), s in zip(zip(*columns, strict=True), shingle_sets(part.column("text"), width), strict=True):
+                    if at != (key, block):
+                        at, own, table = (key, block), [], None
+                    r = np.frombuffer(regs, np.uint16)
+                    if not visitor:
+                        own.append((v, root, minor, n, r, s))
+                        continue
+                    if not own:
+                        continue
+                    if table is None:
+                        table = [np.array([x[i] for x in own]) for i in range(5)]
+                    ids, roots, minors, sizes, sketches = table
+                    equal = sketches == r
+                    fit = (roots != root) & (~minors | (ids > v)) & (np.minimum(sizes, n) >= (threshold - 1e-9) * np.maximum(sizes, n))
+                    fit &= equal.reshape(len(own), -1, ROWS_PER_BAND).all(axis=2).argmax(axis=1) == band
+                    k = np.flatnonzero(fit)
+                    if not len(k):
+                        continue
+                    j = estimate((r > sketches[k]).sum(1), (r < sketches[k]).sum(1), np.full(len(k), float(n)), sizes[k].astype(float))
+                    out += [(v, own[i][0]) for i in k[j >= threshold - ESTIMATE_SLACK].tolist() if _similar(own[i][5], s, percent)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
@@ -235,9 +246,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     vertices = write_table(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
     work = _Links(docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63)))), vertices, width, percent)
 
-    rows = vertices.select("v", F.explode(_band_keys()).alias("key"))
+    rows = vertices.select("v", F.posexplode(_band_keys()).alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = write_table(rows.join(shared, "key").select("key", "v", "size"), "buckets")
+    hits = write_table(rows.join(shared, "key").select("key", "band", "v", "size"), "buckets")
     texts = write_table(work.texts(hits.select("v").distinct()), "texts")
 
     degree = hits.groupBy("v").agg(F.sum("size").alias("degree"))
@@ -248,10 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     links = work.verified(best, texts)
     labels = components(links)
 
-    left = _across(hits, labels, vertices, percent / 100)
-    either = best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = checkpoint(left.distinct().join(either, ["a", "b"], "left_anti"))
-    labels = components(links.unionByName(work.verified(left, texts)))
+    more = _across(hits, labels, vertices, texts, width, percent)
+    labels = components(links.unionByName(more))
 
     groups = vertices.join(labels, "v", "left").select("vid", "rep", F.coalesce("root", "v").alias("root"))
     first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -261,23 +270,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), F.col("vid").alias("text_key"))
 
 
-def _across(hits: DataFrame, labels: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of bucket mates whose components differ; at least one of them is outside its bucket's largest component."""
+def _across(hits: DataFrame, labels: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between bucket mates of different components; at least one of them is outside its bucket's largest component."""
     rows = hits.join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     major = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("m")).where("parts > 1").select("key", F.col("m.root").alias("major"))
-    rows = checkpoint(rows.join(major, "key").select("key", "size", "v", "root", (F.col("root") != F.col("major")).alias("minor")))
-
-    few = rows.where(F.col("size") <= WHOLE_BUCKET)
-    one = few.where("minor").select("key", F.col("v").alias("a"), F.col("root").alias("ra"))
-    two = few.select("key", F.col("v").alias("b"), F.col("root").alias("rb"), "minor")
-    pairs = one.join(two, "key").where("ra <> rb and (not minor or a < b)").select("a", "b").distinct()
-    one, two = (vertices.select(F.col("v").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab")
-    small = pairs.join(one, "a").join(two, "b").mapInArrow(_likely(threshold), "a long, b long")
-
-    many = rows.where(F.col("size") > WHOLE_BUCKET).join(vertices.select("v", "n", "regs"), "v").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    own = many.withColumn("block", F.expr("pmod(xxhash64(v), blocks)")).withColumn("visitor", F.lit(False))
-    visit = many.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
-    keep = ["key", "block", "visitor", "v", "root", "n", "regs"]
-    met = own.select(keep).unionByName(visit.select(keep)).repartition("key", "block").sortWithinPartitions("key", "block", "visitor")
-    return small.unionByName(met.mapInArrow(_blocks(threshold), "a long, b long").distinct())
+    rows = rows.join(major, "key").select("key", "band", "v", "root", (F.col("root") != F.col("major")).alias("minor"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    rows = checkpoint(rows).join(vertices.select("v", "n", "regs"), "v").join(texts, "v")
+    own = rows.withColumn("block", F.expr("pmod(xxhash64(v), blocks)")).withColumn("visitor", F.lit(False))
+    visit = rows.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
+    met = own.unionByName(visit).drop("blocks").repartition("key", "block").sortWithinPartitions("key", "block", "visitor")
+    return checkpoint(met.mapInArrow(_blocks(width, percent), "a long, b long").distinct())
