@@ -306,7 +306,7 @@ def test_chat_escape(spark):
 
 
 def test_html(spark):
-    assert html.render("<p>a  b<br>c<p>d<script>x</script><div hidden>no</div><!-- no -->&amp;") == "a b\nc\n\nd&"
+    assert html.render("<p>a  b<br>c<p>d<script>x</script><div hidden>no</div><!-- no -->&amp;") == "a b\nc\n\nd\n\n&"  # the div ends the paragraph
     assert html.render("<ul><li>one<li>two<ol><li>in<li>side</ol></ul>end") == "- one\n- two\n  1. in\n  2. side\n\nend"
     assert html.render("<table><tr><th>Name<th>N<tr><td>Oak<td>12</table>") == "Name  N\nOak   12"
     assert html.render('<p style="display: none">x</p><pre>a  b\n  c</pre>') == "a  b\n  c"
