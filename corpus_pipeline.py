@@ -18,7 +18,7 @@ from placelake.llm.decontam import decontaminate
 from placelake.llm.neardup import near_duplicates
 from placelake.llm.packing import pack
 from placelake.llm.queries import TOKENIZER
-from placelake.llm.shared import new_folder
+from placelake.llm.shared import checkpoint, new_folder
 from placelake.llm.substrings import remove_repeats
 
 
@@ -34,13 +34,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id. Of repeated rows one stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["__id"]) & F.unhex(F.md5(docs["text"].cast("binary"))).eqNullSafe(kept["__key"])
-    stay = docs.join(kept, same, "left_semi")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = stay.join(again, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(stay.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates: that of the smallest doc_id. Of equal rows with that id one stays."""
+    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__n"))
+    kept = checkpoint(kept)
+
+    def of(side: DataFrame) -> DataFrame:
+        key = F.unhex(F.md5(docs["text"].cast("binary")))
+        return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & key.eqNullSafe(side["__key"]), "left_semi")
+
+    once, more = of(kept.where("__n = 1")), kept.where("__n > 1")
+    # the texts are shuffled again only where there are repeated rows
+    return once if more.isEmpty() else once.unionByName(of(more).dropDuplicates(["doc_id", "text"]))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
