@@ -22,3 +22,11 @@ def test_queries(spark):
     assert len(queries.QUERIES) == 10
     for name in ("op2_arc_to_warc", "op6_sharding", "op8_html_extraction", "op9_chat_formatting"):
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, None), (None, "q r s", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [rows[0], rows[3], rows[4]]))
