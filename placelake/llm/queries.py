@@ -14,7 +14,7 @@ from placelake.llm.decontam import decontaminate
 from placelake.llm.neardup import near_duplicates
 from placelake.llm.packing import pack
 from placelake.llm.repetition import repetition_rules
-from placelake.llm.shared import new_folder
+from placelake.llm.shared import new_folder, write_table
 from placelake.llm.substrings import remove_repeats
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,7 +35,8 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     version = F.when(F.coalesce(F.col("page_id"), F.lit(0)) % 2 == 0, 1).otherwise(2)
     arc = warc.arc_file(F.col("url"), F.coalesce("html", F.lit("")).cast("binary"), F.lit("20010203040506"), version)
-    records = warc.parse_arcs(pages.select(F.col("page_id").alias("key"), arc.alias("arc")))
+    # written once: sizes, groups and records are read from it, and no archive is parsed again
+    records = write_table(warc.parse_arcs(pages.select(F.col("page_id").alias("key"), arc.alias("arc"))), "arc")
     path = new_folder(spark, "warc")
     warc.write_warc(warc.resolve_revisits(records), path)
     out = warc.read_warc(spark, path)
