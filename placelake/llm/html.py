@@ -7,6 +7,7 @@ visibility rules drop what a browser doesn't show. Rendering walks the tree with
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,10 +34,11 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "lines", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.lines: list[str] = []  # of a table, rendered
 
     def visible(self) -> bool:
         if self.tag in UNSEEN or "hidden" in self.attrs:
@@ -53,11 +55,18 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # of open elements, so that deep pages aren't searched for what isn't there
+
+    def _cut(self, i: int) -> None:
+        self.count.subtract(n.tag for n in self.open[i:])
+        del self.open[i:]
 
     def _close(self, tags: set[str], bounds: set[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in bounds:
                 return
@@ -82,6 +91,7 @@ class Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -89,12 +99,13 @@ class Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
-            self.open[-1].children.append(Node("p", {}))
+        if not self.count[tag]:
+            if tag == "p":
+                self.open[-1].children.append(Node("p", {}))
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
@@ -152,9 +163,22 @@ def render(html: str | None) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
+    for table in reversed(_tables(builder.root)):  # inner tables first
+        table.lines = table_lines(table)
     return _render(builder.root)
 
 
+def _tables(root: Node) -> list[Node]:
+    """All tables of a tree, outer ones before those inside."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "table":
+            found.append(node)
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return found
+
+
 def _render(root: Node) -> str:
     flow = _Flow()
     # entries: a node or string to render, or a function to call after the children
@@ -182,7 +206,7 @@ def _render(root: Node) -> str:
             continue
         if tag == "table":
             flow.end(2)
-            for line in table_lines(item):
+            for line in item.lines:
                 flow.line = line
                 flow._start()
                 flow.end(1)
@@ -224,7 +248,7 @@ def _render(root: Node) -> str:
 
 
 def table_lines(table: Node) -> list[str]:
-    """A table's rows as lines, cells padded to their columns; a cell's own lines are joined by spaces."""
+    """A table's rows as lines, cells padded to their columns; a cell's own lines are joined by spaces. Tables inside have their lines already."""
     rows: list[list[str]] = []
     captions: list[str] = []
     stack = list(reversed(table.children))

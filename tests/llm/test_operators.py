@@ -312,5 +312,7 @@ def test_html(spark):
     assert html.render('<p style="display: none">x</p><pre>a  b\n  c</pre>') == "a  b\n  c"
     assert html.render("<head><title>t</title></head>body<p></p></div></b>") == "body"
     assert html.render(None) == html.render("") == "" and "z" in html.render("<div>" * 5000 + "z")
+    assert html.render("<table><tr><td>a" * 1500 + "x" + "</table>" * 1500).split() == ["a"] * 1499 + ["ax"]
+    assert html.render("<table><tr><td>1<td><table><tr><td>2<td>3</table><tr><td>44<td>5</table>") == "1   2 3\n44  5"
     df = spark.createDataFrame([(1, "<p>é</p>"), (2, None), (None, "")], "page_id long, html string")
     assert sorted((r.text, r.n_chars, r.n_lines) for r in html.extract(df).collect()) == [("", 0, 0), ("", 0, 0), ("é", 1, 1)]
