@@ -9,7 +9,7 @@ from placelake.functions.text import first_integer
 
 
 def pieces(text: Column, sign: str = r"\|") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sign), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sign), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def all_urls(df: DataFrame) -> DataFrame:
