@@ -45,3 +45,59 @@ STATES = {
 # Confidence by extraction method.
 METHOD_SCORES = {"llm_generated_schema": 0.9, "predefined_schema": 0.85, "regex_extraction": 0.7, "llm_fallback": 0.6}
 OTHER_METHOD = 0.5
+OTHER_TYPE = "Healthcare Facility"
+# Selectors of the parts of a facility's page.
+NAME_SELECTORS = ("h1", ".facility-name", ".location-name", ".community-name", '[class*="name"]', '[class*="title"]', ".page-title", ".main-title")
+DESCRIPTION_SELECTORS = (".description", ".about", ".overview", '[class*="description"]', '[class*="about"]', 'meta[name="description"]')
+CONTACT_SELECTORS = '.contact, .contact-info, .contact-details, .address, .location-info, .facility-contact, [class*="contact"], [class*="address"]'
+ADDRESS_SELECTORS = {
+    "address": '[itemprop="streetAddress"], .street, .street-address',
+    "city": '[itemprop="addressLocality"], .city, .locality',
+    "state": '[itemprop="addressRegion"], .state, .region',
+    "zip_code": '[itemprop="postalCode"], .zip, .postal-code',
+}
+CARD_SELECTORS = '.facility-card, .location-card, .community-card, .center-card, .property-card, [class*="facility"], [class*="location"], [class*="community"]'
+SERVICE_SELECTORS = '.services, .amenities, .care-services, .specialties, [class*="service"], [class*="amenity"], [class*="care"], [id*="service"], [id*="amenity"]'
+SERVICE_HEADINGS = ("service", "amenity", "care", "specialty", "offer")
+SERVICE_KINDS = {
+    "amenities": ("amenity", "amenities"),
+    "specialties": ("specialty", "specialties", "specialize"),
+    "care_levels": ("care level", "level of care"),
+}
+NAV_LINK_SELECTORS = (
+    'nav a, .navigation a, .nav a, .menu a, .main-menu a, [role="navigation"] a, .navbar a, .header-nav a, footer a, .footer a, .site-footer a'
+)
+NUMBERED_SELECTORS = '.pagination a, .pager a, .page-numbers a, [class*="pagination"] a, [class*="pager"] a'
+NEXT_SELECTORS = 'a:contains("Next"), a:contains(">"), .next, [class*="next"]'
+FORM_WORDS = ("location", "find", "search", "facility", "center")
+# Patterns of facts in texts; the first that matches counts.
+ADMINISTRATOR = (r"administrator[:\s]*([^,\n]+)", r"executive\s+director[:\s]*([^,\n]+)", r"facility\s+director[:\s]*([^,\n]+)")
+LICENSE = (r"license\s*#?\s*([A-Z0-9-]+)", r"state\s+license[:\s]*([A-Z0-9-]+)", r"facility\s+id[:\s]*([A-Z0-9-]+)")
+MEDICARE = (r"medicare\s+provider\s+(?:id|number)[:\s]*([A-Z0-9-]+)", r"cms\s+certification[:\s]*([A-Z0-9-]+)", r"provider\s+number[:\s]*([A-Z0-9-]+)")
+EMAIL_FALSE = ("example", "test", "noreply")
+AJAX_PATTERNS = (r"ajax.*?url.*?[\"']([^\"']+)[\"']", r"fetch\([\"']([^\"']+)[\"']", r"\.get\([\"']([^\"']+)[\"']", r"\.post\([\"']([^\"']+)[\"']")
+# Patterns of facility blocks in raw HTML.
+BLOCK = r"<div[^>]*(?:facility|location|community|center)[^>]*>.*?</div>"
+BLOCKS = (BLOCK, r"<article[^>]*>.*?</article>", r"<section[^>]*>.*?</section>", r"<li[^>]*(?:facility|location)[^>]*>.*?</li>")
+BLOCK_SPLIT = r"<(?:div|section|article|li)[^>]*>"
+BLOCK_NAMES = (r"<h[1-6][^>]*>([^<]+)</h[1-6]>", r"class=\"[^\"]*(?:name|title)[^\"]*\"[^>]*>([^<]+)</[^>]+>", r"<title>([^<]+)</title>")
+BLOCK_NAME_KEYED = r"<h[1-6][^>]*>([^<]*(?:care|center|living|manor|home|facility|community)[^<]*)</h[1-6]>"
+BLOCK_PHONE = r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
+BLOCK_STREET = r"\d+\s+[A-Za-z0-9\s,.-]+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Boulevard|Blvd|Lane|Ln|Way|Circle|Cir)"
+BLOCK_TYPES = {"skilled.*nursing": "Skilled Nursing", "assisted.*living": "Assisted Living", "memory.*care": "Memory Care", "senior.*living": "Senior Living"}
+BLOCK_CONTEXT = r"skilled|nursing|assisted|living|memory|care|rehabilitation|senior|facility|center|home|manor|community|residence"
+# Kinds of sites in order of precedence, links that lead on.
+SITE_TYPES = {
+    "corporate_chain": ("locations", "communities", "facilities", "find a location"),
+    "individual_facility": ("about us", "services", "contact", "staff"),
+    "directory": ("search", "directory", "browse", "filter"),
+}
+SITE_LINKS = (r'href="([^"]*(?:location|facility|community|center)[^"]*)"', r'href="([^"]*(?:find|search|directory)[^"]*)"')
+# Other names of the fields of a record.
+ALIASES = {
+    "name": ("facility_name", "name", "title"), "facility_type": ("facility_type", "care_type", "service_type", "type"),
+    "address": ("address", "street_address", "address_line_1"), "city": ("city", "locality"), "state": ("state", "region", "province"),
+    "zip_code": ("zip_code", "postal_code", "zip"), "phone": ("phone", "telephone", "phone_number"), "email": ("email", "email_address"), "website": ("website", "url", "link"),
+}
+# Weights of the declared overall quality.
+QUALITY_WEIGHTS = {"completeness": 0.4, "accuracy": 0.3, "consistency": 0.2, "freshness": 0.1}

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from placelake import constants as K
 
 
+def head(array: Column) -> Column:
+    """The first item of a list; null if it is empty or null."""
+    return F.get(array, F.lit(0))
+
+
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group)
 
@@ -99,3 +104,68 @@ def positional_match(a: Column, b: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+
+
+def administrator(text: Column) -> Column:
+    return F.trim(first_of(text, *K.ADMINISTRATOR))
+
+
+def license_number(text: Column) -> Column:
+    return first_of(text, *K.LICENSE)
+
+
+def medicare_id(text: Column) -> Column:
+    return first_of(text, *K.MEDICARE)
+
+
+def real_email(text: Column) -> Column:
+    """The first address that isn't a sample's; ''."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(K.EMAIL), 1)
+    return F.coalesce(head(F.filter(found, lambda e: ~F.lower(e).rlike("|".join(K.EMAIL_FALSE)))), F.lit(""))
+
+
+def parse_address(text: Column) -> Column:
+    """(address, city, state, zip_code) of a text of several lines; null where a part isn't found.
+
+    The first line with a postal code gives the city and state before it, parted by a comma or, failing
+    that, by the last space; the first line that starts with a digit is the street.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    line = head(F.filter(lines, lambda x: x.rlike(K.ZIP)))
+    zip_found = F.regexp_extract(line, K.ZIP, 1)
+    parts = F.transform(F.split(F.trim(F.replace(line, zip_found, F.lit(""))), ","), lambda x: F.trim(x))
+    words = F.filter(F.split(head(parts), r"\s+"), lambda w: w != "")
+    n_parts, n_words = F.size(parts), F.size(words)
+    city = F.when(n_parts >= 2, F.try_element_at(parts, F.lit(-2))).when(n_words >= 2, F.array_join(F.slice(words, 1, F.greatest(n_words - 1, F.lit(0))), " "))
+    code = F.when(n_parts >= 2, F.try_element_at(parts, F.lit(-1))).when(n_words >= 2, F.try_element_at(words, F.lit(-1)))
+    street = head(F.filter(lines, lambda x: x.rlike(r"^\d")))
+    return F.struct(street.alias("address"), city.alias("city"), state(code).alias("state"), zip_found.alias("zip_code"))
+
+
+def first_type(text: Column, lexicon: dict[str, tuple[str, ...]], other: str = K.OTHER_TYPE) -> Column:
+    """The title of the first type, in the order of the lexicon, of which a keyword occurs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for name, words in lexicon.items():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        out = out.when(hit, title_case(F.lit(name)))
+    return out.otherwise(other)
+
+
+def site_type(html: Column) -> Column:
+    """The first kind of site of which a sign occurs; ``unknown``."""
+    out = F.when(F.lit(False), "")
+    low = F.lower(F.coalesce(html, F.lit("")))
+    for name, signs in K.SITE_TYPES.items():
+        out = out.when(low.rlike("|".join(signs)), name)
+    return out.otherwise("unknown")
+
+
+def reply_facilities(reply: Column, schema: str) -> Column:
+    """The list of records in a model's reply: the whole as JSON without fences, else what parses of the objects with a ``facilities`` list; empty if nothing does."""
+    whole = F.from_json(strip_fences(reply), schema)["facilities"]
+    pieces = F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r'(?s)\{[^{}]*"facilities"[^{}]*\[[^\]]*\][^{}]*\}'), 0)
+    salvaged = F.flatten(F.filter(F.transform(pieces, lambda p: F.from_json(p, schema)["facilities"]), lambda x: x.isNotNull()))
+    return F.coalesce(whole, salvaged, F.from_json(F.lit('{"facilities": []}'), schema)["facilities"])

@@ -3,125 +3,65 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_STEP = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)")
-_TEST = re.compile(r"([.#])([\w-]+)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
-
-
-class Element:
-    def __init__(self, tag: str, attrs: dict, parent: Element | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif x.tag not in ("script", "style"):
-                stack += reversed(x.children)
-        return " ".join("".join(out).split())
-
-    def all(self) -> Iterator[Element]:
-        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
-        while stack:
-            x = stack.pop()
-            yield x
-            stack += [c for c in reversed(x.children) if isinstance(c, Element)]
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("li", "p", "tr", "td") and self.at.tag == tag:
-            self.at = self.at.parent or self.root
-        x = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(x)
-        if tag not in VOID:
-            self.at = x
-
-    def handle_endtag(self, tag: str) -> None:
-        x = self.at
-        while x is not self.root and x.tag != tag:
-            x = x.parent
-        if x is not self.root:
-            self.at = x.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def parse(html: str | None) -> Element:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree.root
-
-
-def _fits(x: Element, step: str) -> bool:
-    m = _STEP.fullmatch(step)
-    if not m:
-        raise ValueError(f"selector {step!r} isn't supported")
-    if m[1] and m[1] not in ("*", x.tag):
-        return False
-    for kind, name, attr, how, value in _TEST.findall(m[2]):
-        if kind == "." and name not in x.attrs.get("class", "").split() or kind == "#" and x.attrs.get("id") != name:
-            return False
-        if attr:
-            have = x.attrs.get(attr)
-            if have is None or how and not {"=": have == value, "*=": value in have, "^=": have.startswith(value), "$=": have.endswith(value)}[how]:
-                return False
-    return True
-
-
-def select(root: Element, selector: str) -> list[Element]:
-    """Elements under ``root`` in the order of the document; tag, .class, #id, [attribute] tests, descent and lists."""
-    ways = [way.split() for way in selector.split(",")]
-
-    def reaches(x: Element, way: list[str]) -> bool:
-        if not _fits(x, way[-1]):
-            return False
-        up, rest = x.parent, way[:-1]
-        while rest and up is not None and up is not root:
-            if _fits(up, rest[-1]):
-                rest = rest[:-1]
-            up = up.parent
-        return not rest
-
-    return [x for x in root.all() if any(reaches(x, way) for way in ways if way)]
-
-
-def _field(item: Element, spec: dict) -> object:
-    values = [x.attrs.get(spec["attribute"], "") if spec.get("type") == "attribute" else x.text() for x in select(item, spec["selector"])]
+from placelake.functions.dom import Element, parse, select
+
+# Characters of HTML after which the rows made so far are handed on, so that a batch of long pages stays small.
+FLUSH_CHARS = 4_000_000
+
+
+def map_pages(pages: DataFrame, make: Callable[[str | None], list[tuple]], key: str, fields: list[pa.Field]) -> DataFrame:
+    """Rows ``(key, *make(html))`` of each page, parsed on the executors in Arrow batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([pa.field(key, batch.schema.field(0).type), *fields])
+
+            def flush(rows: list[tuple], schema: pa.Schema = schema) -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+            rows: list[tuple] = []
+            chars = 0
+            for k, html in zip(batch.column(0), batch.column(1), strict=True):
+                html = html.as_py()
+                rows += [(k.as_py(), *row) for row in make(html)]
+                chars += len(html or "")
+                if chars > FLUSH_CHARS:
+                    yield flush(rows)
+                    rows, chars = [], 0
+            yield flush(rows)
+
+    out = StructType([StructField(key, pages.schema[key].dataType), *from_arrow_schema(pa.schema(fields)).fields])
+    return pages.select(key, "html").mapInArrow(run, out)
+
+
+def field(item: Element, spec: dict) -> object:
+    """The value of one field of a schema in one element: text or an attribute, the first or all."""
+    found = select(item, spec["selector"])
+    values = [x.attrs.get(spec["attribute"], "") if spec.get("type") == "attribute" else x.text() for x in found]
     if spec.get("multiple"):
         return [v for v in values if v]
     return values[0] if values else ""
 
 
+def css_rows(html: str | None, schema: dict) -> list[tuple]:
+    """(pos, field values...) of each element of ``baseSelector``; lists as JSON text."""
+    rows = []
+    for i, item in enumerate(select(parse(html), schema["baseSelector"])):
+        values = (field(item, f) for f in schema["fields"])
+        rows.append((i, *(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in values)))
+    return rows
+
+
 def css_extract(pages: DataFrame, schema: dict, key: str = "page_id") -> DataFrame:
     """A row per element of ``baseSelector``: key, pos and the fields, lists as JSON text."""
     names = [f["name"] for f in schema["fields"]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, item in enumerate(select(parse(html), schema["baseSelector"])):
-                    values = (_field(item, f) for f in schema["fields"])
-                    rows.append((k, i, *(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in values)))
-            columns = list(zip(*rows, strict=True)) or [[]] * (2 + len(names))
-            kinds = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * len(names)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "pos", *names])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInArrow(run, f"{key} {kind}, pos long, " + ", ".join(f"`{n}` string" for n in names))
+    fields = [pa.field("pos", pa.int64()), *(pa.field(n, pa.string()) for n in names)]
+    return map_pages(pages, lambda html: css_rows(html, schema), key, fields)

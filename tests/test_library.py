@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from placelake.functions import text as T
 from placelake.functions import urls as U
+from placelake.functions import dom
+from placelake.operators import catalog as C
 from placelake.operators import dedup as D
-from placelake.operators import extract as E
 from placelake.operators import links as L
 from placelake.plans.queries import ORACLE_SQL, QUERIES
 from placelake.sources import tables
@@ -46,10 +47,14 @@ def test_text(spark):
     assert one(spark, T.positional_match(F.lit(""), F.lit("x"))) == 0.0
 
 
+def test_pieces(spark):
+    assert one(spark, C.pieces(F.lit(" 0a | b1 |  | 2"))) == ["0a", "b1", "2"]
+
+
 def test_css():
-    root = E.parse('<div class="facility-card a"><h2>Oak</h2><a href="tel:1">x</a><ul><li>one<li>two</ul></div><p>no')
-    assert [x.text() for x in E.select(root, ".facility-card li")] == ["one", "two"]
-    assert [x.attrs["href"] for x in E.select(root, 'a[href^="tel:"], h9')] == ["tel:1"]
+    root = dom.parse('<div class="facility-card a"><h2>Oak</h2><a href="tel:1">x</a><ul><li>one<li>two</ul></div><p>no')
+    assert [x.text() for x in dom.select(root, ".facility-card li")] == ["one", "two"]
+    assert [x.attrs["href"] for x in dom.select(root, 'a[href^="tel:"], h9')] == ["tel:1"]
 
 
 def test_sources(spark, tmp_path):
