@@ -68,14 +68,36 @@ class Element:
         return next((c for c in siblings if c.index == self.index + 1), None)
 
 
+# What a start tag closes, in turn: tags, and the elements that shield them.
+_P_ENDS = BLOCKS - {"p", "br"}
+_BLOCK_ENDS = ((("p",), _P_ENDS),)
+_ENDS = {
+    "li": ((("p",), _P_ENDS), (("li",), ("ul", "ol", "table"))),
+    "dt": ((("p",), _P_ENDS), (("dt", "dd"), ("dl", "table"))),
+    "dd": ((("p",), _P_ENDS), (("dt", "dd"), ("dl", "table"))),
+    "td": ((("td", "th"), ("tr", "table")),),
+    "th": ((("td", "th"), ("tr", "table")),),
+    "tr": ((("tr",), ("table",)),),
+    "option": ((("option",), ("select",)),),
+}
+
+
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {}, None)
 
+    def _end(self, tags: tuple[str, ...], within: tuple[str, ...] | frozenset[str]) -> None:
+        """Close the nearest open element of ``tags``, looking up no further than an element of ``within``."""
+        x = self.at
+        while x is not self.root and x.tag not in tags and x.tag not in within:
+            x = x.parent
+        if x.tag in tags:
+            self.at = x.parent
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("li", "p", "tr", "td") and self.at.tag == tag:
-            self.at = self.at.parent or self.root
+        for ended, within in _ENDS.get(tag) or _BLOCK_ENDS if tag in BLOCKS and tag != "br" else _ENDS.get(tag, ()):
+            self._end(ended, within)
         x = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         if tag not in VOID:
             self.at = x

@@ -126,7 +126,7 @@ def block_record(block: Column, keyed: bool = False) -> Column:
         "zip_code": T.zip_code(block, bounded=True), "services": F.array().cast("array<string>"),
     }
     if not keyed:
-        found |= {"state": T.first(block, r"\b[A-Z]{2}\b", 0), "facility_type": kind}
+        found |= {"state": T.first(block, r"(?U)\b[A-Z]{2}\b", 0), "facility_type": kind}
     return F.struct(*(found.get(c, F.lit("")).alias(c) for c in RECORD))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from placelake.functions.text import positional_match
 
 THRESHOLD = 0.85
+# The greatest likeness of records whose streets and names both differ: only above it equal streets or names are necessary.
+NEITHER_EQUAL = 0.82
 
 
 def signature(df: DataFrame) -> DataFrame:
@@ -46,6 +48,17 @@ def _match(a: str, b: str) -> float:
     return sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b)) if a and b else 0.0
 
 
+def records_alike(a: tuple, b: tuple, threshold: float = THRESHOLD) -> bool:
+    """Whether two records (phone, street, name, zip5, address key) are the same: equal phones and addresses, or likeness of ``threshold``."""
+    if a[0] and a[4] and (a[0], a[4]) == (b[0], b[4]):
+        return True
+    s = 0.4 if a[0] and a[0] == b[0] else 0.0
+    s += 0.3 if a[1] and a[1] == b[1] else 0.21 if _match(a[1], b[1]) >= 0.8 else 0.0
+    s += 0.2 if a[2] and a[2] == b[2] else 0.1 if _match(a[2], b[2]) >= 0.7 else 0.0
+    s += 0.1 if a[3] and a[3] == b[3] else 0.0
+    return s >= threshold or (a[0], a[2], a[4]) == (b[0], b[2], b[4])
+
+
 def greedy(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
     """Mark records that repeat an earlier kept one, in the order of a column, exactly or at ``threshold``.
 
@@ -59,19 +72,17 @@ def greedy(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
         seen: set = set()
+        near: dict = defaultdict(list)
         out = []
         for r in pdf.sort_values(order).itertuples(index=False):
             dup = bool(r.phone_key and r.address_key and (r.phone_key, r.address_key) in seen)
-            for k in () if dup else kept:
-                s = 0.4 if r.phone_key and r.phone_key == k.phone_key else 0.0
-                s += 0.3 if r.street and r.street == k.street else 0.21 if _match(r.street, k.street) >= 0.8 else 0.0
-                s += 0.2 if r.name_key and r.name_key == k.name_key else 0.1 if _match(r.name_key, k.name_key) >= 0.7 else 0.0
-                s += 0.1 if r.zip5 and r.zip5 == k.zip5 else 0.0
-                if s >= threshold:
-                    dup = True
-                    break
+            now = (r.phone_key, r.street, r.name_key, r.zip5, r.address_key)
+            some = (k for key in (("street", r.street), ("name", r.name_key)) for k in near[key]) if threshold > NEITHER_EQUAL else kept
+            dup = dup or any(records_alike(now, k, threshold) for k in some)
             if not dup:
-                kept.append(r)
+                kept.append(now)
+                near["street", r.street].append(now)
+                near["name", r.name_key].append(now)
                 seen.add((r.phone_key, r.address_key))
             out.append((r.block, r.full_hash, dup))
         return pd.DataFrame(out, columns=["block", "full_hash", "dup"])

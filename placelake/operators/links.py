@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placelake.constants import LISTING_PARTS
 from placelake.functions import urls
 
 HREF = r'<a[^>]*href="([^"]*)"'
@@ -40,3 +41,16 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int = 3) -> DataFrame:
 
 def frontier_statistics(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))
+
+
+def next_best(frontier: DataFrame, visited: DataFrame, n: int) -> DataFrame:
+    """The best ``n`` URLs of ``frontier(url, score)`` that weren't visited; equal scores in the order of URLs."""
+    best = frontier.groupBy("url").agg(F.max("score").alias("score"))
+    return unvisited(best, visited).orderBy(F.desc("score"), "url").limit(n)
+
+
+def candidates(sites: DataFrame, url: str = "url") -> DataFrame:
+    """``sites`` with a row per ``candidate``: the usual places of listings on a site, in their usual spellings."""
+    base = F.col(url)
+    spelled = [urls.resolve(base, F.lit(form.format(p))) for p in LISTING_PARTS for form in ("{}", "/{}", "/{}/", "/{}.html", "/{}.php")]
+    return sites.withColumn("candidate", F.explode(F.array_distinct(F.array(*spelled))))

@@ -89,5 +89,5 @@ def quality_filter(reports: DataFrame, least: float = 0.6) -> DataFrame:
 def cached(requests: DataFrame, cache: DataFrame, as_of: Column, hours: int = 168) -> DataFrame:
     """``requests(domain)`` with the schema of ``cache(domain, schema, created)`` that is younger than ``hours``, the latest; null if none."""
     fresh = cache.where(F.col("created") > as_of - F.expr(f"interval {int(hours)} hours"))
-    latest = fresh.groupBy("domain").agg(F.max_by("schema", "created").alias("schema"))
+    latest = fresh.groupBy("domain").agg(F.max_by("schema", F.struct("created", "schema")).alias("schema"))
     return requests.join(latest, "domain", "left")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 CATALOG = "corporation_name primary_url secondary_urls facility_types priority notes estimated_facilities last_updated".split()
 
@@ -47,8 +50,34 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*(F.array_join(F.filter(c, lambda x: x != ""), " | ").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes))
 
 
-def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:
+def nested_flat(df: DataFrame) -> DataFrame:
+    """Nested fields as columns of dotted names, lists as JSON text; for CSV."""
+
+    def leaves(column: Column, kind: DataType, name: str) -> list[Column]:
+        if isinstance(kind, StructType):
+            return [leaf for f in kind.fields for leaf in leaves(column.getField(f.name), f.dataType, f"{name}.{f.name}")]
+        return [(F.to_json(column) if isinstance(kind, (ArrayType, MapType)) else column).alias(name)]
+
+    return df.select(*(leaf for f in df.schema.fields for leaf in leaves(F.col(f"`{f.name}`"), f.dataType, f.name)))
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", partition_by: tuple[str, ...] = ()) -> None:
+    """Write a table as json, csv (lists joined) or parquet, in folders by the values of ``partition_by``."""
     if kind not in ("json", "csv", "parquet"):
         raise ValueError(f"unknown format {kind}")
-    writer = (flat(df) if kind == "csv" else df).write.mode(mode)
+    writer = (flat(df) if kind == "csv" else df).write.mode(mode).partitionBy(*partition_by)
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
+
+def write_run(path: str, generated: str, mode: str = "error", **tables: DataFrame) -> None:
+    """A run as one folder: a JSON table for each of ``tables`` (facilities, validation_reports, scraping_results),
+    and their sizes with the date in ``summary``. Tables stay apart, as one document of them all would pass through one task."""
+    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n", F.lit(generated).alias("generation_date")) for name, df in tables.items()]
+    for name, df in tables.items():
+        df.write.mode(mode).json(f"{path}/{name}")
+    reduce(DataFrame.unionByName, sizes).coalesce(1).write.mode(mode).json(f"{path}/summary")
+
+
+def consolidate(runs: list[DataFrame]) -> DataFrame:
+    """All records of several runs, whatever columns each has."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
