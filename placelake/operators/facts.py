@@ -137,7 +137,9 @@ def _first_text(texts: Column, how) -> Column:
 def contacts(df: DataFrame) -> DataFrame:
     """Phone, email and address of a page: of contact sections, of the whole text, of elements, of links to maps; a later way overrules an earlier one."""
     section = T.head(F.filter(F.transform("contact_texts", T.parse_address), lambda a: a["address"].isNotNull() | a["zip_code"].isNotNull()))
-    element = T.parse_address(F.col("address_text"))
+    # columns of their own, so that each is worked out once
+    df = df.withColumns({"_section": section, "_element": T.parse_address(F.col("address_text"))})
+    section, element = F.col("_section"), F.col("_element")
     phones = F.filter(F.transform(F.regexp_extract_all("text", F.lit(K.PHONE), 1), T.clean_phone), T.valid_phone)
     emails = F.filter(F.regexp_extract_all("text", F.lit(K.EMAIL), 1), lambda e: ~F.lower(e).rlike("|".join(K.EMAIL_FALSE)))
     full = lambda c: F.nullif(c, F.lit(""))
@@ -149,7 +151,7 @@ def contacts(df: DataFrame) -> DataFrame:
         F.coalesce(full(F.col("mailto")), T.head(emails), _first_text(F.col("contact_texts"), T.email), F.lit("")).alias("email"),
         F.coalesce(street, F.lit("")).alias("address"),
         *(F.coalesce(_of(parts, c), element[c], section[c], F.lit("")).alias(c) for c in ("city", "state", "zip_code")),
-    )
+    ).drop("_section", "_element")
 
 
 def assemble(facts_df: DataFrame, key: str = "page_id") -> DataFrame:

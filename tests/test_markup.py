@@ -77,7 +77,7 @@ def test_cascade(spark, pages):
     found = X.extract(pages)
     got = {r.page_id: r for r in found.collect()}
     assert {k: (r.method, r.schema_name) for k, r in got.items()} == {
-        1: ("regex_extraction", "standard_facility_listing"), 2: ("predefined_schema", "standard_facility_listing"), 3: ("regex_extraction", None),
+        1: ("none", "standard_facility_listing"), 2: ("predefined_schema", "standard_facility_listing"), 3: ("regex_extraction", None),
         4: ("predefined_schema", "table_facility_listing"), 5: ("none", None), 6: ("none", None), 7: ("none", None),
     }
     assert [(r.name, r.address, r.city, r.services) for r in got[2].records] == [("Pine Center", "1 Pine St", "Reno", ["A", "B"])]
