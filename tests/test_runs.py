@@ -1,6 +1,7 @@
 """Sinks, workbooks, streams and summaries on small inputs, empty ones included."""
 
 import json
+import os
 import xml.etree.ElementTree as ET
 import zipfile
 from datetime import datetime
@@ -67,6 +68,7 @@ def _stream(spark, folder, rows):
     folder.mkdir()
     for i, row in enumerate(rows):
         (folder / f"{i}.json").write_text(json.dumps(row | {"at": "2026-01-01T00:00:00"}))
+        os.utime(folder / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).json(str(folder))
 
 
