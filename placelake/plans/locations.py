@@ -207,7 +207,7 @@ def dedup_signature(spark, d):
 def similarity_pairs(spark, d):
     f = D.signature(facilities(spark, d)).select("ord", "phone_key", "address", "name_key", "zip_code")
     a, b = f.select(F.struct("*").alias("a")), f.select(F.struct("*").alias("b"))
-    j = a.join(b, (F.col("a.phone_key") == F.col("b.phone_key")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("b.ord") - F.col("a.ord") < 200))
+    j = a.join(b, (F.col("a.phone_key") == F.col("b.phone_key")) & (F.col("a.ord") < F.col("b.ord")))
     return j.select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.round(D.similarity("a", "b"), 6).alias("similarity"))
 
 

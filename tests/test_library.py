@@ -75,6 +75,22 @@ def test_greedy(spark):
     assert D.greedy(df.limit(0), "ord").count() == 0
 
 
+def test_similarity_pairs(spark, tmp_path):
+    ids = [1, 3, 41, 201, 281, 2001, 14001]  # of one phone but for 3, most of them 200 and more apart
+    rows = [(i, f"Customer#{i:09d}", "BUILDING") for i in ids]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+
+    def likeness(a, b):
+        x, y = (f"{k % 50} main st" for k in (a, b))
+        p, q = (f"customer{k:09d}" for k in (a, b))
+        s = 0.4 + (0.3 if x == y else 0.21 if D._match(x, y) >= 0.8 else 0) + (0.1 if D._match(p, q) >= 0.7 else 0)
+        return round(s + (0.1 if a % 7 == b % 7 else 0), 6)
+
+    want = {(a, b): likeness(a, b) for a in ids for b in ids if a < b and a % 40 == b % 40}
+    got = {(r.a_ord, r.b_ord): r.similarity for r in QUERIES["similarity_pairs"](spark, str(tmp_path)).collect()}
+    assert len(want) == 15 and got == pytest.approx(want)
+
+
 def test_reach(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src int, dst int")
     got = {r.url: r.depth for r in L.reach(edges, spark.createDataFrame([(1,)], "url int"), 3).collect()}
