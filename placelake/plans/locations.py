@@ -177,7 +177,7 @@ def split_explode(spark, d):
 
 @query("SELECT doc_id, key FROM (SELECT doc_id, lower(substr(text, 1, 40)) AS key, row_number() OVER (PARTITION BY lower(substr(text, 1, 40)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def key_dedup_first(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.lower(F.substring("text", 1, 40)).alias("key"))
+    x = table(spark, d, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("key"))  # of whole texts
     return D.first_per_key(x, ["key"], "doc_id")
 
 

@@ -75,6 +75,13 @@ def test_greedy(spark):
     assert D.greedy(df.limit(0), "ord").count() == 0
 
 
+def test_key_dedup_first(spark, tmp_path):
+    opening = "The same opening of more than forty characters, "
+    rows = [(1, opening + "then one"), (2, opening + "then two"), (3, opening.upper() + "THEN ONE"), (4, None), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in QUERIES["key_dedup_first"](spark, str(tmp_path)).collect()) == [1, 2, 4, 6]
+
+
 def test_similarity_pairs(spark, tmp_path):
     ids = [1, 3, 41, 201, 281, 2001, 14001]  # of one phone but for 3, most of them 200 and more apart
     rows = [(i, f"Customer#{i:09d}", "BUILDING") for i in ids]
