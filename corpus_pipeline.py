@@ -47,9 +47,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once if more.isEmpty() else once.unionByName(of(more).dropDuplicates(["doc_id", "text"]))
 
 
+PASSAGE_WORDS = 51
+"""Shared passages of so many words are cut, whatever their bytes."""
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the bytes of passages that are repeated; what a cut leaves of a character goes too. Null texts stay null."""
-    out = remove_repeats(docs, carry=tuple(docs.columns))
+    out = remove_repeats(docs, carry=tuple(docs.columns), words=PASSAGE_WORDS)
     rows = out.select("row", F.coalesce("rest", "row.text").alias("text"))
     fields = [F.col("text") if c == "text" else F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return rows.select(*fields)

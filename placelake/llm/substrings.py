@@ -31,6 +31,8 @@ TRIGGER = 16
 TRIGGER_BITS = 6
 """A trigger starts at one position in 2**6."""
 BLOCK = 20
+SHINGLE = 16
+"""Words of the shingles that stand for windows of words."""
 SPAN, EMIT = 0, 1
 """What becomes of a region: all its windows are repeated, or some may be."""
 
@@ -250,9 +252,84 @@ def _judged(regions: DataFrame, name: str) -> DataFrame:
     return write_table(ordered.mapInArrow(_neighbours, "id long, h long, lo int, n int, at int, kind int"), name)
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each window of ``words`` words, the place of the least hash of the shingles in it (the first of equal ones), and the hashes of all shingles."""
+    sums, size = bh.prefix_sums(data), min(SHINGLE, words)
+    start, end, of = bh.words(data, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(of))
+    m = len(start) - words + 1
+    if m <= 0:
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64)
+    hashes = bh.mix(bh.range_hash(sums, start[: len(start) - size + 1], end[size - 1 :]))
+    least, place, span, reach = hashes, np.arange(len(hashes)), words - size + 1, 1
+
+    def earlier(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        after = least[b] < least[a]
+        return np.where(after, least[b], least[a]), np.where(after, place[b], place[a])
+
+    while 2 * reach <= span:
+        least, place = earlier(slice(None, -reach), slice(reach, None))
+        reach *= 2
+    if reach < span:
+        least, place = earlier(slice(0, m), slice(span - reach, span - reach + m))
+    at = np.flatnonzero(row[:m] == row[words - 1 :])
+    return row[at], start[at], end[at + words - 1], place[at], hashes
+
+
+def _anchors(words: int):
+    """A row per shingle that stands for windows of words: equal windows have equal ones, at different places. ``lo`` and ``n`` count its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = byte_arrays(part.column("text"))
+                row, _, _, place, hashes = _word_windows(data, offsets, words)
+                head = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(row, prepend=-1))
+                key = pa.array(hashes[place[head]].view(np.int64))
+                lo, n = head - np.searchsorted(row, row[head]), np.diff(np.append(head, len(row)))
+                take = pa.array(row[head], pa.int64())
+                yield pa.RecordBatch.from_arrays([key, key, part.column("id").take(take), part.column("h").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(np.zeros(len(head)), pa.int32())], ["key", "region", "id", "h", "lo", "n", "at"])
+
+    return run
+
+
+def _chosen_windows(words: int, width: int):
+    """The windows of words of ``anchors``, as the bytes that they cover; ``n`` windows of ``width`` bytes from ``lo`` on, perhaps below 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = byte_arrays(part.column("text"))
+                row, start, end, _, _ = _word_windows(data, offsets, words)
+                lists = part.column("anchors")
+                per = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
+                lo, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "n"))
+                lo += np.searchsorted(row, np.repeat(np.arange(len(per)), per))
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, start, end = row[at], start[at], end[at]
+                key = pa.array(bh.range_hash(bh.prefix_sums(data), start, end).view(np.int64))
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([key, key, part.column("id").take(take), part.column("h").take(take), pa.array(start - offsets[row], pa.int32()), pa.array(end - start - width + 1, pa.int32()), pa.array(np.zeros(len(at)), pa.int32())], ["key", "region", "id", "h", "lo", "n", "at"])
+
+    return run
+
+
+def _repeated_words(texts: DataFrame, words: int, width: int) -> DataFrame:
+    """id, h, lo and n of the windows of ``words`` words whose bytes also stand anywhere else."""
+    texts = texts.where(F.octet_length("text") >= 2 * words - 1)
+    anchors = _judged(texts.mapInArrow(_anchors(words), _ORDERED), "anchors").where(F.col("kind") == SPAN)
+    wanted = anchors.groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n")).alias("anchors"))
+    windows = texts.join(wanted, ["id", "h"]).mapInArrow(_chosen_windows(words, width), _ORDERED)
+    return _judged(windows, "word-windows").where(F.col("kind") == SPAN).select("id", "h", "lo", "n")
+
+
+def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = ("doc_id",), words: int | None = None) -> DataFrame:
     """Cut every byte out of ``text`` that a ``width``-byte string covers which also starts anywhere else.
 
+    With ``words``, bytes that so many whole words cover which also stand anywhere else are cut too,
+    however few they are.
+
     ``docs`` needs doc_id (long) and text; returns a row per row: ``row`` (a struct of the columns
     ``carry``), n_bytes, n_removed, spans (array of start, end in bytes of the input: the maximal
     removed runs), kept (binary: the remaining bytes, perhaps no valid UTF-8 at the cuts) and rest (kept
@@ -276,6 +353,8 @@ def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = (
     found = windows.where("weight = 1").join(again, "window").unionByName(windows.where("window is null"))
 
     repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n"))
+    if words:
+        repeats = repeats.unionByName(_repeated_words(texts, words, width))
     repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("repeats"))
     none = F.expr("cast(array() as array<struct<lo:int,n:int>>)")
     all_ = docs.join(repeats, ["id", "h"], "left").select("row", "text", F.coalesce("repeats", none).alias("repeats"))
