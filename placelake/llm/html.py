@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas".split())
+#: Elements whose children may be closed by a slash, and what isn't shown inside them.
+FOREIGN = {"svg": frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()), "math": frozenset("annotation annotation-xml".split())}
+#: Where HTML goes on inside them.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address li dt dd tr caption thead tbody tfoot figcaption details summary legend option center".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split())
@@ -34,14 +38,15 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "lines", "tag")
+    __slots__ = ("attrs", "children", "lines", "tag", "unseen")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
         self.lines: list[str] = []  # of a table, rendered
+        self.unseen = False  # by where it stands
 
     def visible(self) -> bool:
-        if self.tag in UNSEEN or "hidden" in self.attrs:
+        if self.unseen or self.tag in UNSEEN or "hidden" in self.attrs:
             return False
         if self.tag == "input" and (self.attrs.get("type") or "").lower() == "hidden":
             return False
@@ -88,13 +93,28 @@ class Builder(HTMLParser):
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.handle_starttag("tr", [])
         node = Node(tag, dict(attrs))
+        node.unseen = any(self.count[t] and tag in hidden for t, hidden in FOREIGN.items())
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.count[tag] += 1
 
+    def _foreign(self) -> str:
+        """``svg`` or ``math`` if the next element belongs to one, else ''."""
+        if not any(self.count[t] for t in FOREIGN):
+            return ""
+        for node in reversed(self.open):
+            if node.tag in FOREIGN:
+                return node.tag
+            if node.tag in INTEGRATION:
+                return ""
+        return ""
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        closed = tag in FOREIGN or bool(self._foreign())
         self.handle_starttag(tag, attrs)
+        if closed and self.open[-1].tag == tag:
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):

@@ -305,6 +305,12 @@ def test_chat_escape(spark):
         assert chat.unescape(r.e) == texts[r.i] and chat.unescape_role(r.r) == texts[r.i]
 
 
+def test_foreign():
+    assert html.render('<div>a<svg class="i"/>visible<p>more</p></div>') == "avisible\n\nmore"
+    assert html.render("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds") == "so x=2 holds"
+    assert html.render("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>Sales</text></svg> end") == "Sales end"
+
+
 def test_html(spark):
     assert html.render("<p>a  b<br>c<p>d<script>x</script><div hidden>no</div><!-- no -->&amp;") == "a b\nc\n\nd\n\n&"  # the div ends the paragraph
     assert html.render("<ul><li>one<li>two<ol><li>in<li>side</ol></ul>end") == "- one\n- two\n  1. in\n  2. side\n\nend"
