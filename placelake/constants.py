@@ -101,3 +101,7 @@ ALIASES = {
 }
 # Weights of the declared overall quality.
 QUALITY_WEIGHTS = {"completeness": 0.4, "accuracy": 0.3, "consistency": 0.2, "freshness": 0.1}
+
+JSON_LD_TYPES = ("Organization", "LocalBusiness", "HealthAndBeautyBusiness")
+JSON_LD_FIELDS = {c: c for c in ("name", "description", "url", "telephone", "email")}
+JSON_LD_ADDRESS = {"street_address": "streetAddress", "city": "addressLocality", "state": "addressRegion", "zip_code": "postalCode", "country": "addressCountry"}

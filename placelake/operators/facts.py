@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ _INPUT = pa.struct([("name", _TEXT), ("type", _TEXT), ("required", pa.bool_())])
 _FORM = pa.struct([("action", _TEXT), ("method", _TEXT), ("text", _TEXT), ("fields", pa.list_(_INPUT))])
 FIELDS = [
     pa.field("text", _TEXT), pa.field("title", _TEXT), pa.field("name", _TEXT), pa.field("description", _TEXT),
-    pa.field("microdata", pa.list_(_PAIR)), pa.field("contact_texts", _TEXTS), pa.field("tel", _TEXT), pa.field("mailto", _TEXT),
+    pa.field("microdata", pa.list_(_PAIR)), pa.field("json_ld", pa.list_(_PAIR)), pa.field("contact_texts", _TEXTS), pa.field("tel", _TEXT), pa.field("mailto", _TEXT),
     pa.field("address_parts", pa.list_(_PAIR)), pa.field("address_text", _TEXT), pa.field("maps_links", _TEXTS),
     pa.field("services", pa.list_(_ITEM)), pa.field("forms", pa.list_(_FORM)), pa.field("nav_links", _TEXTS),
     pa.field("numbered_links", _TEXTS), pa.field("next_links", _TEXTS), pa.field("card_links", pa.list_(_TEXTS)),
@@ -58,6 +60,25 @@ def _microdata(root: Element) -> dict[str, str]:
     return out
 
 
+def _json_ld(root: Element) -> dict[str, str]:
+    """Fields of the organisations and businesses in JSON-LD blocks; later items win, also by empty values. Bad JSON is passed over."""
+    out: dict[str, str] = {}
+    for script in select(root, 'script[type="application/ld+json"]'):
+        try:
+            data = json.loads("".join(c for c in script.children if isinstance(c, str)))
+        except (ValueError, RecursionError):
+            continue
+        for item in data if isinstance(data, list) else [data]:
+            if not isinstance(item, dict) or item.get("@type") not in K.JSON_LD_TYPES:
+                continue
+            address = item.get("address", {})
+            found = {name: item.get(key, "") for name, key in K.JSON_LD_FIELDS.items()}
+            if isinstance(address, dict):
+                found |= {name: address.get(key, "") for name, key in K.JSON_LD_ADDRESS.items()}
+            out |= {k: v if isinstance(v, str) else "" if not v else json.dumps(v, ensure_ascii=False) for k, v in found.items()}
+    return out
+
+
 def _address(root: Element) -> tuple[dict[str, str], str]:
     x = select_first(root, '[itemprop="address"], .address, .location')
     if x is None:
@@ -113,7 +134,7 @@ def facts(html: str | None) -> tuple:
     pairs = lambda d: [{"name": k, "value": v} for k, v in d.items()]
     return (
         root.lines(), title, _name(root, title), _description(root),
-        pairs(_microdata(root)), [x.lines() for x in select(root, K.CONTACT_SELECTORS)], tel, mail,
+        pairs(_microdata(root)), pairs(_json_ld(root)), [x.lines() for x in select(root, K.CONTACT_SELECTORS)], tel, mail,
         pairs(parts), address_text, _hrefs(root, 'a[href*="maps.google"], a[href*="google.com/maps"]'),
         [{"kind": k, "item": i} for k, i in _services(root)], _forms(root), _hrefs(root, K.NAV_LINK_SELECTORS),
         _hrefs(root, K.NUMBERED_SELECTORS), _hrefs(root, K.NEXT_SELECTORS), _cards(root),
@@ -155,17 +176,19 @@ def contacts(df: DataFrame) -> DataFrame:
 
 
 def assemble(facts_df: DataFrame, key: str = "page_id") -> DataFrame:
-    """A facility record per page: microdata first, then contacts, type, services and what the text says of beds, staff and licences."""
+    """A facility record per page: microdata first, then JSON-LD, contacts, type, services and what the text says of beds, staff and licences."""
     df = contacts(facts_df)
     micro = F.col("microdata")
-    first = lambda name, other: F.coalesce(_of(micro, name), other, F.lit(""))
+    ld = lambda name: F.nullif(_of(F.col("json_ld"), name), F.lit(""))
+    first = lambda name, other: F.coalesce(_of(micro, name), ld(name), other, F.lit(""))
+    place = lambda name, other: first(name, F.col(other)).alias(other)
     items = lambda kind: F.transform(F.filter("services", lambda s: s["kind"] == kind), lambda s: s["item"])
     text = F.col("text")
     return df.select(
         key,
         first("name", F.col("name")).alias("name"), first("description", F.col("description")).alias("description"),
         first("telephone", F.col("phone")).alias("phone"), first("email", F.col("email")).alias("email"),
-        "address", "city", "state", "zip_code",
+        place("street_address", "address"), *(place(c, c) for c in ("city", "state", "zip_code")),
         F.coalesce(F.nullif(T.title_case(T.best_type(text, K.FACILITY_TYPES)), F.lit("")), F.lit(K.OTHER_TYPE)).alias("facility_type"),
         T.beds(text).alias("beds"), T.administrator(text).alias("administrator"), T.license_number(text).alias("license_number"), T.medicare_id(text).alias("medicare_provider_id"),
         *(items(kind).alias(kind) for kind in ("services_offered", *K.SERVICE_KINDS)),

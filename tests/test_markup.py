@@ -64,6 +64,18 @@ def test_assemble(facts):
     assert P.assemble(facts).where("page_id = 6").count() == 2 and got[7].name == ""
 
 
+def test_json_ld(spark):
+    ld = '<script type="application/ld+json">%s</script>'
+    full = """[{"@type": "LocalBusiness", "name": "Oak", "description": "D", "telephone": "1", "email": "a@b.co",
+      "address": {"streetAddress": "1 Oak St", "addressLocality": "Reno", "addressRegion": "NV", "postalCode": "89501"}}, 3]"""
+    micro = '<div itemscope itemtype="https://schema.org/LocalBusiness"><span itemprop="name">Elm</span></div>'
+    pages = [(1, ld % full), (2, micro + ld % full), (3, ld % '{"@type": ["LocalBusiness"], "name": "No"}' + ld % "{bad"), (4, None)]
+    out = P.assemble(P.page_facts(spark.createDataFrame(pages, "page_id int, html string")))
+    got = {r.page_id: (r.name, r.description, r.phone, r.email, r.address, r.city, r.state, r.zip_code) for r in out.collect()}
+    oak = ("Oak", "D", "1", "a@b.co", "1 Oak St", "Reno", "NV", "89501")
+    assert got == {1: oak, 2: ("Elm", *oak[1:]), 3: ("",) * 8, 4: ("",) * 8}
+
+
 def test_navigation(pages, facts):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(P.search_forms(facts)) == [(1, "https://x.com/find", "get", "q", "text", True), (1, "https://x.com/find", "get", "s", "text", False)]
