@@ -44,7 +44,7 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_rules(_table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
+    return repetition_rules(_table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat", "short_covered")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ from placelake.llm.shared import byte_arrays, chunks
 
 SHORTEST = 8
 MOST_COVERED = 0.30
+SHORT = 3
+MOST_SHORT = 0.50
+"""At most this share of a text is in maximal repeats of SHORT words or more, which the base rules don't see."""
 LONGEST = 200
 """Words; and at most half of the text."""
 
@@ -96,7 +99,7 @@ def _covered(n: int, repeats: list[tuple[int, np.ndarray]]) -> int:
     return int(np.count_nonzero(np.cumsum(step[:-1]) > 0))
 
 
-def _measure(shortest: int):
+def _measure(shortest: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -126,54 +129,59 @@ def _measure(shortest: int):
                 first = np.unique(key, return_index=True)[1]
                 dup_lines = np.bincount(line_row[full], minlength=rows) - np.bincount(line_row[full][first], minlength=rows)
 
-                # windows of ``shortest`` words that occur twice or more in their text
                 word = bh.range_hash(sums, start, end)
                 row = np.repeat(np.arange(rows), n_words)
-                m = max(0, len(word) - shortest + 1)
-                window = np.zeros(m, np.uint64)
-                for k in range(shortest):
-                    window += word[k : k + m] * _PLACE[k]
-                inside = row[:m] == row[shortest - 1 :][:m] if m else np.zeros(0, bool)
-                at = np.flatnonzero(inside)
-                key = bh.mix(window[at] + row[at].astype(np.uint64) * _PLACE[62])
-                order = np.argsort(key)
-                same = key[order[1:]] == key[order[:-1]] if len(order) else np.zeros(0, bool)
-                again = np.zeros(len(at), bool)
-                again[order[1:]] |= same
-                again[order[:-1]] |= same
-                step = np.zeros(len(word) + 1, np.int64)
-                np.add.at(step, at[again], 1)
-                np.add.at(step, at[again] + shortest, -1)
-                repeated = per_row(np.cumsum(step[:-1]) > 0, of)
-
-                covered, longest = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-                for r in np.flatnonzero(repeated).tolist():
-                    found = maximal_repeats(word[of[r] : of[r + 1]], shortest)
-                    covered[r] = _covered(int(n_words[r]), found)
+
+                def in_repeats(size: int, word: np.ndarray = word, row: np.ndarray = row, of: np.ndarray = of, per_row=per_row) -> np.ndarray:
+                    """Words in windows of ``size`` words that occur twice or more in their text."""
+                    m = max(0, len(word) - size + 1)
+                    window = np.zeros(m, np.uint64)
+                    for k in range(size):
+                        window += word[k : k + m] * _PLACE[k]
+                    inside = row[:m] == row[size - 1 :][:m] if m else np.zeros(0, bool)
+                    at = np.flatnonzero(inside)
+                    key = bh.mix(window[at] + row[at].astype(np.uint64) * _PLACE[62])
+                    order = np.argsort(key)
+                    same = key[order[1:]] == key[order[:-1]] if len(order) else np.zeros(0, bool)
+                    again = np.zeros(len(at), bool)
+                    again[order[1:]] |= same
+                    again[order[:-1]] |= same
+                    step = np.zeros(len(word) + 1, np.int64)
+                    np.add.at(step, at[again], 1)
+                    np.add.at(step, at[again] + size, -1)
+                    return per_row(np.cumsum(step[:-1]) > 0, of)
+
+                repeated = in_repeats(shortest)
+                covered, longest, short_covered = (np.zeros(rows, np.int64) for _ in range(3))
+                for r in np.flatnonzero(in_repeats(short)).tolist():  # in others no interval reaches ``short``
+                    found = maximal_repeats(word[of[r] : of[r + 1]], short)
+                    covered[r] = _covered(int(n_words[r]), [x for x in found if x[0] >= shortest])
+                    short_covered[r] = _covered(int(n_words[r]), found)
                     longest[r] = max((x[0] for x in found), default=0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), *(pa.array(x.astype(np.int64)) for x in (n_words, signs, symbols, dup_lines, repeated, covered, longest))],
-                    ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"],
+                    [part.column("row"), *(pa.array(x.astype(np.int64)) for x in (n_words, signs, symbols, dup_lines, repeated, covered, longest, short_covered))],
+                    ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "short_covered"],
                 )
 
     return run
 
 
-def repetition_rules(docs: DataFrame, shortest: int = SHORTEST, most_covered: float = MOST_COVERED, longest: int = LONGEST, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def repetition_rules(docs: DataFrame, shortest: int = SHORTEST, most_covered: float = MOST_COVERED, longest: int = LONGEST, carry: tuple[str, ...] = ("doc_id",), short: int = SHORT, most_short: float = MOST_SHORT) -> DataFrame:
     """Measure the repetition in each text and judge it.
 
     ``docs`` needs text. Returns a row per row: ``row`` (struct of the columns ``carry``), n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words (in maximal repeats of at least
-    ``shortest`` words), longest_repeat (words), base_failed (fewer than 20 words, or over 30 % of them
+    ``shortest`` words), longest_repeat (words, of at least ``short``), short_covered (words in maximal
+    repeats of at least ``short`` words), base_failed (fewer than 20 words, or over 30 % of them
     in windows of ``shortest`` words found twice or more) and kept. A text is kept if the base rules
-    hold, at most ``most_covered`` of its words are in repeats, and its longest repeat has at most
+    hold, at most ``most_covered`` of its words are in repeats, at most ``most_short`` of them in short ones too, and its longest repeat has at most
     ``longest`` words and is at most half of the text. Null and empty texts have no words and fail.
     Words are cut at ASCII white space and compared byte by byte; whole texts are read, however long.
     """
     row = F.struct(*carry).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
-    out = docs.select(row, "text").mapInArrow(_measure(shortest), f"row {kind}, " + ", ".join(f"{c} long" for c in columns))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "short_covered")
+    out = docs.select(row, "text").mapInArrow(_measure(shortest, min(short, shortest)), f"row {kind}, " + ", ".join(f"{c} long" for c in columns))
     out = out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
-    good = (F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest) & (2 * F.col("longest_repeat") <= F.col("n_words"))
+    good = (F.col("short_covered") <= most_short * F.col("n_words")) & (F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest) & (2 * F.col("longest_repeat") <= F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & good)

@@ -207,6 +207,14 @@ def test_repetition(spark, rows, docs):
     assert repetition.repetition_rules(empty(spark)).count() == 0
 
 
+def test_template_text(spark):
+    template = " ".join(f"please call our friendly staff today about w{k}" for k in range(40))
+    plain = " ".join(f"v{k}" for k in range(320))
+    df = spark.createDataFrame([(1, template), (2, plain)], "doc_id long, text string")
+    got = {r.row.doc_id: (r.base_failed, r.short_covered, r.longest_repeat, r.kept) for r in repetition.repetition_rules(df).collect()}
+    assert got == {1: (False, 280, 7, False), 2: (False, 0, 0, True)}
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(200):
