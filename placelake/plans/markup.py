@@ -82,7 +82,7 @@ def block_records(spark, d):
 
 @query()
 def keyed_block_records(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.explode(X.keyed_records(F.col("html"))).alias("r"))
+    rows = table(spark, d, "pages").select("page_id", F.explode(X.keyed_records(F.col("html"), most=None)).alias("r"))
     return rows.select("page_id", "r.name", "r.phone", "r.email", "r.address", "r.zip_code")
 
 

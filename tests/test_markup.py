@@ -7,6 +7,7 @@ from placelake.functions import dom
 from placelake.functions import text as T
 from placelake.operators import cascade as X
 from placelake.operators import facts as P
+from placelake.plans.queries import QUERIES
 from placelake.schemas import SCHEMAS
 
 HOME = """<html><head><title>Oak Manor | Corp</title><script>fetch("/api/locations?x=1"); $.get('/other')</script></head><body>
@@ -118,6 +119,12 @@ def test_replies(spark):
     assert [[r.name for r in row[0]] for row in df.select(X.reply_records(F.col("reply"))).collect()] == [[], ["Yew Hall", "Bay Hall"], [], [], []]
 
 
+def test_all_blocks(spark, tmp_path):
+    html = "".join(f"<section><h2>Bay Center {i}</h2> 555-201-3000</section>" for i in range(60))
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert QUERIES["keyed_block_records"](spark, str(tmp_path)).count() == 60
+
+
 def test_wide_blocks(spark):
     html = '<section><h2>Bay Center</h2> 555-201-3000</section><article><h2>No</h2></article><li class="location"><h4>Elm home</h4> a@b.co</li>'
     df = spark.createDataFrame([(html,), ("x" * 99,), (None,)], "html string")
