@@ -1,26 +1,38 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
-A rolling hash over TRIGGER bytes cuts every text at its triggers into phrases, each phrase running
-to the end of the trigger that opens the next one. A window of ``width`` bytes is named by the first
-trigger in it: the bytes before that trigger are a suffix of a dictionary phrase, those from it on a
-prefix of a suffix of the parse. Windows of one phrase occurrence form a region. In the order of the
-parse suffixes (their fingerprint over half a window), and below that of the dictionary's phrase
-suffixes (the region's fingerprint), equal regions are neighbours: whole regions that occur again
-are settled there. Only regions that share a parse suffix but not the region itself, at the rims of
-repeated passages, go on to a comparison window by window. Fingerprints of 64 bits stand in for
-ranks; the order is range-partitioned, so that a passage in a third of all texts is spread too.
-Before single windows are compared, such a region is ordered once more in blocks of BLOCK windows,
-by what the block's windows share and by all that they cover.
-
-Windows without any trigger, which are rare or periodic, are compared one by one as well.
+A hash over TRIGGER bytes marks triggers in every text. A phrase runs from one trigger (or the start of
+the text) to the end of the next trigger (or of the text), so that neighbours overlap by a trigger and
+no suffix of a phrase that is longer than a trigger begins another one.
+
+1. Dictionary: the phrases of all texts are sorted as bytes by a range partitioning over the cluster.
+   Those that occur twice or more get ranks, which are in the order of their bytes. A phrase that
+   occurs once can't lie in a repeated string, so it gets none.
+2. Parse: each text becomes the sequence of its phrases' ranks.
+3. Suffix array of the parse: the suffixes of the parse, as ranks and up to ``width`` bytes, are
+   sorted over the cluster, those that are equal by the rank of the phrase before. Of a suffix, none
+   shares more phrases than a neighbour in that order does, so the common prefix with the neighbours, in
+   bytes, says which windows are repeated: a window is named by the first trigger in it, starts ``d``
+   bytes before it, and is repeated if both suffixes share the phrase before and ``width - d`` bytes.
+4. Corpus order at the rims: a window whose first or last phrase is only in part that of its equal, by a
+   suffix or a prefix of the phrase, isn't settled by ranks. Windows that may be such are combined from
+   the phrase's suffix and the parse suffix and compared in a second sort: first in blocks of BLOCK windows, by what the block's windows share and by
+   all that they cover, then one by one. Here two hashes (62 and 62 bits or more) stand for the bytes.
+
+Windows with no trigger or with one between two unranked phrases, which are rare or periodic, go through step 4 only.
+Every order is range-partitioned with the text's id as its last key, so that a phrase or passage in
+a third of all texts is spread over many tasks; the rims of partitions are compared on the driver (a
+row or two per partition) in step 1, and go through step 4 after step 3.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,53 +49,324 @@ SPAN, EMIT = 0, 1
 """What becomes of a region: all its windows are repeated, or some may be."""
 
 _NO_ID = -(2**63)
+_ELEMENT = 12
+"""Bytes of a phrase in the key of a parse suffix: its rank and its length, the highest byte first."""
+_UNRANKED = -1
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """The regions of a batch of texts: row, key (parse suffix), region (dictionary suffix), lo and n of its windows, and the trigger's place, -1 where no trigger names them."""
-    sums, half, n = bh.prefix_sums(data), width // 2, len(data)
-    first, last = offsets[:-1], offsets[1:]
-    at = np.flatnonzero((bh.window_hash(sums, TRIGGER) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TRIGGER_BITS) == 0)
+def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where triggers start in a batch of texts, and their rows. It depends on the TRIGGER bytes from there on alone.
+
+    The last eight of them are hashed. Eight bytes that stood among the TRIGGER already don't count, so that texts of a
+    period of up to eight bytes have no triggers.
+    """
+    eight = bh.eights(data)
+    half = TRIGGER - 8
+    at = np.flatnonzero((bh.mix(eight[half:] + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - TRIGGER_BITS)) == 0)
+    for k in range(half):
+        at = at[eight[at + k] != eight[at + half]]
     row = np.searchsorted(offsets, at, "right") - 1
-    inside = at + TRIGGER <= last[row]
-    at, row = at[inside], row[inside]
-    before = np.concatenate([[-1], at[:-1]])
-    before = np.where(np.concatenate([[-1], row[:-1]]) == row, before, first[row] - 1) if len(at) else before[:0]
-    lo, hi = np.maximum(before + 1, at + TRIGGER - width), np.minimum(at, last[row] - width)
-
-    out = []
-    a, ok = np.maximum(lo, at - half), None
-    ok = a <= hi
-    t, x, y = at[ok], a[ok], hi[ok]
-    key = bh.range_hash(sums, t, t + half)
-    out.append((row[ok], key, bh.range_hash(sums, x, y + width) + (t - x).astype(np.uint64), x, y - x + 1, t - first[row[ok]]))
-    z = np.minimum(hi, at - half - 1)
-    ok = lo <= z
-    t, x, y = at[ok], lo[ok], z[ok]
-    key = ~bh.range_hash(sums, t - half, t + TRIGGER)
-    out.append((row[ok], key, bh.range_hash(sums, x, y + width) + (t - x).astype(np.uint64), x, y - x + 1, t - first[row[ok]]))
-
-    # windows that hold no trigger: before each trigger, and after the last one of a text
-    final = first - 1
-    final[row] = at  # the last assignment of a row stays
-    rows = np.arange(len(first))
-    x = np.concatenate([before + 1, final + 1])
-    y = np.minimum(np.concatenate([lo - 1, last - width]), np.concatenate([last[row], last]) - width)
-    r = np.concatenate([row, rows])
-    ok = x <= y
-    r, x, y = r[ok], x[ok], y[ok]
-    out.append((r, bh.mix(x.astype(np.uint64) ^ (sums[np.minimum(x + 8, n)] * np.uint64(3))), x.astype(np.uint64), x, y - x + 1, np.full(len(x), -1)))
-    row, key, region, lo, n, at = (np.concatenate(c) for c in zip(*out, strict=True))
-    return {"row": row, "key": key, "region": region, "lo": lo - first[row] if len(row) else lo, "n": n, "at": at}
-
-
-def _regions(width: int):
+    inside = at + TRIGGER <= offsets[1:][row]
+    return at[inside], row[inside]
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The phrases of a batch of texts in order: row, start and end in ``data``, ``before`` (how many windows have the trigger at the start as their first one; 0 where none is there) and ``after`` (bytes of the next phrase)."""
+    at, row = triggers(data, offsets)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    start = np.union1d(first, at)
+    row = np.searchsorted(offsets, start, "right") - 1
+    opens = np.isin(start, first, assume_unique=True)
+    follows = np.append(~opens[1:], False) if len(start) else opens
+    end = np.where(follows, np.append(start[1:], 0) + TRIGGER, offsets[1:][row])
+    trigger = np.isin(start, at, assume_unique=True)
+    gap = np.diff(start, prepend=0)
+    second = np.concatenate([[False], opens[:-1] & ~trigger[:-1]]) if len(start) else opens
+    before = np.where(opens, 1, gap + second) * trigger  # the first trigger names the windows from the text's start on
+    size = end - start
+    return {"row": row, "start": start, "end": end, "before": before, "after": np.where(follows, np.append(size[1:], 0), 0)}
+
+
+_PHRASES = "phrase binary, id long, h long, at int, before int, after int"
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            data, offsets = byte_arrays(part.column("text"))
+            p = phrases(data, offsets)
+            size = p["end"] - p["start"]
+            stop = np.cumsum(size)
+            bytes_ = data[np.repeat(p["start"] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+            take = pa.array(p["row"], pa.int64())
+            at = p["start"] - offsets[p["row"]]
+            yield pa.RecordBatch.from_arrays(
+                [binary_column(bytes_, np.concatenate([[0], stop])), part.column("id").take(take), part.column("h").take(take), *(pa.array(x, pa.int32()) for x in (at, p["before"], p["after"]))],
+                [x.split()[0] for x in _PHRASES.split(", ")],
+            )
+
+
+_RANKED = "rank long, id long, h long, at int, n int, before int, after int, digest binary"
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over phrases in order: rank and length of those that occur again. Those of the first and the last phrase of a partition have its digest and are put out in any case."""
+    base, run, held = TaskContext.get().partitionId() << 40, 0, None
+
+    def put(x: pa.RecordBatch, again: np.ndarray, rank: np.ndarray, edge: bool) -> pa.RecordBatch:
+        keep = np.flatnonzero(again | edge)
+        y = x.take(pa.array(keep))
+        digest = pa.array([hashlib.sha256(v.as_py()).digest() for v in y.column("phrase")] if edge else [None] * len(keep), pa.binary())
+        columns = [y.column(c) for c in ("id", "h", "at")]
+        return pa.RecordBatch.from_arrays([pa.array(base + rank[keep]), *columns, pc.binary_length(y.column("phrase")).cast(pa.int32()), y.column("before"), y.column("after"), digest], [c.split()[0] for c in _RANKED.split(", ")])
+
+    def judge(x: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        """``x`` holds whole runs, but perhaps for the last one."""
+        nonlocal run
+        phrase = x.column("phrase")
+        same = pc.equal(phrase.slice(1), phrase.slice(0, len(phrase) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        rank = run + np.concatenate([[0], np.cumsum(~same)])
+        head = rank == 0
+        tail = (rank == rank[-1]) & last
+        for part, edge in ((head, True), (tail & ~head, True), (~head & ~tail, False)):
+            at = np.flatnonzero(part)
+            if len(at):
+                for i in range(0, len(at), 1 << 16):
+                    some = at[i : i + (1 << 16)]
+                    yield put(x.take(pa.array(some)), again[some], rank[some], edge)
+        run = int(rank[-1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is None:
+            held = batch
+            continue
+        # the run at the end of what is held goes on with the batch; the tail of the batch waits
+        x = pa.concat_batches([held, batch])
+        phrase = x.column("phrase")
+        same = pc.equal(phrase.slice(1), phrase.slice(0, len(phrase) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
+        if cut:
+            yield from judge(x.slice(0, cut), False)
+            run += 1
+            held = x.slice(cut)
+        elif x.num_rows > _HELD:  # one phrase all along: what is held twice already is known to be repeated
+            yield from judge(x.slice(0, x.num_rows - 2), False)
+            held = x.slice(x.num_rows - 2)
+        else:
+            held = x
+    if held is not None:
+        yield from judge(held, True)
+
+
+_HELD = 1 << 17
+"""Rows of a single phrase that are held before they are put out."""
+
+
+def dictionary(texts: DataFrame) -> tuple[DataFrame, dict[int, int], set[int]]:
+    """``texts(id, h, text)`` -> the occurrences of repeated phrases (RANKED), which ranks of them are another one's, and which occur once after all.
+
+    Both are about the first and last phrase of each partition, so their number is at most twice that of partitions.
+    """
+    found = texts.mapInArrow(_phrases, _PHRASES)
+    ordered = found.repartitionByRange("phrase", "id", "at").sortWithinPartitions("phrase", "id", "at")
+    ranked = write_table(ordered.mapInArrow(_ranks, _RANKED), "ranks")
+    edges = ranked.where("digest is not null").groupBy("rank", "digest").agg(F.count("*").alias("n")).collect()
+    same: dict[int, int] = {}
+    count: dict[int, int] = {}
+    before = None
+    for e in sorted(edges, key=lambda e: e["rank"]):
+        rank = before[0] if before and before[1] == e["digest"] else e["rank"]
+        if rank != e["rank"]:
+            same[e["rank"]] = rank
+        count[rank] = count.get(rank, 0) + e["n"]
+        before = (rank, e["digest"])
+    return ranked.drop("digest"), same, {r for r, n in count.items() if n == 1}
+
+
+_SUFFIXES = "seq binary, prev long, id long, h long, at int, far int, tail int, limit int"
+
+
+def _parse_suffixes(width: int, same: dict[int, int], once: set[int]):
+    """Over the ranked phrases of whole texts, in order: the suffixes of the parse from each trigger on, up to ``width`` bytes or to the next phrase without rank.
+
+    ``prev`` is the rank of the phrase before, ``far`` how far before the trigger the first of its windows starts, ``tail``
+    how many bytes of the text, up to ``width``, the suffix could share with another one at most, ``limit`` how far before the trigger a
+    window may start that isn't over before the next trigger (or the text) ends.
+    """
+    was = np.array(sorted(same), np.int64)
+    now = np.array([same[r] for r in sorted(same)], np.int64)
+    single = np.array(sorted(once), np.int64)
+
+    def suffixes(x: pa.RecordBatch) -> pa.RecordBatch:
+        rank, id_, h, at, n, before, after = (x.column(c).to_numpy().astype(np.int64) for c in ("rank", "id", "h", "at", "n", "before", "after"))
+        if len(was):
+            i = np.minimum(np.searchsorted(was, rank), len(was) - 1)
+            rank = np.where(was[i] == rank, now[i], rank)
+        keep = ~np.isin(rank, single)
+        rank, id_, h, at, n, before, after = (c[keep] for c in (rank, id_, h, at, n, before, after))
+        m = len(rank)
+        row = np.cumsum(np.concatenate([[0], (id_[1:] != id_[:-1]) | (h[1:] != h[:-1])])[:m])
+        joined = np.zeros(m + 1, bool)  # whether a phrase goes on from the one before
+        joined[1:-1] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + n[:-1] - TRIGGER)
+        run_end = np.flatnonzero(~joined[1:])  # the last phrase of each run
+        stop = run_end[np.searchsorted(run_end, np.arange(m))] if m else at
+        end = (row << 40) + at + n
+        last = np.minimum(np.searchsorted(end, (row << 40) + at + width), stop)
+        tail = np.minimum(at[last] + n[last] - at + np.maximum(after[last] - TRIGGER, 0), width)
+        far, limit = np.minimum(before - 1, width - TRIGGER), width - n - (after == 0)
+        j = np.flatnonzero((before > 0) & (tail >= width - far))
+        element = np.empty((m, _ELEMENT), np.uint8)
+        element[:, :8] = rank.astype(">u8")[:, None].view(np.uint8)
+        element[:, 8:] = n.astype(">u4")[:, None].view(np.uint8)
+        size = last[j] - j + 1
+        total = np.cumsum(size)
+        which = np.repeat(j - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+        seq = binary_column(element[which].ravel(), np.concatenate([[0], total]) * _ELEMENT)
+        prev = np.where(joined[:-1], np.concatenate([[_UNRANKED], rank])[:m], _UNRANKED)[j]
+        return pa.RecordBatch.from_arrays([seq, pa.array(prev), pa.array(id_[j]), pa.array(h[j]), *(pa.array(c[j], pa.int32()) for c in (at, far, tail, limit))], [c.split()[0] for c in _SUFFIXES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = pa.concat_batches([held, batch]) if held is not None else batch
+            id_, h = x.column("id").to_numpy(), x.column("h").to_numpy()
+            cut = np.flatnonzero((id_[1:] != id_[:-1]) | (h[1:] != h[:-1]))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            held = x.slice(cut)
+            for i in range(0, cut, 1 << 16):  # texts aren't cut
+                a, b = (_whole(id_, h, k, cut) for k in (i, i + (1 << 16)))
+                if b > a:
+                    yield suffixes(x.slice(a, b - a))
+        if held is not None:
+            yield suffixes(held)
+
+    return run
+
+
+def _whole(id_: np.ndarray, h: np.ndarray, k: int, end: int) -> int:
+    """The first start of a text at ``k`` or after it."""
+    while 0 < k < end and id_[k] == id_[k - 1] and h[k] == h[k - 1]:
+        k += 1
+    return min(k, end)
+
+
+def common_phrases(seq: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of suffixes in order: how many phrases each shares with the one before, the offsets of their phrases, and the bytes from a trigger to the end of each phrase."""
+    data, offsets = byte_arrays(seq)
+    element = data.reshape(-1, _ELEMENT)
+    offsets = offsets // _ELEMENT
+    rank = np.ascontiguousarray(element[:, :8]).view(">u8").ravel()
+    n = np.ascontiguousarray(element[:, 8:]).view(">u4").ravel().astype(np.int64)
+    size = np.diff(offsets)
+    step = np.concatenate([[0], np.cumsum(n - TRIGGER)])
+    end = step[1:] - np.repeat(step[offsets[:-1]], size) + TRIGGER
+    common = np.zeros(len(size), np.int64)
+    open_ = np.arange(1, len(size))
+    k = 0
+    while len(open_):
+        open_ = open_[(size[open_] > k) & (size[open_ - 1] > k)]
+        open_ = open_[rank[offsets[open_] + k] == rank[offsets[open_ - 1] + k]]
+        k += 1
+        common[open_] = k
+    return common, offsets, end
+
+
+_JUDGED = "id long, h long, lo int, n int, at long, kind int"
+
+
+def _lcp(width: int):
+    """Over the parse's suffixes in order: the windows that are repeated for certain, and those that may be. At the rims of a partition all may be."""
+
+    def judge(x: pa.RecordBatch, skip: int, before: bool, after: bool) -> pa.RecordBatch:
+        """``skip`` rows at the start are there as neighbours only, as is the last row if ``after``; ``before`` says that the first row has no neighbour."""
+        m = x.num_rows
+        common, offsets, end = common_phrases(x.column("seq"))
+        prev, at, far, tail, limit = (x.column(c).to_numpy().astype(np.int64) for c in ("prev", "at", "far", "tail", "limit"))
+        size = np.diff(offsets)
+        ended = np.concatenate([end, [0]])
+
+        def shared(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The bytes of ``c`` common phrases, and those that can be shared at most."""
+            sure = np.where(c > 0, ended[offsets[:-1] + np.maximum(c, 1) - 1], 0)
+            most = np.where(c < size, ended[np.minimum(offsets[:-1] + c, offsets[1:])], tail)
+            return sure, np.minimum(most, tail)
+
+        up, up_most = shared(common)
+        down, down_most = shared(np.append(common[1:], 0))
+        equal = np.zeros(m + 1, bool)
+        equal[1:-1] = (prev[1:] == prev[:-1]) & (prev[1:] != _UNRANKED)
+        whole = np.zeros(m + 1, bool)
+        whole[1:-1] = equal[1:-1] & (size[1:] == size[:-1]) & (common[1:] == size[1:])
+        if m:
+            up_most[0] = tail[0] if before else 0
+            down_most[-1] = 0 if after else tail[-1]
+        settled = np.maximum(np.where(equal[:-1], up, 0), np.where(equal[1:], down, 0))
+        most = np.maximum(up_most, down_most)
+        least = width - far  # bytes after the trigger that the first window needs
+        other = ((up_most >= least) & ~whole[:-1]) | ((down_most >= least) & ~whole[1:])
+        own = np.zeros(m, bool)
+        own[skip : m - after] = True
+        span = np.flatnonzero(own & (settled >= least))
+        near = np.maximum(width - settled, 0)[span]
+        emit = np.flatnonzero(own & (most >= least) & (other | (most > np.minimum(settled, width))))
+        d = np.maximum(width - most, 0)[emit]
+        top = np.where(other, far, np.minimum(far, width - settled - 1))
+        top = np.minimum(top, limit)[emit]  # those that hold one trigger are among the bare ones
+        keep = top >= d
+        emit, d, top = emit[keep], d[keep], top[keep]
+        y = x.select(["id", "h"]).take(pa.array(np.concatenate([span, emit])))
+        lo = np.concatenate([at[span] - far[span], at[emit] - top])
+        n = np.concatenate([far[span] - near + 1, top - d + 1])
+        kind = np.repeat([SPAN, EMIT], [len(span), len(emit)])
+        arrays = [pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(np.concatenate([at[span], at[emit]])), pa.array(kind, pa.int32())]
+        return pa.RecordBatch.from_arrays([*y.columns, *arrays], [c.split()[0] for c in _JUDGED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, skip = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield judge(pa.concat_batches([held, batch.slice(0, 1)]), skip, not skip, True)
+                held, skip = pa.concat_batches([held.slice(held.num_rows - 1), batch]), 1
+            else:
+                held = batch
+        if held is not None:
+            yield judge(held, skip, not skip, False)
+
+    return run
+
+
+def _bare_slices(width: int):
+    """The windows that hold no trigger, or one alone, as slices: see ``_slices``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                r = parse(*byte_arrays(part.column("text")), width)
-                take = pa.array(r["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64)), pa.array(r["region"].view(np.int64)), part.column("id").take(take), part.column("h").take(take), *(pa.array(r[c], pa.int32()) for c in ("lo", "n", "at"))], ["key", "region", "id", "h", "lo", "n", "at"])
+                data, offsets = byte_arrays(part.column("text"))
+                p = phrases(data, offsets)
+                row, start, before, after = (p[c] for c in ("row", "start", "before", "after"))
+                last = np.where(after > 0, p["end"] - 1, offsets[1:][row]) - width  # of the windows without the next trigger
+                far = np.minimum(before - 1, width - TRIGGER)
+                one = np.flatnonzero((before > 0) & (last >= start - far))
+                none = np.flatnonzero(last >= start + (before > 0))
+                which = np.concatenate([one, none])
+                lo = np.concatenate([start[one] - far[one], start[none] + (before[none] > 0)])
+                hi = np.concatenate([np.minimum(start[one], last[one]), last[none]])
+                at = np.concatenate([start[one] - lo[: len(one)], np.full(len(none), -1)])
+                size = hi - lo + width
+                stop = np.cumsum(size)
+                source = np.repeat(lo - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+                take = pa.array(row[which], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(take), part.column("h").take(take), *(pa.array(c, pa.int32()) for c in (lo - offsets[row[which]], hi - lo + 1, at)), binary_column(data[source], np.concatenate([[0], stop]))],
+                    ["id", "h", "lo", "n", "at", "text"],
+                )
 
     return run
 
@@ -158,12 +441,12 @@ def _blocks(width: int):
                 full = at[row] - BLOCK * j
                 x, y = np.maximum(full - BLOCK + 1, 0), np.minimum(full, n[row] - 1)
                 base = offsets[row]
-                key = bh.mix(bh.range_hash(sums, base + full, base + full - BLOCK + 1 + width) + j.astype(np.uint64))
+                key = bh.mix(bh.range_hash(sums, base + full, base + full - BLOCK + 1 + width) + j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 region = bh.range_hash(sums, base + x, base + y + width) + (full - x).astype(np.uint64)
                 take = pa.array(row)
-                lo = part.column("lo").to_numpy()[row]
+                lo = part.column("lo").to_numpy().astype(np.int64)[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), part.column("id").take(take), part.column("h").take(take), pa.array(lo + x, pa.int32()), pa.array(y - x + 1, pa.int32()), pa.array(lo, pa.int32())],
+                    [pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), part.column("id").take(take), part.column("h").take(take), pa.array(lo + x, pa.int32()), pa.array(y - x + 1, pa.int32()), pa.array((lo << 32) | n[row])],
                     ["key", "region", "id", "h", "lo", "n", "at"],
                 )
 
@@ -186,9 +469,9 @@ def _windows(width: int):
                 place = lo[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
                 row = row[which]
                 i = offsets[row] + place - part.column("lo").to_numpy()[row]
-                h = bh.mix((sums[i + width] - sums[i]) * bh.powers(bh._INVERSE, len(sums))[i])
+                h, other = bh.two_hashes(sums, data, i, i + width)
                 order = np.lexsort((h, row))
-                row, place, h = row[order], place[order], h[order]
+                row, place, h, other = row[order], place[order], h[order], other[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
                 size = np.diff(np.append(np.flatnonzero(new), len(h)))
@@ -200,14 +483,15 @@ def _windows(width: int):
                 head = np.flatnonzero(head)
                 run_n = np.diff(np.append(head, len(r)))
                 take = pa.array(np.concatenate([row[one], r[head]]), pa.int64())
-                hashes = pa.array(np.concatenate([h[one], np.zeros(len(head), np.uint64)]).view(np.int64), mask=np.arange(len(one) + len(head)) >= len(one))
+                absent = np.arange(len(one) + len(head)) >= len(one)
+                hashes = (pa.array(np.concatenate([x[one], np.zeros(len(head), np.uint64)]).view(np.int64), mask=absent) for x in (h, other))
                 columns = [
                     np.concatenate([np.where(again, 2, 1), np.zeros(len(head))]),
                     np.concatenate([np.where(again, -1, place[one]), at[head]]),
                     np.concatenate([np.ones(len(one)), run_n]),
                 ]
                 weight, at, many = (pa.array(c.astype(np.int32)) for c in columns)
-                yield pa.RecordBatch.from_arrays([hashes, weight, part.column("id").take(take), part.column("h").take(take), at, many], ["window", "weight", "id", "h", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([*hashes, weight, part.column("id").take(take), part.column("h").take(take), at, many], ["window", "other", "weight", "id", "h", "lo", "n"])
 
     return run
 
@@ -242,14 +526,21 @@ def _cut(width: int):
     return run
 
 
-_ORDERED = "key long, region long, id long, h long, lo int, n int, at int"
+_SLICES = "id long, h long, lo int, n int, at int, text binary"
+_ORDERED = "key long, region long, id long, h long, lo int, n int, at long"
 
 
 def _judged(regions: DataFrame, name: str) -> DataFrame:
     """Order regions by key and region over the cluster, and keep those that are repeated or may be in part."""
-    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = regions.repartitionByRange(parts, "key", "region", "id", "lo").sortWithinPartitions("key", "region")
-    return write_table(ordered.mapInArrow(_neighbours, "id long, h long, lo int, n int, at int, kind int"), name)
+    ordered = regions.repartitionByRange("key", "region", "id", "lo").sortWithinPartitions("key", "region")
+    return write_table(ordered.mapInArrow(_neighbours, _JUDGED), name)
+
+
+def parse_suffixes(ranked: DataFrame, same: dict[int, int], once: set[int], width: int) -> DataFrame:
+    """The suffix array of the parse, over the cluster: its suffixes, up to ``width`` bytes, in order."""
+    whole = ranked.repartition("id", "h").sortWithinPartitions("id", "h", "at")
+    suffixes = whole.mapInArrow(_parse_suffixes(width, same, once), _SUFFIXES)
+    return suffixes.repartitionByRange("seq", "prev", "id", "at").sortWithinPartitions("seq", "prev", "id", "at")
 
 
 def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -288,7 +579,7 @@ def _anchors(words: int):
                 key = pa.array(hashes[place[head]].view(np.int64))
                 lo, n = head - np.searchsorted(row, row[head]), np.diff(np.append(head, len(row)))
                 take = pa.array(row[head], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, key, part.column("id").take(take), part.column("h").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(np.zeros(len(head)), pa.int32())], ["key", "region", "id", "h", "lo", "n", "at"])
+                yield pa.RecordBatch.from_arrays([key, key, part.column("id").take(take), part.column("h").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(np.zeros(len(head)), pa.int64())], ["key", "region", "id", "h", "lo", "n", "at"])
 
     return run
 
@@ -308,9 +599,9 @@ def _chosen_windows(words: int, width: int):
                 lo += np.searchsorted(row, np.repeat(np.arange(len(per)), per))
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row, start, end = row[at], start[at], end[at]
-                key = pa.array(bh.range_hash(bh.prefix_sums(data), start, end).view(np.int64))
+                key, other = (pa.array(x.view(np.int64)) for x in bh.two_hashes(bh.prefix_sums(data), data, start, end))
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([key, key, part.column("id").take(take), part.column("h").take(take), pa.array(start - offsets[row], pa.int32()), pa.array(end - start - width + 1, pa.int32()), pa.array(np.zeros(len(at)), pa.int32())], ["key", "region", "id", "h", "lo", "n", "at"])
+                yield pa.RecordBatch.from_arrays([key, other, part.column("id").take(take), part.column("h").take(take), pa.array(start - offsets[row], pa.int32()), pa.array(end - start - width + 1, pa.int32()), pa.array(np.zeros(len(at)), pa.int64())], ["key", "region", "id", "h", "lo", "n", "at"])
 
     return run
 
@@ -340,19 +631,27 @@ def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = (
     docs = docs.select(F.struct(*carry).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
     texts = docs.select("id", "h", "text")
     long_ = texts.where(F.octet_length("text") >= width)
-    judged = _judged(long_.mapInArrow(_regions(width), _ORDERED), "regions")
+    # of rows that are equal in id and text, one stands for all, and all its windows are repeated
+    more = long_.groupBy("id", "h").agg(F.count("*").alias("rows"), F.min(F.octet_length("text")).alias("bytes")).where("rows > 1").select("id", "h", F.lit(0).alias("lo"), (F.col("bytes") - width + 1).alias("n"))
+    more = write_table(more, "equal-rows")
+    if not more.isEmpty():
+        long_ = long_.dropDuplicates(["id", "h"])
+
+    judged = write_table(parse_suffixes(*dictionary(long_), width).mapInArrow(_lcp(width), _JUDGED), "regions")
     wanted = judged.where(F.col("kind") == EMIT).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n", "at")).alias("regions"))
-    slices = write_table(long_.join(wanted, ["id", "h"]).mapInArrow(_slices(width), "id long, h long, lo int, n int, at int, text binary"), "slices")
+    chosen = long_.join(wanted, ["id", "h"]).mapInArrow(_slices(width), _SLICES).unionByName(long_.mapInArrow(_bare_slices(width), _SLICES))
+    slices = write_table(chosen, "slices")
 
     blocks = _judged(slices.where("at >= 0").mapInArrow(_blocks(width), _ORDERED), "blocks")
-    wanted = blocks.where(F.col("kind") == EMIT).groupBy("id", "h", F.col("at").alias("lo")).agg(F.collect_set(F.struct("lo", "n")).alias("blocks"))
+    wanted = blocks.where(F.col("kind") == EMIT).groupBy("id", "h", "at").agg(F.collect_set(F.struct("lo", "n")).alias("blocks"))
+    name = (F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("at")  # of a region, as in _blocks
     bare = slices.where("at < 0").select("id", "h", "lo", "text", F.array(F.struct("lo", "n")).alias("blocks"))
-    rims = slices.where("at >= 0").select("id", "h", "lo", "text").join(wanted, ["id", "h", "lo"]).unionByName(bare)
-    windows = write_table(rims.mapInArrow(_windows(width), "window long, weight int, id long, h long, lo int, n int"), "windows")
-    again = windows.where("window is not null").groupBy("window").agg(F.sum("weight").alias("w")).where("w > 1").select("window")
-    found = windows.where("weight = 1").join(again, "window").unionByName(windows.where("window is null"))
+    rims = slices.where("at >= 0").select("id", "h", "lo", "text", name).join(wanted, ["id", "h", "at"]).drop("at").unionByName(bare)
+    windows = write_table(rims.mapInArrow(_windows(width), "window long, other long, weight int, id long, h long, lo int, n int"), "windows")
+    again = windows.where("window is not null").groupBy("window", "other").agg(F.sum("weight").alias("w")).where("w > 1").select("window", "other")
+    found = windows.where("weight = 1").join(again, ["window", "other"]).unionByName(windows.where("window is null"))
 
-    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n"))
+    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n")).unionByName(more)
     if words:
         repeats = repeats.unionByName(_repeated_words(texts, words, width))
     repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("repeats"))

@@ -109,6 +109,68 @@ def test_remove_repeats(spark, rows, docs):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_parse_order(spark, docs):
+    """Ranks are in the order of the phrases' bytes, and the parse's suffixes in that of a plain suffix array."""
+    texts = docs.where("octet_length(text) >= 400").select(F.monotonically_increasing_id().alias("id"), F.xxhash64("text").alias("h"), "text").cache()
+    whole = {r.id: r.text.encode() for r in texts.collect()}
+    ranked, same, once = substrings.dictionary(texts)
+    own, place = {}, {}
+    for r in ranked.collect():
+        rank = same.get(r["rank"], r["rank"])
+        if rank not in once:
+            assert own.setdefault(rank, whole[r.id][r["at"] : r["at"] + r.n]) == whole[r.id][r["at"] : r["at"] + r.n]
+            place.setdefault(rank, set()).add((r.id, r["at"]))
+    assert [own[r] for r in sorted(own)] == sorted(own.values()) and len(set(own.values())) == len(own) > 50
+    assert all(len(x) > 1 for x in place.values())
+    count = {}
+    for b in whole.values():
+        p = substrings.phrases(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        for a, e in zip(p["start"].tolist(), p["end"].tolist(), strict=True):
+            count[b[a:e]] = count.get(b[a:e], 0) + 1
+    assert set(own.values()) == {x for x, n in count.items() if n > 1}
+    rows = substrings.parse_suffixes(ranked, same, once, 400).collect()
+    seqs = pa.array([bytes(r.seq) for r in rows], pa.binary())
+    common, offsets, end = substrings.common_phrases(seqs)
+    suffixes = [whole[r.id][r["at"] : r["at"] + end[offsets[i + 1] - 1]] for i, r in enumerate(rows)]
+    assert suffixes == sorted(suffixes) and len(rows) > 100
+    for i in range(1, len(rows)):
+        shared = end[offsets[i] + common[i] - 1] if common[i] else 0
+        assert suffixes[i][:shared] == suffixes[i - 1][:shared]
+
+
+def thue_morse(n, letters):
+    out = letters[0]
+    while len(out) < n:
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out
+
+
+def test_thue_morse(spark):
+    """Words that collide under polynomials modulo 2**64, for all that compares strings by hashes first."""
+    from placelake.llm.shared import byte_arrays
+
+    code = packing.encoder(TOKENIZER)
+    for n in (1024, 2048):
+        a, b = thue_morse(n, "ab"), thue_morse(n, "ba")
+        ids, of = code.batch(*byte_arrays(pa.array([a, b])))
+        for i, t in enumerate((a, b)):
+            assert code.plain.encode(t, add_special_tokens=False).ids == ids[of[i] : of[i + 1]].tolist()
+        x, y = neardup.shingle_sets(pa.array([a, b]))
+        assert x.tolist() != y.tolist()
+        df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a} x x x\n{a} x x x")], "doc_id long, text string")
+        got = {r.row.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in repetition.repetition_rules(df).collect()}
+        assert got == {1: (0, 0), 2: (1, 0)}
+        df = spark.createDataFrame([(1, a), (2, b), (3, "-" * 399 + a[:50])], "doc_id long, text string")
+        count = {}
+        for r in df.collect():
+            for k in range(len(r.text) - 399):
+                count[r.text[k : k + 400]] = count.get(r.text[k : k + 400], 0) + 1
+        for r in substrings.remove_repeats(df).collect():
+            t = {1: a, 2: b, 3: "-" * 399 + a[:50]}[r.row.doc_id]
+            gone = {i for k in range(len(t) - 399) if count[t[k : k + 400]] > 1 for i in range(k, k + 400)}
+            assert r.n_removed == len(gone)
+
+
 def test_tokens():
     code = packing.encoder(TOKENIZER)
     rng = random.Random(2)
