@@ -93,7 +93,11 @@ class Encoder:
         for token, i in self.plain.get_vocab().items():
             size[i] = len(token)  # a sign of the vocabulary stands for a byte
         self.size = size
-        self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.levels: list[tuple[np.ndarray, ...]] = []  # sorted keys with the place and number of their ids and bytes; each level is at most half of the one before
+        self.ids, self.pool = _Pool(np.uint32), _Pool(np.uint8)
 
     def _joined(self, parts: list[str], glue: str) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -132,11 +136,23 @@ class Encoder:
         end = np.append(start[1:], len(data))
         h = bh.range_hash(bh.prefix_sums(data), start, end)
         unique, where, back = np.unique(h, return_index=True, return_inverse=True)
-        self._learn(unique, [data[a:b].tobytes().decode() for a, b in zip(*self._unknown(unique, start[where], end[where]), strict=True)])
-        at = np.searchsorted(self.keys, unique)[back]
-        count = self.count[at]
+        size = end - start
+        found = self._find(unique)
+        new = np.flatnonzero(found[1] < 0)
+        if self.levels and sum(len(x[0]) for x in self.levels) + len(new) > CACHE:
+            self._forget()
+            new = np.arange(len(unique))
+        if len(new):
+            self._learn(unique[new], data, start[where[new]], end[where[new]])
+            found = self._find(unique)
+        first, count, place, length = (x[back] for x in found)
+        # bytes decide: a piece that has another one's hash sends its text through the tokenizer
+        same = size == length
+        same[same] = bh.same_bytes(data, start[same], self.pool.data, place[same], size[same])
+        if not same.all():
+            odd = odd + np.bincount(np.searchsorted(offsets, start[~same], "right") - 1, minlength=len(offsets) - 1)
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(self.first[at] - total[:-1], count) + np.arange(total[-1])]
+        ids = self.ids.data[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
         of = total[np.searchsorted(start, offsets)]
         if odd.any():
             rows = [ids[a:b] for a, b in zip(of[:-1], of[1:], strict=True)]
@@ -146,23 +162,45 @@ class Encoder:
             ids = np.concatenate(rows)
         return ids, of
 
-    def _unknown(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
-        if len(self.keys) + len(keys) > CACHE:
-            self.keys, self.first, self.count, self.ids = self.keys[:0], self.first[:0], self.count[:0], self.ids[:0]
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        self._new = keys[new]
-        return start[new].tolist(), end[new].tolist()
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place and number of the ids and of the bytes of each key; numbers of -1 where it is unknown."""
+        out = tuple(np.full(len(keys), v, np.int64) for v in (0, -1, 0, -1))
+        for own, *columns in self.levels:
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            hit = own[at] == keys
+            for x, column in zip(out, columns, strict=True):
+                x[hit] = column[at[hit]]
+        return out
 
-    def _learn(self, _: np.ndarray, parts: list[str]) -> None:
-        if not parts:
-            return
-        ids = self.distinct(parts)
-        count = np.array([len(x) for x in ids])
-        keys, first = np.concatenate([self.keys, self._new]), np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.count = keys[order], first[order], np.concatenate([self.count, count])[order]
-        self.ids = np.concatenate([self.ids, *ids])
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        parts = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        ids = self.distinct([x.decode() for x in parts])
+        count, size = np.array([len(x) for x in ids]), end - start
+        level = (keys, len(self.ids.data) + np.cumsum(count) - count, count, len(self.pool.data) + np.cumsum(size) - size, size)
+        self.ids.add(np.concatenate(ids))
+        self.pool.add(np.frombuffer(b"".join(parts), np.uint8))
+        self.levels.append(level)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+            joined = tuple(np.concatenate(c) for c in zip(self.levels.pop(-2), self.levels.pop(), strict=True))
+            order = np.argsort(joined[0], kind="stable")
+            self.levels.append(tuple(c[order] for c in joined))
+
+
+class _Pool:
+    """An array that grows at its end; its room doubles, so that adding costs no more than what is added."""
+
+    def __init__(self, kind: type):
+        self.room, self.used = np.zeros(1 << 16, kind), 0
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.room[: self.used]
+
+    def add(self, more: np.ndarray) -> None:
+        while self.used + len(more) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.used : self.used + len(more)] = more
+        self.used += len(more)
 
 
 @functools.cache

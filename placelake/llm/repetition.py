@@ -59,44 +59,59 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def maximal_repeats(symbols: np.ndarray, shortest: int) -> list[tuple[int, np.ndarray]]:
-    """(length, starts) of each maximal repeated substring of at least ``shortest`` symbols: the LCP intervals whose occurrences differ on the left."""
-    order, lcp = suffix_array(symbols)
-    out, stack = [], []
-    left = np.where(order > 0, symbols[order - 1].astype(object) if len(order) else 0, None) if len(order) else order
-    marks = np.flatnonzero(lcp >= shortest).tolist()
-    values = lcp.tolist()
-
-    def close(length: int, first: int, end: int) -> None:
-        before = left[first:end]
-        if any(x is None or x != before[0] for x in before):
-            out.append((length, order[first:end]))
-
-    last = -2
-    for i in marks:
-        if i != last + 1:
-            while stack:
-                length, first = stack.pop()
-                close(length, first, last + 1)
-        first, v = i - 1, values[i]
-        while stack and stack[-1][0] > v:
-            length, first = stack.pop()
-            close(length, first, i)
-        if not stack or stack[-1][0] < v:
-            stack.append((v, first))
-        last = i
-    while stack:
-        length, first = stack.pop()
-        close(length, first, last + 1)
-    return out
+_MIXED = -1
+"""What stands on the left of an interval's suffixes, if not one symbol."""
+
 
+def maximal_repeats(symbols: np.ndarray, shortest: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The suffix array, and (length, first, end) of each maximal repeated substring of at least ``shortest`` symbols: its occurrences are ``order[first:end]``.
 
-def _covered(n: int, repeats: list[tuple[int, np.ndarray]]) -> int:
-    step = np.zeros(n + 1, np.int64)
-    for length, starts in repeats:
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + length, -1)
-    return int(np.count_nonzero(np.cumsum(step[:-1]) > 0))
+    They are the LCP intervals whose suffixes differ on the left. What stands on the left of an
+    interval is carried up from those below, so that all is linear in the symbols beyond the sort.
+    """
+    order, lcp = suffix_array(symbols)
+    out: list[tuple[int, int, int]] = []
+    ranks = np.unique(symbols, return_inverse=True)[1]
+    left = np.where(order > 0, ranks[order - 1], _MIXED).tolist() if len(order) else []  # a text's start differs from everything
+    values = [*lcp.tolist(), 0]
+    stack: list[list[int]] = []  # length, first, what stands on the left
+    for i in np.union1d(marks := np.flatnonzero(lcp >= shortest), marks + 1).tolist():
+        v = values[i] if values[i] >= shortest else 0
+        first, before = i - 1, left[i - 1]
+        while stack and stack[-1][0] > v:
+            length, first, before = stack.pop()
+            if before == _MIXED:
+                out.append((length, first, i))
+            if stack and stack[-1][0] >= v and stack[-1][2] != before:
+                stack[-1][2] = _MIXED
+        if v and (not stack or stack[-1][0] < v):
+            stack.append([v, first, before])
+        if v and stack[-1][2] != left[i]:
+            stack[-1][2] = _MIXED
+    return order, out
+
+
+def _spans(n: int, order: np.ndarray, repeats: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each suffix the longest of the repeats that it begins with, 0 where there is none; intervals nest, so a stack does."""
+    longest = np.zeros(n, np.int64)
+    # inner intervals are longer and were put out first; outer ones fill what is left of their range
+    nxt = np.arange(n + 1).tolist()
+    for length, first, end in repeats:
+        i = first
+        while True:
+            while nxt[i] != i:
+                nxt[i] = i = nxt[nxt[i]]
+            if i >= end:
+                break
+            longest[order[i]] = length
+            nxt[i] = i + 1
+    return longest
+
+
+def _covered(longest: np.ndarray, shortest: int) -> int:
+    """Symbols in repeats of at least ``shortest``, given the longest repeat from each place on."""
+    reach = np.maximum.accumulate(np.where(longest >= shortest, np.arange(len(longest)) + longest, 0))
+    return int(np.count_nonzero(reach > np.arange(len(longest))))
 
 
 def _measure(shortest: int, short: int):
@@ -154,10 +169,8 @@ def _measure(shortest: int, short: int):
                 repeated = in_repeats(shortest)
                 covered, longest, short_covered = (np.zeros(rows, np.int64) for _ in range(3))
                 for r in np.flatnonzero(in_repeats(short)).tolist():  # in others no interval reaches ``short``
-                    found = maximal_repeats(word[of[r] : of[r + 1]], short)
-                    covered[r] = _covered(int(n_words[r]), [x for x in found if x[0] >= shortest])
-                    short_covered[r] = _covered(int(n_words[r]), found)
-                    longest[r] = max((x[0] for x in found), default=0)
+                    spans = _spans(int(n_words[r]), *maximal_repeats(word[of[r] : of[r + 1]], short))
+                    covered[r], short_covered[r], longest[r] = _covered(spans, shortest), _covered(spans, short), spans.max()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), *(pa.array(x.astype(np.int64)) for x in (n_words, signs, symbols, dup_lines, repeated, covered, longest, short_covered))],
                     ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "short_covered"],

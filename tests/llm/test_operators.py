@@ -183,6 +183,23 @@ def test_tokens():
         assert code.plain.encode(t, add_special_tokens=False).ids == ids[of[i] : of[i + 1]].tolist()
 
 
+def test_tokens_with_colliding_hashes(monkeypatch):
+    """Equal hashes change nothing, in a batch or against what is kept; nor does a cache that overflows."""
+    from placelake.llm.shared import byte_arrays
+
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(20)) for _ in range(40)]
+    for few, room in ((5, 1 << 20), (1 << 60, 60)):
+        monkeypatch.setattr(packing, "CACHE", room)
+        monkeypatch.setattr(packing.bh, "range_hash", lambda sums, a, b, few=few, real=packing.bh.range_hash: real(sums, a, b) % np.uint64(few))
+        code = packing.Encoder(TOKENIZER)
+        for k in range(0, 40, 8):
+            ids, of = code.batch(*byte_arrays(pa.array(texts[k : k + 8])))
+            for i, t in enumerate(texts[k : k + 8]):
+                assert code.plain.encode(t, add_special_tokens=False).ids == ids[of[i] : of[i + 1]].tolist()
+        monkeypatch.undo()
+
+
 def test_packing(spark, rows, docs):
     code = packing.encoder(TOKENIZER)
     out = packing.pack(docs, TOKENIZER).collect()
@@ -288,6 +305,37 @@ def test_suffix_array():
             assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_maximal_repeats():
+    rng = random.Random(6)
+    for _ in range(200):
+        s, shortest = [rng.randint(0, rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 30))], rng.choice([1, 2, 3])
+        want = set()
+        for size in range(shortest, len(s)):
+            seen = {}
+            for i in range(len(s) - size + 1):
+                seen.setdefault(tuple(s[i : i + size]), []).append(i)
+            for at in seen.values():
+                left, right = {s[i - 1] if i else None for i in at}, {s[i + size] if i + size < len(s) else None for i in at}
+                if len(at) > 1 and (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
+                    want.add((size, tuple(at)))
+        order, found = repetition.maximal_repeats(np.array(s), shortest)
+        assert sorted((n, tuple(sorted(order[a:b].tolist()))) for n, a, b in found) == sorted(want)
+        longest = repetition._spans(len(s), order, found)
+        assert longest.max() == max((n for n, _ in want), default=0)
+        assert repetition._covered(longest, shortest) == len({i for n, at in want for k in at for i in range(k, k + n)})
+
+
+def test_long_periodic_text(spark):
+    import time
+
+    began = time.monotonic()
+    order, found = repetition.maximal_repeats(np.zeros(100_000, np.int64), 3)
+    assert repetition._covered(repetition._spans(100_000, order, found), 3) == 100_000 and time.monotonic() - began < 10
+    df = spark.createDataFrame([(1, "a b " * 50_000)], "doc_id long, text string")
+    r = repetition.repetition_rules(df).first()
+    assert (r.n_words, r.n_repeat_words, r.covered_words, r.short_covered, r.longest_repeat, r.kept) == (100_000, 100_000, 100_000, 100_000, 99_998, False)
+
+
 def test_sharding(spark, docs, rows):
     out = sharding.assign(docs, sharding.topology(8), sharding.topology(9)).collect()
     assert len(out) == len(rows)
