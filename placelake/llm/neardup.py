@@ -10,7 +10,7 @@ equal given both set sizes, and those that might reach the threshold are verifie
 No bucket emits all its pairs. First a bucket's members meet its pivot, the member that shares the
 most buckets with others, and each goes on with its best pivot. Where these links leave several
 components in a bucket, every member outside the bucket's largest component meets all members of
-other components, block by block, and only links are put out. So no two documents that share a band
+other components, block by block, by sketches first, and only links are put out. So no two documents that share a band
 and end in different components remain untested.
 """
 
@@ -40,6 +40,8 @@ EDGES_PER_TASK = 64
 """Members that meet one copy of a pivot's set; a pivot with more of them is copied."""
 
 BLOCK = 256
+MOST_COMMON = 4000
+"""There are at most so many texts with more than one in MOST_COMMON of all rows."""
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, REGISTERS, dtype=np.uint64)
@@ -151,49 +153,96 @@ def _verify(width: int, percent: int):
                     elif pivot == b:
                         if _similar(own, s, percent):
                             found.append((a, b))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+                yield _pairs(found)
 
     return run
 
 
-def _blocks(width: int, percent: int):
-    """Rows sorted by (key, block, visitor): every visitor meets its block's own members; the links go on.
+PAIRS_AT_ONCE = 1 << 15
+
+
+def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Of rows sorted by (key, block, visitor): batches with pairs of rows in them, a visitor and one of its block's own members, that may be similar.
 
-    A pair is judged only in the first of the bands that it shares.
+    A pair is judged only in the first of the bands that it shares. The own members of the last block go on to the next batch.
     """
-    threshold = percent / 100
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = pa.concat_batches([held, batch]) if held is not None else batch
+        old = held.num_rows if held is not None else 0
+        key, block, band, v, root, n = (x.column(c).to_numpy() for c in ("key", "block", "band", "v", "root", "n"))
+        visitor, minor = (x.column(c).to_numpy(zero_copy_only=False) for c in ("visitor", "minor"))
+        sketch = np.frombuffer(b"".join(x.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+        group = np.cumsum(np.bincount(head, minlength=len(key))) - 1
+        own = np.bincount(group, weights=~visitor).astype(np.int64)  # they come first
+        who = np.flatnonzero(visitor & (np.arange(len(key)) >= old))
+        many = own[group[who]]
+        part = np.cumsum(many) // PAIRS_AT_ONCE
+        for some in np.split(np.arange(len(who)), np.flatnonzero(np.diff(part)) + 1):
+            k = many[some]
+            a = np.repeat(who[some], k)
+            b = head[group[a]] + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            fit = (root[a] != root[b]) & (~minor[b] | (v[b] > v[a])) & (np.minimum(n[a], n[b]) >= (threshold - 1e-9) * np.maximum(n[a], n[b]))
+            a, b = a[fit], b[fit]
+            first = (sketch[a] == sketch[b]).reshape(len(a), -1, ROWS_PER_BAND).all(axis=2).argmax(axis=1) == band[a]
+            a, b = a[first], b[first]
+            if len(a):
+                j = estimate((sketch[a] > sketch[b]).sum(1), (sketch[a] < sketch[b]).sum(1), n[a].astype(float), n[b].astype(float))
+                a, b = a[j >= threshold - ESTIMATE_SLACK], b[j >= threshold - ESTIMATE_SLACK]
+            if len(a):
+                yield x, a, b
+        last = head[-1]
+        held = x.slice(last, own[-1])
+
+
+def _likely_mates(percent: int):
+    """The vertices, perhaps more than once, that have a likely mate of another component in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, table = None, [], None
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                out = []
-                columns = (part.column(c).to_pylist() for c in ("key", "block", "visitor", "band", "v", "root", "minor", "n", "regs"))
-                for (key, block, visitor, band, v, root, minor, n, regs), s in zip(zip(*columns, strict=True), shingle_sets(part.column("text"), width), strict=True):
-                    if at != (key, block):
-                        at, own, table = (key, block), [], None
-                    r = np.frombuffer(regs, np.uint16)
-                    if not visitor:
-                        own.append((v, root, minor, n, r, s))
-                        continue
-                    if not own:
-                        continue
-                    if table is None:
-                        table = [np.array([x[i] for x in own]) for i in range(5)]
-                    ids, roots, minors, sizes, sketches = table
-                    equal = sketches == r
-                    fit = (roots != root) & (~minors | (ids > v)) & (np.minimum(sizes, n) >= (threshold - 1e-9) * np.maximum(sizes, n))
-                    fit &= equal.reshape(len(own), -1, ROWS_PER_BAND).all(axis=2).argmax(axis=1) == band
-                    k = np.flatnonzero(fit)
-                    if not len(k):
-                        continue
-                    j = estimate((r > sketches[k]).sum(1), (r < sketches[k]).sum(1), np.full(len(k), float(n)), sizes[k].astype(float))
-                    out += [(v, own[i][0]) for i in k[j >= threshold - ESTIMATE_SLACK].tolist() if _similar(own[i][5], s, percent)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        for x, a, b in _met(batches, percent / 100):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(x.column("v").to_numpy()[np.concatenate([a, b])]))], ["v"])
+
+    return run
+
+
+def _blocks(width: int, percent: int):
+    """Every visitor meets its block's own members; the links of likely pairs on full sets go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, {}
+        for x, a, b in _met(batches, percent / 100):
+            if at is not x:
+                at, sets = x, {}
+            new = [i for i in np.unique(np.concatenate([a, b])).tolist() if i not in sets]
+            sets.update(zip(new, shingle_sets(x.column("text").take(pa.array(new, pa.int64())), width), strict=True))
+            v = x.column("v").to_numpy()
+            good = np.array([_similar(sets[i], sets[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(v[a[good]]), pa.array(v[b[good]])], ["a", "b"])
 
     return run
 
 
+def _with_common(rows: DataFrame, side: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has each ``key`` once and in ``size`` how many rows have it.
+
+    The keys of more than one in MOST_COMMON of all rows, which are fewer than MOST_COMMON, are joined by broadcast, so that
+    no task of the other join gets a great part of the rows.
+    """
+    many = (side.agg(F.sum(size)).first()[0] or 0) // MOST_COMMON
+    common = F.broadcast(side.where(F.col(size) > many).select(key, F.struct(*(c for c in side.columns if c != key)).alias("__common")))
+    flagged = rows.join(common, key, "left")
+    often = flagged.where("__common is not null").select(*rows.columns, *(F.col("__common").getField(c).alias(c) for c in side.columns if c != key))
+    rare = flagged.where("__common is null").drop("__common").join(side.where(F.col(size) <= many), key)
+    return rare.select(often.columns).unionByName(often)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _band_keys() -> Column:
     size = 2 * ROWS_PER_BAND
     bands = F.sequence(F.lit(0), F.lit(REGISTERS // ROWS_PER_BAND - 1))
@@ -242,18 +291,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     docs = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("vid"))
     sketched = write_table(docs.mapInArrow(_sketch(width), "doc_id long, vid binary, n long, regs binary"), "sketches")
     rep = F.min(F.coalesce("doc_id", F.lit(-(2**63))))
-    vertices = sketched.where("n > 0").groupBy("vid").agg(rep.alias("rep_key"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    vertices = sketched.where("n > 0").groupBy("vid").agg(rep.alias("rep_key"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
     vertices = write_table(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
     work = _Links(docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63)))), vertices, width, percent)
 
     rows = vertices.select("v", F.posexplode(_band_keys()).alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = write_table(rows.join(shared, "key").select("key", "band", "v", "size"), "buckets")
+    shared = write_table(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    hits = write_table(_with_common(rows, shared, "key", "size").select("key", "band", "v", "size"), "buckets")
     texts = write_table(work.texts(hits.select("v").distinct()), "texts")
 
     degree = hits.groupBy("v").agg(F.sum("size").alias("degree"))
-    pivot = hits.join(degree, "v").groupBy("key").agg(F.max(F.struct("degree", (-F.col("v")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("b"))
-    pairs = hits.join(pivot, "key").where("v <> b").groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("bands"))
+    pivot = hits.join(degree, "v").groupBy("key").agg(F.max(F.struct("degree", (-F.col("v")).alias("minus"))).alias("p"), F.count("*").alias("members"))
+    pivot = write_table(pivot.select("key", (-F.col("p.minus")).alias("b"), "members"), "pivots")
+    pairs = _with_common(hits, pivot, "key", "members").where("v <> b").groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("bands"))
     likely = work.likely(pairs).select("a", "b", "bands")
     best = checkpoint(likely.groupBy("a").agg(F.max(F.struct("bands", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b")))
     links = work.verified(best, texts)
@@ -262,22 +312,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     more = _across(hits, labels, vertices, texts, width, percent)
     labels = components(links.unionByName(more))
 
-    groups = vertices.join(labels, "v", "left").select("vid", "rep", F.coalesce("root", "v").alias("root"))
+    groups = vertices.join(labels, "v", "left").select("vid", "rep", "copies", F.coalesce("root", "v").alias("root"))
     first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = groups.join(first, "root").select("vid", "component_id")
-    out = sketched.select("doc_id", "vid", F.col("n").alias("n_shingles")).join(groups, "vid", "left")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), F.col("vid").alias("text_key"))
+    groups = write_table(groups.join(first, "root").select("vid", "copies", "component_id"), "groups")
+    rows = sketched.select("doc_id", "vid", F.col("n").alias("n_shingles"))
+    worded = _with_common(rows.where("n_shingles > 0"), groups, "vid", "copies").select("vid", "doc_id", "n_shingles", "component_id")
+    bare = rows.where("n_shingles = 0").select("vid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = worded.unionByName(bare)  # texts without words have no group
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("vid").alias("text_key"))
 
 
 def _across(hits: DataFrame, labels: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between bucket mates of different components; at least one of them is outside its bucket's largest component."""
+    """Links (a, b) between bucket mates of different components; at least one of them is outside its bucket's largest component.
+
+    The buckets are gone through with sketches alone first; only the vertices with a likely mate go on to a second pass with their texts.
+    """
     rows = hits.join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    major = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("m")).where("parts > 1").select("key", F.col("m.root").alias("major"))
-    rows = rows.join(major, "key").select("key", "band", "v", "root", (F.col("root") != F.col("major")).alias("minor"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rows = checkpoint(rows).join(vertices.select("v", "n", "regs"), "v").join(texts, "v")
-    own = rows.withColumn("block", F.expr("pmod(xxhash64(v), blocks)")).withColumn("visitor", F.lit(False))
-    visit = rows.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
-    met = own.unionByName(visit).drop("blocks").repartition("key", "block").sortWithinPartitions("key", "block", "visitor")
-    return checkpoint(met.mapInArrow(_blocks(width, percent), "a long, b long").distinct())
+    major = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("members")).where("parts > 1")
+    major = write_table(major.select("key", F.col("m.root").alias("major"), "members"), "majors")
+    rows = checkpoint(_with_common(rows, major, "key", "members").select("key", "band", "v", "root", (F.col("root") != F.col("major")).alias("minor"), "size"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size")
+        own = rows.withColumn("block", F.expr("pmod(xxhash64(v), blocks)")).withColumn("visitor", F.lit(False))
+        visit = rows.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
+        return own.unionByName(visit).drop("blocks").repartition("key", "block").sortWithinPartitions("key", "block", "visitor")
+
+    sketches = vertices.select("v", "n", "regs")
+    likely = write_table(met(rows.join(sketches, "v")).mapInArrow(_likely_mates(percent), "v long").distinct(), "mates")
+    rows = rows.join(likely, "v")
+    rows = write_table(rows.drop("size"), "mated")
+    rows = _with_common(rows, rows.groupBy("key").agg(F.count("*").alias("size")), "key", "size")
+    return checkpoint(met(rows.join(sketches, "v").join(texts, "v")).mapInArrow(_blocks(width, percent), "a long, b long").distinct())
