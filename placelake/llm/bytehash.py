@@ -32,9 +32,9 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base**0 .. base**(n-1)`` modulo PRIME; kept, and grown in steps of half a million."""
     have = _power.get(base)
     if have is None or len(have) < n:
-        out, size = np.ones(1, np.uint64), -(-n >> 19) << 19
+        out, size = np.ones(1, np.uint32), -(-n >> 19) << 19
         while len(out) < size:
-            out = np.concatenate([out, out[: size - len(out)] * np.uint64(pow(base, len(out), PRIME)) % _P])
+            out = np.concatenate([out, (out[: size - len(out)].astype(np.uint64) * np.uint64(pow(base, len(out), PRIME)) % _P).astype(np.uint32)])
         _power[base] = have = out
     return have[:n]
 
@@ -76,9 +76,11 @@ _SECOND = np.uint64(0x9E3779B97F4A7C15)
 def two_hashes(sums: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of ranges: that of ``range_hash`` and one modulo 2**64."""
     power = np.cumprod(np.full(len(data), _SECOND)) if len(data) else np.zeros(0, np.uint64)
-    inverse = np.cumprod(np.full(len(data) + 1, np.uint64(pow(int(_SECOND), -1, 2**64))))
-    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLES[1][data] * power)])
-    return range_hash(sums, start, end), mix((other[end] - other[start]) * inverse[start])
+    power *= _TABLES[1][data]
+    other = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(power, out=other[1:])
+    power = np.cumprod(np.full(len(data) + 1, np.uint64(pow(int(_SECOND), -1, 2**64))))
+    return range_hash(sums, start, end), mix((other[end] - other[start]) * power[start])
 
 
 def eights(data: np.ndarray) -> np.ndarray:
