@@ -17,7 +17,7 @@ from placelake.llm import quality
 from placelake.llm.decontam import decontaminate
 from placelake.llm.neardup import near_duplicates
 from placelake.llm.packing import pack
-from placelake.llm.queries import TOKENIZER
+from placelake.llm.queries import PASSAGE_WORDS, TOKENIZER
 from placelake.llm.shared import checkpoint, new_folder
 from placelake.llm.substrings import remove_repeats
 
@@ -47,10 +47,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once if more.isEmpty() else once.unionByName(of(more).dropDuplicates(["doc_id", "text"]))
 
 
-PASSAGE_WORDS = 51
-"""Shared passages of so many words are cut, whatever their bytes."""
-
-
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the bytes of passages that are repeated; what a cut leaves of a character goes too. Null texts stay null."""
     out = remove_repeats(docs, carry=tuple(docs.columns), words=PASSAGE_WORDS)

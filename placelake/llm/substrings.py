@@ -42,7 +42,7 @@ from placelake.llm.shared import binary_column, byte_arrays, chunks, write_table
 TRIGGER = 16
 TRIGGER_BITS = 6
 """A trigger starts at one position in 2**6."""
-BLOCK = 20
+BLOCK = 6
 SHINGLE = 16
 """Words of the shingles that stand for windows of words."""
 SPAN, EMIT = 0, 1
@@ -87,7 +87,17 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row, "start": start, "end": end, "before": before, "after": np.where(follows, np.append(size[1:], 0), 0)}
 
 
-_PHRASES = "phrase binary, id long, h long, at int, before int, after int"
+_PHRASES = "phrase binary, id long, h long, place long"
+_FAR = 2**16 - 1
+
+
+def _place(at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Start of a phrase in its text, and ``before`` and ``after`` up to _FAR, as one number in the order of starts."""
+    return (at << 32) | (np.minimum(before, _FAR) << 16) | np.minimum(after, _FAR)
+
+
+def _placed(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 32, (place >> 16) & _FAR, place & _FAR
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +111,12 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = pa.array(p["row"], pa.int64())
             at = p["start"] - offsets[p["row"]]
             yield pa.RecordBatch.from_arrays(
-                [binary_column(bytes_, np.concatenate([[0], stop])), part.column("id").take(take), part.column("h").take(take), *(pa.array(x, pa.int32()) for x in (at, p["before"], p["after"]))],
+                [binary_column(bytes_, np.concatenate([[0], stop])), part.column("id").take(take), part.column("h").take(take), pa.array(_place(at, p["before"], p["after"]))],
                 [x.split()[0] for x in _PHRASES.split(", ")],
             )
 
 
-_RANKED = "rank long, id long, h long, at int, n int, before int, after int, digest binary"
+_RANKED = "rank long, id long, h long, place long, n int, digest binary"
 
 
 def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +127,8 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.flatnonzero(again | edge)
         y = x.take(pa.array(keep))
         digest = pa.array([hashlib.sha256(v.as_py()).digest() for v in y.column("phrase")] if edge else [None] * len(keep), pa.binary())
-        columns = [y.column(c) for c in ("id", "h", "at")]
-        return pa.RecordBatch.from_arrays([pa.array(base + rank[keep]), *columns, pc.binary_length(y.column("phrase")).cast(pa.int32()), y.column("before"), y.column("after"), digest], [c.split()[0] for c in _RANKED.split(", ")])
+        columns = [y.column(c) for c in ("id", "h", "place")]
+        return pa.RecordBatch.from_arrays([pa.array(base + rank[keep]), *columns, pc.binary_length(y.column("phrase")).cast(pa.int32()), digest], [c.split()[0] for c in _RANKED.split(", ")])
 
     def judge(x: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
         """``x`` holds whole runs, but perhaps for the last one."""
@@ -171,7 +181,7 @@ def dictionary(texts: DataFrame) -> tuple[DataFrame, dict[int, int], set[int]]:
     Both are about the first and last phrase of each partition, so their number is at most twice that of partitions.
     """
     found = texts.mapInArrow(_phrases, _PHRASES)
-    ordered = found.repartitionByRange("phrase", "id", "at").sortWithinPartitions("phrase", "id", "at")
+    ordered = found.repartitionByRange("phrase", "id", "place").sortWithinPartitions("phrase", "id", "place")
     ranked = write_table(ordered.mapInArrow(_ranks, _RANKED), "ranks")
     edges = ranked.where("digest is not null").groupBy("rank", "digest").agg(F.count("*").alias("n")).collect()
     same: dict[int, int] = {}
@@ -201,12 +211,13 @@ def _parse_suffixes(width: int, same: dict[int, int], once: set[int]):
     single = np.array(sorted(once), np.int64)
 
     def suffixes(x: pa.RecordBatch) -> pa.RecordBatch:
-        rank, id_, h, at, n, before, after = (x.column(c).to_numpy().astype(np.int64) for c in ("rank", "id", "h", "at", "n", "before", "after"))
+        rank, id_, h, place, n = (x.column(c).to_numpy().astype(np.int64) for c in ("rank", "id", "h", "place", "n"))
         if len(was):
             i = np.minimum(np.searchsorted(was, rank), len(was) - 1)
             rank = np.where(was[i] == rank, now[i], rank)
         keep = ~np.isin(rank, single)
-        rank, id_, h, at, n, before, after = (c[keep] for c in (rank, id_, h, at, n, before, after))
+        rank, id_, h, place, n = (c[keep] for c in (rank, id_, h, place, n))
+        at, before, after = _placed(place)
         m = len(rank)
         row = np.cumsum(np.concatenate([[0], (id_[1:] != id_[:-1]) | (h[1:] != h[:-1])])[:m])
         joined = np.zeros(m + 1, bool)  # whether a phrase goes on from the one before
@@ -505,11 +516,17 @@ def _cut(width: int):
                 per = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten()
                 lo, n = flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+                passage = flat.field("passage").to_numpy(zero_copy_only=False).astype(bool)
                 row = np.repeat(np.arange(len(per)), per)
-                step = np.zeros(len(data) + 1, np.int64)
-                np.add.at(step, offsets[row] + lo, 1)
-                np.add.at(step, offsets[row] + lo + n - 1 + width, -1)
-                gone = np.cumsum(step[:-1]) > 0
+
+                def covered(some: np.ndarray, row: np.ndarray = row, lo: np.ndarray = lo, n: np.ndarray = n, offsets: np.ndarray = offsets) -> np.ndarray:
+                    step = np.zeros(offsets[-1] + 1, np.int64)
+                    np.add.at(step, (offsets[row] + lo)[some], 1)
+                    np.add.at(step, (offsets[row] + lo + n - 1 + width)[some], -1)
+                    return np.cumsum(step[:-1]) > 0
+
+                gone = covered(~passage)
+                all_ = gone | covered(passage) if passage.any() else gone
                 start, end = bh.spans(gone, offsets)
                 left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
                 of = np.searchsorted(start, offsets)
@@ -517,7 +534,9 @@ def _cut(width: int):
                 ranges = pa.StructArray.from_arrays([pa.array(start - offsets[r]), pa.array(end - offsets[r])], ["start", "end"])
                 size, removed = np.diff(offsets), np.diff(offsets) - np.diff(left)
                 kept = binary_column(data[~gone], left)
-                texts = [kept[i].as_py().decode("utf-8", "ignore") if x else None for i, x in enumerate(removed.tolist())]
+                rest_of = np.concatenate([[0], np.cumsum(~all_)])[offsets]
+                rest = binary_column(data[~all_], rest_of)
+                texts = [rest[i].as_py().decode("utf-8", "ignore") if x else None for i, x in enumerate((size > np.diff(rest_of)).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(of, pa.int32()), ranges), kept, pa.array(texts, pa.string())],
                     ["row", "n_bytes", "n_removed", "spans", "kept", "rest"],
@@ -538,7 +557,7 @@ def _judged(regions: DataFrame, name: str) -> DataFrame:
 
 def parse_suffixes(ranked: DataFrame, same: dict[int, int], once: set[int], width: int) -> DataFrame:
     """The suffix array of the parse, over the cluster: its suffixes, up to ``width`` bytes, in order."""
-    whole = ranked.repartition("id", "h").sortWithinPartitions("id", "h", "at")
+    whole = ranked.repartition("id", "h").sortWithinPartitions("id", "h", "place")
     suffixes = whole.mapInArrow(_parse_suffixes(width, same, once), _SUFFIXES)
     return suffixes.repartitionByRange("seq", "prev", "id", "at").sortWithinPartitions("seq", "prev", "id", "at")
 
@@ -618,13 +637,13 @@ def _repeated_words(texts: DataFrame, words: int, width: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = ("doc_id",), words: int | None = None) -> DataFrame:
     """Cut every byte out of ``text`` that a ``width``-byte string covers which also starts anywhere else.
 
-    With ``words``, bytes that so many whole words cover which also stand anywhere else are cut too,
-    however few they are.
+    With ``words``, ``rest`` is also without the bytes that so many whole words cover which stand
+    anywhere else too, however few bytes they are; the other columns follow ``width`` alone.
 
     ``docs`` needs doc_id (long) and text; returns a row per row: ``row`` (a struct of the columns
     ``carry``), n_bytes, n_removed, spans (array of start, end in bytes of the input: the maximal
     removed runs), kept (binary: the remaining bytes, perhaps no valid UTF-8 at the cuts) and rest (kept
-    as text without the bytes of broken characters, null where nothing was removed). Strings are judged on the input; occurrences may overlap or lie in one text, but never cross texts. Null
+    as text, without the passages of ``words`` and the bytes of broken characters; null where nothing was removed). Strings are judged on the input; occurrences may overlap or lie in one text, but never cross texts. Null
     and empty texts have no bytes and keep none; texts shorter than ``width`` stay whole; every one of
     several equal rows counts, so that equal texts of at least ``width`` bytes are removed in full.
     """
@@ -651,11 +670,11 @@ def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = (
     again = windows.where("window is not null").groupBy("window", "other").agg(F.sum("weight").alias("w")).where("w > 1").select("window", "other")
     found = windows.where("weight = 1").join(again, ["window", "other"]).unionByName(windows.where("window is null"))
 
-    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n")).unionByName(more)
+    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n")).unionByName(more).withColumn("passage", F.lit(False))
     if words:
-        repeats = repeats.unionByName(_repeated_words(texts, words, width))
-    repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("repeats"))
-    none = F.expr("cast(array() as array<struct<lo:int,n:int>>)")
+        repeats = repeats.unionByName(_repeated_words(texts, words, width).withColumn("passage", F.lit(True)))
+    repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n", "passage")).alias("repeats"))
+    none = F.expr("cast(array() as array<struct<lo:int,n:int,passage:boolean>>)")
     all_ = docs.join(repeats, ["id", "h"], "left").select("row", "text", F.coalesce("repeats", none).alias("repeats"))
     row = docs.schema["row"].dataType.simpleString()
     return all_.mapInArrow(_cut(width), f"row {row}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, rest string")

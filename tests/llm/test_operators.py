@@ -118,8 +118,9 @@ def test_parse_order(spark, docs):
     for r in ranked.collect():
         rank = same.get(r["rank"], r["rank"])
         if rank not in once:
-            assert own.setdefault(rank, whole[r.id][r["at"] : r["at"] + r.n]) == whole[r.id][r["at"] : r["at"] + r.n]
-            place.setdefault(rank, set()).add((r.id, r["at"]))
+            at = r.place >> 32
+            assert own.setdefault(rank, whole[r.id][at : at + r.n]) == whole[r.id][at : at + r.n]
+            place.setdefault(rank, set()).add((r.id, at))
     assert [own[r] for r in sorted(own)] == sorted(own.values()) and len(set(own.values())) == len(own) > 50
     assert all(len(x) > 1 for x in place.values())
     count = {}
