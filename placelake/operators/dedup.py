@@ -59,6 +59,30 @@ def records_alike(a: tuple, b: tuple, threshold: float = THRESHOLD) -> bool:
     return s >= threshold or (a[0], a[2], a[4]) == (b[0], b[2], b[4])
 
 
+def links(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
+    """How many other records each one is alike to, and the first of them in the order of a column: order, n_links, first_link.
+
+    ``threshold`` must be over NEITHER_EQUAL: then alike records share the phone and the street or the name, so that they are
+    blocked by both. Equal records are folded first; they are alike only if what they share reaches the threshold by itself.
+    """
+    if threshold <= NEITHER_EQUAL:
+        raise ValueError(f"records with neither street nor name in common may be alike up to {NEITHER_EQUAL}")
+    key = ["phone_key", "address", "name_key", "zip_code"]
+    folded = signature(df).select(order, "phone_key", F.lower(F.coalesce("address", F.lit(""))).alias("address"), "name_key", F.substring(F.coalesce("zip_code", F.lit("")), 1, 5).alias("zip_code"))
+    one = folded.groupBy(*key).agg(F.count("*").alias("copies"), F.min(order).alias("first"))
+    sides = one.where("phone_key <> ''").withColumn("block", F.explode(F.array(F.concat(F.lit("s"), "address"), F.concat(F.lit("n"), "name_key"))))
+    a, b = (sides.select("phone_key", "block", F.struct(*key, "copies", "first").alias(c)) for c in "ab")
+    both = a.join(b, ["phone_key", "block"]).where((F.col("a.first") != F.col("b.first")) & (F.col("block").startswith("s") | (F.col("a.address") != F.col("b.address"))))
+    alike = both.where(F.round(similarity("a", "b"), 6) >= threshold)
+    found = alike.groupBy(F.col("a.first").alias("first")).agg(F.sum("b.copies").alias("others"), F.min("b.first").alias("other"))
+    own = one.withColumn("a", F.struct(*key)).withColumn("own", F.round(similarity("a", "a"), 6) >= threshold)
+    second = folded.join(one.where("copies > 1").select(*key, "first"), key).where(F.col(order) > F.col("first")).groupBy(*key).agg(F.min(order).alias("second"))
+    each = folded.join(own.select(*key, "copies", "own", "first"), key).join(second, key, "left").join(found, "first", "left")
+    copies = F.when(F.col("own"), F.col("copies") - 1).otherwise(0)
+    twin = F.when(F.col("own") & (F.col("copies") > 1), F.when(F.col(order) == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    return each.select(order, (F.coalesce("others", F.lit(0)) + copies).alias("n_links"), F.least("other", twin).alias("first_link"))
+
+
 def greedy(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
     """Mark records that repeat an earlier kept one, in the order of a column, exactly or at ``threshold``.
 

@@ -175,7 +175,7 @@ def split_explode(spark, d):
     return table(spark, d, "part").select(F.explode(C.pieces(F.col("p_type"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, key FROM (SELECT doc_id, lower(substr(text, 1, 40)) AS key, row_number() OVER (PARTITION BY lower(substr(text, 1, 40)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@query("SELECT doc_id, key FROM (SELECT doc_id, md5(lower(text)) AS key, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def key_dedup_first(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("key"))  # of whole texts
     return D.first_per_key(x, ["key"], "doc_id")
@@ -200,15 +200,13 @@ def dedup_signature(spark, d):
 
 
 @query(rf"""WITH {FACILITIES}, k AS (SELECT ord, regexp_replace(phone, '\D', '', 'g') AS p, lower(address) AS a, regexp_replace(lower(name), '[^\w\s]', '', 'g') AS n, zip_code AS z FROM f),
-  j AS (SELECT x.ord AS a_ord, y.ord AS b_ord, x.a AS xa, y.a AS ya, x.n AS xn, y.n AS yn, x.z AS xz, y.z AS yz FROM k x JOIN k y ON x.p = y.p AND x.ord < y.ord AND y.ord - x.ord < 200)
-  SELECT a_ord, b_ord, round(0.4 + CASE WHEN xa = ya THEN 0.3 WHEN len(list_filter(range(1, least(length(xa), length(ya)) + 1), lambda i: substr(xa, i, 1) = substr(ya, i, 1))) / greatest(length(xa), length(ya)) >= 0.8 THEN 0.21 ELSE 0 END
+  j AS (SELECT x.ord AS a_ord, y.ord AS b_ord, x.a AS xa, y.a AS ya, x.n AS xn, y.n AS yn, x.z AS xz, y.z AS yz FROM k x JOIN k y ON x.p = y.p AND x.ord <> y.ord),
+  s AS (SELECT a_ord, b_ord, round(0.4 + CASE WHEN xa = ya THEN 0.3 WHEN len(list_filter(range(1, least(length(xa), length(ya)) + 1), lambda i: substr(xa, i, 1) = substr(ya, i, 1))) / greatest(length(xa), length(ya)) >= 0.8 THEN 0.21 ELSE 0 END
    + CASE WHEN xn = yn THEN 0.2 WHEN len(list_filter(range(1, least(length(xn), length(yn)) + 1), lambda i: substr(xn, i, 1) = substr(yn, i, 1))) / greatest(length(xn), length(yn)) >= 0.7 THEN 0.1 ELSE 0 END
-   + CASE WHEN xz = yz THEN 0.1 ELSE 0 END, 6)::DOUBLE AS similarity FROM j""")
-def similarity_pairs(spark, d):
-    f = D.signature(facilities(spark, d)).select("ord", "phone_key", "address", "name_key", "zip_code")
-    a, b = f.select(F.struct("*").alias("a")), f.select(F.struct("*").alias("b"))
-    j = a.join(b, (F.col("a.phone_key") == F.col("b.phone_key")) & (F.col("a.ord") < F.col("b.ord")))
-    return j.select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.round(D.similarity("a", "b"), 6).alias("similarity"))
+   + CASE WHEN xz = yz THEN 0.1 ELSE 0 END, 6)::DOUBLE AS similarity FROM j)
+  SELECT ord, count(b_ord) AS n_links, min(b_ord) AS first_link FROM f LEFT JOIN (SELECT * FROM s WHERE similarity >= 0.85) ON a_ord = ord GROUP BY 1""")
+def similarity_links(spark, d):
+    return D.links(facilities(spark, d), "ord")
 
 
 @query()

@@ -82,8 +82,8 @@ def test_key_dedup_first(spark, tmp_path):
     assert sorted(r.doc_id for r in QUERIES["key_dedup_first"](spark, str(tmp_path)).collect()) == [1, 2, 4, 6]
 
 
-def test_similarity_pairs(spark, tmp_path):
-    ids = [1, 3, 41, 201, 281, 2001, 14001]  # of one phone but for 3, most of them 200 and more apart
+def test_similarity_links(spark, tmp_path):
+    ids = [1, 3, 41, 201, 281, 1401, 2001, 14001]  # of one phone but for 3, most of them 200 and more apart
     rows = [(i, f"Customer#{i:09d}", "BUILDING") for i in ids]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
 
@@ -93,9 +93,17 @@ def test_similarity_pairs(spark, tmp_path):
         s = 0.4 + (0.3 if x == y else 0.21 if D._match(x, y) >= 0.8 else 0) + (0.1 if D._match(p, q) >= 0.7 else 0)
         return round(s + (0.1 if a % 7 == b % 7 else 0), 6)
 
-    want = {(a, b): likeness(a, b) for a in ids for b in ids if a < b and a % 40 == b % 40}
-    got = {(r.a_ord, r.b_ord): r.similarity for r in QUERIES["similarity_pairs"](spark, str(tmp_path)).collect()}
-    assert len(want) == 15 and got == pytest.approx(want)
+    alike = {a: [b for b in ids if a != b and a % 40 == b % 40 and likeness(a, b) >= 0.85] for a in ids}
+    got = {r.ord: (r.n_links, r.first_link) for r in QUERIES["similarity_links"](spark, str(tmp_path)).collect()}
+    assert got == {a: (len(x), min(x, default=None)) for a, x in alike.items()} and sum(n for n, _ in got.values()) >= 4
+
+
+def test_links_between_copies(spark):
+    rows = [(1, "A", "1 Main St", "75001", "555-1"), (2, "A", "1 main st", "75001", "5551"), (3, "B", "1 Main St", "75001", "555-1"), (4, "A", "1 Main St", "75001", ""), (5, None, None, None, None), (6, None, None, None, "555-9"), (7, None, None, None, "555-9")]
+    df = spark.createDataFrame(rows, "ord long, name string, address string, zip_code string, phone string").withColumn("city", F.lit("x"))
+    got = {r.ord: (r.n_links, r.first_link) for r in D.links(df, "ord", 0.85).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 3: (0, None), 4: (0, None), 5: (0, None), 6: (0, None), 7: (0, None)}
+    assert D.links(df.limit(0), "ord").count() == 0
 
 
 def test_reach(spark):
