@@ -586,19 +586,27 @@ def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np
     return row[at], start[at], end[at + words - 1], place[at], hashes
 
 
-def _anchors(words: int):
-    """A row per shingle that stands for windows of words: equal windows have equal ones, at different places. ``lo`` and ``n`` count its windows."""
+def _anchors(words: int, width: int):
+    """A row per shingle that stands for windows of words, in order of their starts: equal windows have equal ones, at different places.
+
+    ``region`` is of all bytes that its windows cover, ``lo`` and ``n`` say which those are, as windows of ``width`` bytes, ``at`` which windows of words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = byte_arrays(part.column("text"))
-                row, _, _, place, hashes = _word_windows(data, offsets, words)
+                row, start, end, place, hashes = _word_windows(data, offsets, words)
                 head = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(row, prepend=-1))
-                key = pa.array(hashes[place[head]].view(np.int64))
-                lo, n = head - np.searchsorted(row, row[head]), np.diff(np.append(head, len(row)))
+                last = np.append(head[1:], len(row))[: len(head)] - 1
+                region = bh.range_hash(bh.prefix_sums(data), start[head], end[last])
+                window = ((head - np.searchsorted(row, row[head])) << 32) | (last - head + 1)
                 take = pa.array(row[head], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, key, part.column("id").take(take), part.column("h").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(np.zeros(len(head)), pa.int64())], ["key", "region", "id", "h", "lo", "n", "at"])
+                lo, n = start[head] - offsets[row[head]], end[last] - start[head] - width + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[place[head]].view(np.int64)), pa.array(region.view(np.int64)), part.column("id").take(take), part.column("h").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(window)],
+                    ["key", "region", "id", "h", "lo", "n", "at"],
+                )
 
     return run
 
@@ -613,9 +621,9 @@ def _chosen_windows(words: int, width: int):
                 row, start, end, _, _ = _word_windows(data, offsets, words)
                 lists = part.column("anchors")
                 per = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                lo, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "n"))
-                lo += np.searchsorted(row, np.repeat(np.arange(len(per)), per))
+                window = lists.flatten().to_numpy()
+                lo, n = window >> 32, window & 0xFFFFFFFF
+                lo = lo + np.searchsorted(row, np.repeat(np.arange(len(per)), per))
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row, start, end = row[at], start[at], end[at]
                 key, other = (pa.array(x.view(np.int64)) for x in bh.two_hashes(bh.prefix_sums(data), data, start, end))
@@ -628,10 +636,10 @@ def _chosen_windows(words: int, width: int):
 def _repeated_words(texts: DataFrame, words: int, width: int) -> DataFrame:
     """id, h, lo and n of the windows of ``words`` words whose bytes also stand anywhere else."""
     texts = texts.where(F.octet_length("text") >= 2 * words - 1)
-    anchors = _judged(texts.mapInArrow(_anchors(words), _ORDERED), "anchors").where(F.col("kind") == SPAN)
-    wanted = anchors.groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n")).alias("anchors"))
+    anchors = _judged(texts.mapInArrow(_anchors(words, width), _ORDERED), "anchors")
+    wanted = anchors.where(F.col("kind") == EMIT).groupBy("id", "h").agg(F.collect_set("at").alias("anchors"))
     windows = texts.join(wanted, ["id", "h"]).mapInArrow(_chosen_windows(words, width), _ORDERED)
-    return _judged(windows, "word-windows").where(F.col("kind") == SPAN).select("id", "h", "lo", "n")
+    return anchors.unionByName(_judged(windows, "word-windows")).where(F.col("kind") == SPAN).select("id", "h", "lo", "n")
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = ("doc_id",), words: int | None = None) -> DataFrame:
