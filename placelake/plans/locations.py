@@ -244,10 +244,12 @@ def validation_summary(spark, d):
     return V.summary_by_field(V.report(facilities(spark, d)))
 
 
-@query("SELECT c_custkey, round(2.0 / 3 * 0.7 + 1.0 / 2 * 0.3, 6)::DOUBLE AS completeness FROM customer")
+@query("""SELECT c_custkey, round(((c_custkey % 2 = 0)::INT + 1 + (c_acctbal > 0)::INT) / 3 * 0.7 + ((c_nationkey > 9)::INT + (c_custkey % 5 = 1)::INT) / 2 * 0.3, 6)::DOUBLE AS completeness FROM customer""")
 def completeness(spark, d):
-    x = V.completeness([F.col("c_name"), F.col("c_mktsegment"), F.lit("")], [F.col("c_nationkey").cast("string"), F.lit(" ")])
-    return table(spark, d, "customer").select("c_custkey", F.round(x, 6).alias("completeness"))
+    # some fields are null, empty or blank
+    needed = [F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, "x").otherwise("")]
+    more = [F.when(F.col("c_nationkey") > 9, F.col("c_nationkey").cast("string")).otherwise(" "), F.when(F.col("c_custkey") % 5 == 1, "y")]
+    return table(spark, d, "customer").select("c_custkey", F.round(V.completeness(needed, more), 6).alias("completeness"))
 
 
 @query("SELECT user_id, arg_max(event_type, (n, -seen)) AS primary_method FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM events GROUP BY ALL) GROUP BY 1")
