@@ -562,15 +562,15 @@ def parse_suffixes(ranked: DataFrame, same: dict[int, int], once: set[int], widt
     return suffixes.repartitionByRange("seq", "prev", "id", "at").sortWithinPartitions("seq", "prev", "id", "at")
 
 
-def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of each window of ``words`` words, the place of the least hash of the shingles in it (the first of equal ones), and the hashes of all shingles."""
-    sums, size = bh.prefix_sums(data), min(SHINGLE, words)
+def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each window of ``words`` words, the place of the least hash of the shingles in it (the first of equal ones), and the hashes of all shingles; ``sums`` are the prefix sums of ``data``."""
+    size = min(SHINGLE, words)
     start, end, of = bh.words(data, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(of))
     m = len(start) - words + 1
     if m <= 0:
         return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64)
-    hashes = bh.mix(bh.range_hash(sums, start[: len(start) - size + 1], end[size - 1 :]))
+    hashes = bh.range_hash(sums, start[: len(start) - size + 1], end[size - 1 :])
     least, place, span, reach = hashes, np.arange(len(hashes)), words - size + 1, 1
 
     def earlier(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -596,10 +596,11 @@ def _anchors(words: int, width: int):
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = byte_arrays(part.column("text"))
-                row, start, end, place, hashes = _word_windows(data, offsets, words)
+                sums = bh.prefix_sums(data)
+                row, start, end, place, hashes = _word_windows(data, offsets, words, sums)
                 head = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(row, prepend=-1))
                 last = np.append(head[1:], len(row))[: len(head)] - 1
-                region = bh.range_hash(bh.prefix_sums(data), start[head], end[last])
+                region = bh.range_hash(sums, start[head], end[last])
                 window = ((head - np.searchsorted(row, row[head])) << 32) | (last - head + 1)
                 take = pa.array(row[head], pa.int64())
                 lo, n = start[head] - offsets[row[head]], end[last] - start[head] - width + 1
@@ -618,7 +619,8 @@ def _chosen_windows(words: int, width: int):
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = byte_arrays(part.column("text"))
-                row, start, end, _, _ = _word_windows(data, offsets, words)
+                sums = bh.prefix_sums(data)
+                row, start, end, _, _ = _word_windows(data, offsets, words, sums)
                 lists = part.column("anchors")
                 per = np.diff(lists.offsets.to_numpy())
                 window = lists.flatten().to_numpy()
@@ -626,7 +628,7 @@ def _chosen_windows(words: int, width: int):
                 lo = lo + np.searchsorted(row, np.repeat(np.arange(len(per)), per))
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row, start, end = row[at], start[at], end[at]
-                key, other = (pa.array(x.view(np.int64)) for x in bh.two_hashes(bh.prefix_sums(data), data, start, end))
+                key, other = (pa.array(x.view(np.int64)) for x in bh.two_hashes(sums, data, start, end))
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([key, other, part.column("id").take(take), part.column("h").take(take), pa.array(start - offsets[row], pa.int32()), pa.array(end - start - width + 1, pa.int32()), pa.array(np.zeros(len(at)), pa.int64())], ["key", "region", "id", "h", "lo", "n", "at"])
 
