@@ -44,6 +44,21 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``write_table`` that no later step reads, and the shuffles of steps that are done.
+
+    What was made of the tables must be written already, so that a lost executor never asks for them again. Spark removes
+    shuffles only after a garbage collection on the driver, which has little garbage of its own; so one is asked for.
+    """
+    for table in tables:
+        jvm, spark = table.sparkSession._jvm, table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/placelake-" in folder:  # never a table that isn't ours
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
 def byte_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets of its rows, without copying; null is empty."""
     if column.null_count:

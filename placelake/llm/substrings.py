@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelake.llm import bytehash as bh
-from placelake.llm.shared import binary_column, byte_arrays, chunks, write_table
+from placelake.llm.shared import binary_column, byte_arrays, chunks, release, write_table
 
 TRIGGER = 16
 TRIGGER_BITS = 6
@@ -666,7 +666,9 @@ def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = (
     if not more.isEmpty():
         long_ = long_.dropDuplicates(["id", "h"])
 
-    judged = write_table(parse_suffixes(*dictionary(long_), width).mapInArrow(_lcp(width), _JUDGED), "regions")
+    ranked, same, once = dictionary(long_)
+    judged = write_table(parse_suffixes(ranked, same, once, width).mapInArrow(_lcp(width), _JUDGED), "regions")
+    release(ranked)
     wanted = judged.where(F.col("kind") == EMIT).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n", "at")).alias("regions"))
     chosen = long_.join(wanted, ["id", "h"]).mapInArrow(_slices(width), _SLICES).unionByName(long_.mapInArrow(_bare_slices(width), _SLICES))
     slices = write_table(chosen, "slices")
@@ -679,8 +681,10 @@ def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = (
     windows = write_table(rims.mapInArrow(_windows(width), "window long, other long, weight int, id long, h long, lo int, n int"), "windows")
     again = windows.where("window is not null").groupBy("window", "other").agg(F.sum("weight").alias("w")).where("w > 1").select("window", "other")
     found = windows.where("weight = 1").join(again, ["window", "other"]).unionByName(windows.where("window is null"))
+    found = write_table(found.select("id", "h", "lo", "n"), "found")
+    release(slices, windows)
 
-    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found.select("id", "h", "lo", "n")).unionByName(more).withColumn("passage", F.lit(False))
+    repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found).unionByName(more).withColumn("passage", F.lit(False))
     if words:
         repeats = repeats.unionByName(_repeated_words(texts, words, width).withColumn("passage", F.lit(True)))
     repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n", "passage")).alias("repeats"))
