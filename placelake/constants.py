@@ -99,6 +99,12 @@ ALIASES = {
     "address": ("address", "street_address", "address_line_1"), "city": ("city", "locality"), "state": ("state", "region", "province"),
     "zip_code": ("zip_code", "postal_code", "zip"), "phone": ("phone", "telephone", "phone_number"), "email": ("email", "email_address"), "website": ("website", "url", "link"),
 }
+# Confidence by what a geocoder or a fetch answers.
+GEOCODE_SCORES = {"found": 0.9, "missing": 0.2, "service_error": 0.5}
+FETCH_GOOD, FETCH_OTHER, FETCH_TIMEOUT, FETCH_FAILED = 0.9, 0.3, 0.2, 0.1
+# Single patterns of facts in texts.
+LICENSE_SHORT = r"(?:license|lic\.?)\s*#?\s*([A-Z0-9-]+)"
+MEDICARE_SHORT = r"(?:medicare|provider)\s*(?:id|number|#)\s*:?\s*([A-Z0-9-]+)"
 # Weights of the declared overall quality.
 QUALITY_WEIGHTS = {"completeness": 0.4, "accuracy": 0.3, "consistency": 0.2, "freshness": 0.1}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,3 +171,28 @@ def reply_facilities(reply: Column, schema: str) -> Column:
     pieces = F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r'(?s)\{[^{}]*"facilities"[^{}]*\[[^\]]*\][^{}]*\}'), 0)
     salvaged = F.flatten(F.filter(F.transform(pieces, lambda p: F.from_json(p, schema)["facilities"]), lambda x: x.isNotNull()))
     return F.coalesce(whole, salvaged, F.from_json(F.lit('{"facilities": []}'), schema)["facilities"])
+
+
+def type_in_url(url: Column) -> Column:
+    """The first facility type with a keyword, hyphens for spaces, in a URL."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for kind, keywords in K.FACILITY_TYPES.items():
+        out = out.when(reduce(lambda a, b: a | b, (u.contains(k.replace(" ", "-")) for k in keywords)), kind.replace("_", " ").title())
+    return out.otherwise(K.OTHER_TYPE)
+
+
+def short_facts(text: Column) -> Column:
+    """Beds, license and Medicare number by a single pattern each; '' where it doesn't match."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(*(F.regexp_extract(t, f"(?i){p}", 1).alias(name) for name, p in (("beds", K.BEDS), ("license_number", K.LICENSE_SHORT), ("medicare_provider_id", K.MEDICARE_SHORT))))
+
+
+def address_lines(text: Column) -> Column:
+    """Of an address of several lines: the first line; of the first later line with a postal code that code and what stands before it, cut at commas. Null where there is none."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    line = F.get(F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.rlike(K.ZIP)), F.lit(0))
+    zip_code = F.regexp_extract(line, K.ZIP, 1)
+    parts = F.split(F.trim(F.replace(line, zip_code, F.lit(""))), ",")
+    two = F.size(parts) >= 2
+    return F.struct(F.get(lines, F.lit(0)).alias("address"), F.when(two, F.trim(F.get(parts, F.lit(0)))).alias("city"), F.when(two, F.trim(F.get(parts, F.lit(1)))).alias("state"), zip_code.alias("zip_code"))

@@ -31,20 +31,33 @@ def domain(url: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute, protocol-relative, root-relative, query or fragment reference against ``base``; others go beside its last segment."""
+    """An absolute, protocol-relative, root-relative, query or fragment reference against ``base``; others go beside its last segment. Paths of the last two kinds lose ``.`` and ``..``, those beside also empty segments."""
     site = F.concat(part(base, 1), F.lit("://"), authority(base))
     plain = F.regexp_replace(base, r"[?#].*$", "")
+    beside = F.concat(F.regexp_replace(path(base), r"[^/]*$", ""), F.when(path(base) == "", F.lit("/")).otherwise(F.lit("")), F.regexp_extract(href, r"^[^?#]*", 0))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("/"), normal(F.concat(site, href)))
         .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .when(href.startswith("?"), F.concat(plain, href))
-        .otherwise(F.concat(site, F.regexp_replace(path(base), r"[^/]*$", ""), F.when(path(base) == "", F.lit("/")).otherwise(F.lit("")), href))
+        .otherwise(normal(F.concat(site, F.regexp_replace(beside, r"/{2,}", "/"), F.regexp_extract(href, r"[?#].*$", 0))))
     )
 
 
+def normal(url: Column) -> Column:
+    """An absolute URL without ``.`` and ``..`` segments in its path; ``..`` at the root stays at the root."""
+    parts = F.split(path(url), "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda out, x: F.when(x == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..")
+    clean = F.concat(F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(path(url).rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.regexp_extract(url, r"^[^?#]*?://[^/?#]*", 0), clean, F.regexp_extract(url, r"[?#].*$", 0))).otherwise(url)
+
+
 def segments(url: Column) -> Column:
     return F.size(F.filter(F.split(path(url), "/"), lambda x: x != ""))
 

@@ -50,3 +50,8 @@ def url_owner(chains: DataFrame) -> DataFrame:
 def tag(facilities: DataFrame, chains: DataFrame, key: str) -> DataFrame:
     """Organisation columns on each facility; the planner broadcasts a catalog that is small."""
     return facilities.join(chains, key)
+
+
+def type_counts(chains: DataFrame, column: str = "facility_types", sign: str = r"\|") -> DataFrame:
+    """How many organisations have each type; a type that one names twice counts twice."""
+    return chains.select(F.explode(pieces(F.col(column), sign)).alias("facility_type")).groupBy("facility_type").agg(F.count("*").alias("n"))

@@ -285,11 +285,12 @@ def anti_visited(spark, d):
     return L.unvisited(x.select("url"), x.where("page_id % 2 = 0")).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 100 AS src, (o_orderkey * 7) % 100 AS dst FROM orders), r AS (SELECT 1::BIGINT AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS src, o_orderkey AS dst FROM orders), r AS (SELECT c_custkey AS url, 0 AS depth FROM customer WHERE c_nationkey = 3 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)
   SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1""")
 def bfs_depth(spark, d):
-    edges = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("src"), ((F.col("o_orderkey") * 7) % 100).alias("dst")).distinct()
-    return L.reach(edges, spark.range(1, 2).select(F.col("id").alias("url")), 3)
+    """Orders as edges from their customer to the customer whose key is the order's; from all customers of a nation on."""
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return L.reach(edges, table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("url")), 3)
 
 
 @query("SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")

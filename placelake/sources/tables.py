@@ -81,3 +81,8 @@ def write_run(path: str, generated: str, mode: str = "error", **tables: DataFram
 def consolidate(runs: list[DataFrame]) -> DataFrame:
     """All records of several runs, whatever columns each has."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
+
+
+def write_summary(summary: DataFrame, path: str, mode: str = "error") -> None:
+    """A summary (of validations, a batch, several sites, methods or downloads) as one JSON file; it has a row per group, so one task writes it."""
+    summary.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(path)
