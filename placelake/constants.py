@@ -111,3 +111,5 @@ QUALITY_WEIGHTS = {"completeness": 0.4, "accuracy": 0.3, "consistency": 0.2, "fr
 JSON_LD_TYPES = ("Organization", "LocalBusiness", "HealthAndBeautyBusiness")
 JSON_LD_FIELDS = {c: c for c in ("name", "description", "url", "telephone", "email")}
 JSON_LD_ADDRESS = {"street_address": "streetAddress", "city": "addressLocality", "state": "addressRegion", "zip_code": "postalCode", "country": "addressCountry"}
+
+CATALOG_ADVISED, CATALOG_MOST, CATALOG_MEGABYTES = 1000, 10000, 50

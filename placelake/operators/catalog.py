@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placelake import constants as K
 from placelake.functions.text import first_integer
 
 
@@ -55,3 +56,22 @@ def tag(facilities: DataFrame, chains: DataFrame, key: str) -> DataFrame:
 def type_counts(chains: DataFrame, column: str = "facility_types", sign: str = r"\|") -> DataFrame:
     """How many organisations have each type; a type that one names twice counts twice."""
     return chains.select(F.explode(pieces(F.col(column), sign)).alias("facility_type")).groupBy("facility_type").agg(F.count("*").alias("n"))
+
+
+def sizes(chains: DataFrame, megabytes: float | None = None) -> DataFrame:
+    """One row with the catalog's size and whether it is beyond what is advised; ``megabytes`` is its file's size, if known. Nothing is refused."""
+    large = F.lit(megabytes).cast("double") > K.CATALOG_MEGABYTES
+    return chains.agg(F.count("*").alias("n")).select("n", (F.col("n") > K.CATALOG_ADVISED).alias("many"), (F.col("n") > K.CATALOG_MOST).alias("too_many"), F.coalesce(large, F.lit(False)).alias("large_file"))
+
+
+def results(chains: DataFrame, facilities: DataFrame, key: str) -> DataFrame:
+    """Each organisation with facilities_count and success, which takes one facility at least. Null keys have none."""
+    found = facilities.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("facilities_count"))
+    n = F.coalesce("facilities_count", F.lit(0))
+    return chains.join(found, key, "left").withColumns({"facilities_count": n, "success": n > 0})
+
+
+def batch_summary(results: DataFrame, by: str = "batch") -> DataFrame:
+    """Per batch: organisations, those that succeeded and failed, and their facilities. A null success is a failure."""
+    good = F.coalesce("success", F.lit(False))
+    return results.groupBy(by).agg(F.count("*").alias("n"), F.count_if(good).alias("successful"), F.count_if(~good).alias("failed"), F.coalesce(F.sum("facilities_count"), F.lit(0)).alias("facilities"))

@@ -130,3 +130,8 @@ def word_chunks(text: Column, size: int, overlap: int) -> Column:
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\r\n]+"), F.lit(0))
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap, F.lit(1)) - 1, F.lit(size - overlap))
     return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def confident(records: DataFrame, least: float = 0.8, name: str = "name", confidence: str = "confidence") -> DataFrame:
+    """Records with a name and a confidence above ``least``; without a confidence it is 0. Names of spaces count as names."""
+    return records.where((F.coalesce(F.col(name), F.lit("")) != "") & (F.coalesce(F.col(confidence), F.lit(0.0)) > least))

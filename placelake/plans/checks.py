@@ -141,3 +141,28 @@ def address_lines(spark, d):
     k, code = F.col("c_custkey"), F.lpad((F.col("c_custkey") % 90000).cast("string"), 5, "7")
     last = F.when(k % 3 == 0, F.concat("c_mktsegment", F.lit(", Tex "), code)).when(k % 3 == 1, F.concat(F.lit("at "), code)).otherwise("nowhere, at all")
     return table(spark, d, "customer").select("c_custkey", T.address_lines(F.concat(F.lit(" "), "c_name", F.lit(" \n\n"), last)).alias("x")).select("c_custkey", "x.*")
+
+
+@query("SELECT count(*) AS n, count(*) > 1000 AS many, count(*) > 10000 AS too_many, coalesce(sum(length(o_orderpriority)), 0) / 1048576.0 > 50 AS large_file FROM orders")
+def catalog_sizes(spark, d):
+    orders = table(spark, d, "orders")
+    return C.sizes(orders, orders.agg(F.coalesce(F.sum(F.length("o_orderpriority")), F.lit(0)) / 1048576).first()[0])
+
+
+@query("""WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), x AS (SELECT o_custkey, coalesce(n, 0) AS n FROM orders LEFT JOIN f ON l_orderkey = o_orderkey)
+  SELECT o_custkey AS batch, count(*) AS n, count(*) FILTER (n > 0) AS successful, count(*) FILTER (n = 0) AS failed, sum(n)::BIGINT AS facilities FROM x GROUP BY 1""")
+def batch_summaries(spark, d):
+    """Orders in the place of organisations, customers in that of batches, returned lines in that of facilities."""
+    chains = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("batch"))
+    found = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))
+    return C.batch_summary(C.results(chains, found, "k"))
+
+
+@query("""SELECT event_id, name, round(c, 6)::DOUBLE AS confidence FROM (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type WHEN event_id % 8 = 0 THEN '' END AS name, CASE WHEN event_id % 5 > 0 THEN (event_id % 11) / 10.0 END AS c FROM events)
+  WHERE name <> '' AND c > 0.8""")
+def confident_records(spark, d):
+    """A model's records; some have no name, a blank one, or no confidence."""
+    k = F.col("event_id")
+    name = F.when(k % 4 > 0, F.col("event_type")).when(k % 8 == 0, "")
+    x = table(spark, d, "events").select("event_id", name.alias("name"), F.when(k % 5 > 0, (k % 11) / 10).alias("confidence"))
+    return O.confident(x).select("event_id", "name", F.round("confidence", 6).alias("confidence"))

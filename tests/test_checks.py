@@ -5,7 +5,9 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from placelake.functions import text as T
 from placelake.functions import urls as U
+from placelake.operators import catalog as C
 from placelake.operators import outcomes as O
 from placelake.sources import tables
 
@@ -59,3 +61,30 @@ def test_run_summary(spark, tmp_path):
     tables.write_summary(O.run_summary(df), str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).first().asDict() == {"corporation_name": "A", "url_scraped": "", "facilities_found": 0, "scraping_success": False, "scraping_date": "", "processing_time_minutes": 0.0, "error_message": "", "output_files": "x|y"}
     assert O.rates(spark.createDataFrame([], "overall_confidence double, flags array<string>")).first().flagged_rate == 0.0
+
+
+def test_sizes(spark):
+    assert C.sizes(spark.range(1000)).first() == (1000, False, False, False)
+    assert C.sizes(spark.range(1001), 50.1).first() == (1001, True, False, True)
+    assert C.sizes(spark.range(10001).limit(0), 50.0).first() == (0, False, False, False)
+
+
+def test_batch_summary(spark):
+    chains = spark.createDataFrame([("a", 1), ("b", 1), (None, 1), ("c", 2)], "k string, batch int")
+    found = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "k string")
+    got = C.results(chains, found, "k")
+    assert {r.k: (r.facilities_count, r.success) for r in got.collect()} == {"a": (2, True), "b": (0, False), None: (0, False), "c": (0, False)}
+    assert sorted(map(tuple, C.batch_summary(got).collect())) == [(1, 3, 1, 2, 2), (2, 1, 0, 1, 0)]
+    assert C.batch_summary(C.results(chains.limit(0), found, "k")).count() == 0
+
+
+def test_confident(spark):
+    rows = [(1, "a", 0.9), (2, "a", 0.8), (3, "", 0.9), (4, None, 0.9), (5, "a", None), (6, " ", 0.81)]
+    assert sorted(r.n for r in O.confident(spark.createDataFrame(rows, "n int, name string, confidence double")).collect()) == [1, 6]
+
+
+def test_keyword_score(spark):
+    rows = [("The other, the THEME",), ("a+b a+b",), ("none",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(T.keyword_score(F.col("t"), "the")).collect()] == [8, 0, 0, 0, 0]
+    assert [r[0] for r in df.select(T.keyword_score(F.col("t"), "a+b")).collect()] == [0, 6, 0, 0, 0]
