@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelake.llm.shared import checkpoint
@@ -88,8 +88,6 @@ def assign(docs: DataFrame, shards: list[Shard], grown: list[Shard] | None = Non
     rows = checkpoint(rows.drop("seen").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
     # a shard's rows are a run of the order: one row per shard and partition tells where its slots start
     runs = rows.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = runs.groupBy("shard").agg(F.collect_list(F.struct("part", "n", "first")).alias("runs"))
-    sums = F.expr("transform(runs, x -> struct(x.part as part, x.first as first, aggregate(filter(runs, y -> y.part < x.part), 0L, (a, y) -> a + y.n) as offset))")
-    starts = before.select("shard", F.explode(sums).alias("r")).select("shard", "r.part", "r.first", "r.offset")
+    starts = runs.select("shard", "part", "first", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("offset"))
     out = rows.join(starts, ["shard", "part"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("place") - F.col("first")).alias("slot"), "grown_shard")
