@@ -134,6 +134,7 @@ def _measure(shortest: int, short: int):
                 # lines: cut at \n and at the ends of texts; those with a word, without the first of each kind
                 cut = np.flatnonzero(data == 0x0A)
                 line = np.union1d(cut + 1, offsets[:-1])
+                line = line[line < len(data)]  # nothing follows a last \n, nor stands in an empty last text
                 line_row = np.searchsorted(offsets, line, "right") - 1
                 fits = line < offsets[line_row + 1]
                 line, line_row = line[fits], line_row[fits]

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from placelake.llm import chat, decontam, html, neardup, packing, quality, repetition, sharding, substrings, warc
+from placelake.llm import chat, decontam, html, neardup, packing, quality, repetition, shared, sharding, substrings, warc
 from pyspark.sql import functions as F
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -287,6 +287,23 @@ def test_repetition(spark, rows, docs):
     assert repetition.repetition_rules(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["a b\n"], ["a b", ""], ["a b", None], [""], [None], ["a b", "c\n"], ["x y\nx y\n", None, ""]])
+def test_lines_of_last_texts(spark, monkeypatch, texts):
+    """Empty, null and newline-ended texts in last place, together in a chunk and each in its own."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(repetition, "chunks", lambda batch, column, size=size: shared.chunks(batch, column, size))
+        got = {}
+        for batch in repetition._measure(8, 3)(df.select(F.struct("doc_id").alias("row"), "text").toArrow().to_batches()):
+            got |= {r["row"]["doc_id"]: r["n_dup_lines"] for r in batch.to_pylist()}
+        want = {}
+        for i, t in enumerate(texts):
+            lines = [x for x in (t or "").split("\n") if x.split()]
+            want[i] = len(lines) - len(set(lines))
+        assert got == want
+    assert repetition.repetition_rules(df).count() == len(texts)
+
+
 def test_template_text(spark):
     template = " ".join(f"please call our friendly staff today about w{k}" for k in range(40))
     plain = " ".join(f"v{k}" for k in range(320))
