@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelake.llm import chat, html, quality, sharding, warc
+from placelake.llm import centroids, chat, html, quality, sharding, warc
+from placelake.llm.cluster_sql import cluster_sql
 from placelake.llm.decontam import decontaminate
 from placelake.llm.neardup import near_duplicates
 from placelake.llm.packing import pack
@@ -87,6 +88,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), carry=("doc_id", "text"), words=PASSAGE_WORDS)
     return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("rest", "row.text").alias("text"))
 
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _BASE32 = "".join(
@@ -105,6 +112,7 @@ _BASE32 = "".join(
 )[3:]
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clustering": cluster_sql(),
     "op2_arc_to_warc": f"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
         q AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
