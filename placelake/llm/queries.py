@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelake.llm import centroids, chat, html, quality, sharding, warc
+from placelake.llm import centroids, chat, collocations, html, quality, sharding, warc
 from placelake.llm.cluster_sql import cluster_sql
 from placelake.llm.decontam import decontaminate
 from placelake.llm.neardup import near_duplicates
@@ -89,6 +89,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("rest", "row.text").alias("text"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.collocations(_table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))[0]
 
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_collocations": op12_collocations,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -112,6 +117,19 @@ _BASE32 = "".join(
 )[3:]
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY 1, 2, 3),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2 AND f >= 30),
+        s AS (SELECT c.lang, c.k, c.phrase, c.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+          JOIN g x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(w[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(w[j + 1:], ' ')),
+        b AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        i AS (SELECT lang, inner_, max(a) AS a FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS inner_ FROM (SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) GROUP BY 1, 2),
+        d AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.inner_ = b.phrase WHERE i.a IS NULL OR 100 * i.a < 80 * b.a),
+        t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+        SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
     "op13_centroid_clustering": cluster_sql(),
     "op2_arc_to_warc": f"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
