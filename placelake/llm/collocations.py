@@ -44,30 +44,34 @@ def _sequence(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(text_bytes: int):
     """A row per chunk of texts: its own dictionary of (lang, word, count), and the sequence of their places in it; -1 parts pieces."""
-    number = TaskContext.get().partitionId() << 33
-    for whole in batches:
-        for part in chunks(whole, "text", TEXT_BYTES):
-            data, offsets = byte_arrays(part.column("text"))
-            low = bh.LOWER[data]
-            member = _WORD[low]
-            start, end = bh.spans(member, offsets)
-            if not len(start):
-                continue
-            row = np.searchsorted(offsets, start, "right") - 1
-            piece = np.concatenate([[0], np.cumsum(_BREAK[low])])[start]
-            starts = np.ones(len(start), bool)
-            starts[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
-            words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)), pa.py_buffer(low[member])])
-            words, langs = words.dictionary_encode(), part.column("lang").dictionary_encode()
-            size = len(words.dictionary)
-            key = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + words.indices.to_numpy(zero_copy_only=False)
-            key, codes, count = np.unique(key, return_inverse=True, return_counts=True)
-            entry = pa.StructArray.from_arrays([langs.dictionary.take(pa.array(key // size)), words.dictionary.cast(pa.string()).take(pa.array(key % size)), pa.array(count.astype(np.int64))], ["lang", "word", "n"])
-            sequence = _sequence(codes, starts).astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sequence], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(entry)], pa.int32()), entry)], ["chunk", "codes", "words"])
-            number += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for part in chunks(whole, "text", text_bytes):
+                data, offsets = byte_arrays(part.column("text"))
+                low = bh.LOWER[data]
+                member = _WORD[low]
+                start, end = bh.spans(member, offsets)
+                if not len(start):
+                    continue
+                row = np.searchsorted(offsets, start, "right") - 1
+                piece = np.concatenate([[0], np.cumsum(_BREAK[low])])[start]
+                starts = np.ones(len(start), bool)
+                starts[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
+                words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)), pa.py_buffer(low[member])])
+                words, langs = words.dictionary_encode(), part.column("lang").dictionary_encode()
+                size = len(words.dictionary)
+                key = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + words.indices.to_numpy(zero_copy_only=False)
+                key, codes, count = np.unique(key, return_inverse=True, return_counts=True)
+                entry = pa.StructArray.from_arrays([langs.dictionary.take(pa.array(key // size)), words.dictionary.cast(pa.string()).take(pa.array(key % size)), pa.array(count.astype(np.int64))], ["lang", "word", "n"])
+                sequence = _sequence(codes, starts).astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sequence], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(entry)], pa.int32()), entry)], ["chunk", "codes", "words"])
+                number += 1
+
+    return run
 
 
 def _squeezed(names: np.ndarray) -> np.ndarray:
@@ -174,14 +178,14 @@ def _with_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.monotonically_increasing_id())
 
 
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, broadcast_pairs: int = BROADCAST_PAIRS) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, broadcast_pairs: int = BROADCAST_PAIRS, text_bytes: int = TEXT_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """``(lang, n)``, the words of each language, and for each length a table of the phrases found ``least`` times or more.
 
     The tables have id, lang, a (occurrences), phrase, last (its last word), first_n and last_n (how often the
     first and the last 1, 2, ... words of it occur) and, from two words on, the ids left and right of its parents.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = write_table(texts.mapInArrow(_coded, "chunk long, codes binary, words array<struct<lang:string,word:string,n:long>>"), "coded")
+    coded = write_table(texts.mapInArrow(_coded(text_bytes), "chunk long, codes binary, words array<struct<lang:string,word:string,n:long>>"), "coded")
     entries = coded.select("chunk", F.posexplode("words").alias("code", "w"))
     words = write_table(entries.groupBy("w.lang", "w.word").agg(F.sum("w.n").alias("a")), "words")
     totals = write_table(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
@@ -222,7 +226,7 @@ def _cut(length: int, scale: int) -> Column:
     return F.least(*cuts) if len(cuts) > 1 else cuts[0]
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, subsumed_percent: int = SUBSUMED_PERCENT, scale: int = SCALE, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, subsumed_percent: int = SUBSUMED_PERCENT, scale: int = SCALE, broadcast_pairs: int = BROADCAST_PAIRS, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Phrases of 2 to ``longest`` words found ``least`` times or more, with the score of their weakest cut.
 
     ``docs`` needs lang (null: und) and text (null: empty). A-Z count as a-z; pieces end at ``.,;:!?`` and line
@@ -231,7 +235,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, su
     that stand inside a longer one, kept or not, of at least ``subsumed_percent`` of their occurrences. As a phrase is no
     more frequent than what it contains, the longer ones by one word tell. Repeated rows count each; no rows give none.
     """
-    totals, levels = frequent_phrases(docs, longest, least, broadcast_pairs)
+    totals, levels = frequent_phrases(docs, longest, least, broadcast_pairs, text_bytes)
     out = None
     for k in range(2, longest + 1):
         level = levels[k - 1]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelake.llm import centroids, chat, collocations, html, quality, sharding, warc
+from placelake.llm import centroids, chat, collocations, html, pii, quality, sharding, warc
 from placelake.llm.cluster_sql import cluster_sql
 from placelake.llm.decontam import decontaminate
 from placelake.llm.neardup import near_duplicates
@@ -89,6 +89,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("rest", "row.text").alias("text"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs))
+    base = F.filter("found", lambda s: s["base"])
+    counts = (F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone"))
+    return out.select("row.doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top(collocations.collocations(_table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_personal_data": op11_personal_data,
     "op12_collocations": op12_collocations,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
