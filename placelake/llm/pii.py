@@ -415,6 +415,11 @@ def find(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) ->
     return docs.select(row, "text").mapInArrow(run, f"row {kind}, found array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
+def of_kind(kind: str):
+    """A test of one span for ``filter``."""
+    return lambda s: s["kind"] == kind
+
+
 def joined(spans):
     """``kind:start:end`` of a list of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

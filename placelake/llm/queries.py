@@ -93,7 +93,7 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = pii.find(docs, pii.fit(docs))
     base = F.filter("found", lambda s: s["base"])
-    counts = (F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone"))
+    counts = (F.size(F.filter(base, pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone"))
     return out.select("row.doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
