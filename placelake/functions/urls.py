@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,12 +72,13 @@ def same_domain(url: Column, base: Column) -> Column:
     return authority(url) == authority(base)
 
 
-def _any(text: Column, parts: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(p.replace(".", r"\.") for p in parts))
+def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether one of ``parts`` stands in a text; without parts, false."""
+    return text.rlike("|".join(re.escape(p) for p in parts)) if parts else F.lit(False)
 
 
 def is_listing(url: Column) -> Column:
-    return _any(F.lower(url), K.LISTING_PARTS)
+    return contains_any(F.lower(url), K.LISTING_PARTS)
 
 
 def is_detail(url: Column) -> Column:
@@ -83,11 +86,11 @@ def is_detail(url: Column) -> Column:
 
 
 def is_excluded(url: Column) -> Column:
-    return _any(F.lower(url), K.EXCLUDED_PARTS)
+    return contains_any(F.lower(url), K.EXCLUDED_PARTS)
 
 
 def is_facility(url: Column) -> Column:
-    return F.when(is_listing(url), True).when(is_excluded(url), False).otherwise(_any(F.lower(path(url)), K.SEGMENT_PARTS))
+    return F.when(is_listing(url), True).when(is_excluded(url), False).otherwise(contains_any(F.lower(path(url)), K.SEGMENT_PARTS))
 
 
 def classify(url: Column) -> Column:

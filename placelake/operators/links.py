@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from placelake.constants import LISTING_PARTS
+from placelake.functions import anchors as A
 from placelake.functions import urls
-
-HREF = r'<a[^>]*href="([^"]*)"'
+from placelake.operators.extract import FLUSH_CHARS
+from placelake.operators.rounds import cut
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["base", "pos", "href", "text", "url"]
+    for batch in batches:
+        chars = 0
+        rows: list[tuple] = []
+        taken: list[int] = []
+        for i in range(batch.num_rows):
+            base, html = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            for pos, (href, text) in enumerate(A.anchors(html)):
+                rows.append((base, pos, href, text, A.join(base, href)))
+                taken.append(i)
+            chars += len(html or "")
+            if chars > FLUSH_CHARS or i == batch.num_rows - 1:
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                arrays = [pa.array(c, pa.int32() if n == "pos" else pa.string()) for c, n in zip(columns, names, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), *arrays], [batch.schema.names[0], *names])
+                rows, taken, chars = [], [], 0
+
+
+def anchors(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, base, pos, href, text, url): a row per anchor with an href, decoded, resolved against its page; url is null where it can't be."""
+    fields = [StructField(n, IntegerType() if n == "pos" else StringType()) for n in ("base", "pos", "href", "text", "url")]
+    return pages.select(key, "url", "html").mapInArrow(_anchor_rows, StructType([StructField(key, pages.schema[key].dataType), *fields]))
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, base, pos, href, url): a row per anchor, resolved against its page."""
-    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)
-    rows = pages.select(key, F.col("url").alias("base"), F.posexplode(hrefs).alias("pos", "href"))
-    return rows.withColumn("url", urls.resolve(F.col("base"), F.col("href")))
+    """(key, base, pos, href, url): the anchors without their texts."""
+    return anchors(pages, key).drop("text")
 
 
 def top_links(scored: DataFrame, n: int, key: str = "page_id") -> DataFrame:
@@ -29,12 +57,11 @@ def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int = 3) -> DataFrame:
-    """(url, depth): what is reached from ``seeds(url)`` over ``edges(src, dst)`` in at most ``most`` steps, by anti-joins."""
-    found = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    front = found
+    """(url, depth): what is reached from ``seeds(url)`` over ``edges(src, dst)`` in at most ``most`` steps, by anti-joins; each level starts from the written last one."""
+    found = front = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for step in range(1, most + 1):
         front = edges.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
-        front = front.join(found, "url", "left_anti").withColumn("depth", F.lit(step))
+        front = cut(front.join(found, "url", "left_anti").withColumn("depth", F.lit(step)))
         found = found.unionByName(front)
     return found
 
