@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelake import constants as K
 from placelake.functions.text import first_integer
+from placelake.operators.rounds import numbered
 
 
 def pieces(text: Column, sign: str = r"\|") -> Column:
@@ -33,9 +34,8 @@ def due(last: Column, as_of: Column, days: int = 30) -> Column:
 
 
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
-    """Batch numbers from 1 in the given order. One sorted task: for catalogs, which are small."""
-    row = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("batch", (F.floor((row - 1) / size) + 1).cast("long"))
+    """Batch numbers from 1 in the given order, by positions that no single task works out."""
+    return numbered(df, *order, name="batch").withColumn("batch", (F.floor(F.col("batch") / size) + 1).cast("long"))
 
 
 def statistics(df: DataFrame, as_of: Column, by: str = "priority") -> DataFrame:

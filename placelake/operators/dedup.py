@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelake.functions.text import positional_match
+from placelake.operators.rounds import cut, numbered, running
 
 THRESHOLD = 0.85
 # The greatest likeness of records whose streets and names both differ: only above it equal streets or names are necessary.
@@ -56,7 +57,7 @@ def records_alike(a: tuple, b: tuple, threshold: float = THRESHOLD) -> bool:
     s += 0.3 if a[1] and a[1] == b[1] else 0.21 if _match(a[1], b[1]) >= 0.8 else 0.0
     s += 0.2 if a[2] and a[2] == b[2] else 0.1 if _match(a[2], b[2]) >= 0.7 else 0.0
     s += 0.1 if a[3] and a[3] == b[3] else 0.0
-    return s >= threshold or (a[0], a[2], a[4]) == (b[0], b[2], b[4])
+    return round(s, 6) >= threshold or (a[0], a[2], a[4]) == (b[0], b[2], b[4])
 
 
 def links(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -83,35 +84,146 @@ def links(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
     return each.select(order, (F.coalesce("others", F.lit(0)) + copies).alias("n_links"), F.least("other", twin).alias("first_link"))
 
 
-def greedy(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Mark records that repeat an earlier kept one, in the order of a column, exactly or at ``threshold``.
+KEY = ("phone_key", "street", "name_key", "zip5", "address_key")
+SMALL = 5000
+"""Records left undecided, over all phones, that are scanned one after the other in the end."""
+# Two fields may be alike at the least match of 0.7 (names) and 0.8 (streets), compared in blocks of two characters.
+_BLOCK = 2
+
+
+def _prepared(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with the fields that are compared and its position ``n`` in the order; equal places are parted by the fields."""
+    marked = signature(df).withColumn("street", F.lower(F.coalesce("address", F.lit("")))).withColumn("zip5", F.substring(F.coalesce("zip_code", F.lit("")), 1, 5))
+    return numbered(marked, order, *KEY, name="n")
+
+
+def _record() -> Column:
+    return F.struct("phone_key", F.col("street").alias("address"), "name_key", F.col("zip5").alias("zip_code"), "address_key")
 
-    Equal phones are necessary for a fuzzy match above 0.6, so records are blocked by phone without
-    loss, and those without one by their full hash. Exact copies are folded before a block is gathered.
+
+def _exact(a: str, b: str) -> Column:
+    same = lambda *c: F.expr(" and ".join(f"{a}.{x} = {b}.{x}" for x in c))
+    return same("phone_key", "address_key") & ((F.expr(f"{a}.phone_key <> '' and {a}.address_key <> ''")) | same("name_key"))
+
+
+def _keys(records: DataFrame) -> DataFrame:
+    """(n, key) such that alike records share a key: what must be equal, and the rarest blocks of what may differ.
+
+    Of a field with at most k places that differ, at most k blocks do; the k + 1 rarest of one record's blocks then have one of
+    the other's. Keys are hashes and only block: what they bring together is compared in full.
     """
-    marked = signature(df)
-    marked = marked.withColumn("block", F.when(F.col("phone_key") != "", F.col("phone_key")).otherwise(F.col("full_hash")))
-    one = marked.groupBy("block", "full_hash").agg(F.min(F.struct(order, "phone_key", "address_key", "name_key", F.lower(F.coalesce("address", F.lit(""))).alias("street"), F.substring(F.coalesce("zip_code", F.lit("")), 1, 5).alias("zip5"))).alias("r"))
+    phone = F.col("phone_key") != ""
+    both = lambda *c: phone & F.expr(" and ".join(f"{x} <> ''" for x in c))
+    whole = F.array_compact(F.array(
+        F.xxhash64(F.lit("f"), "phone_key", "address_key", "name_key"),
+        F.when(both("address_key"), F.xxhash64(F.lit("a"), "phone_key", "address_key")),
+        F.when(both("street", "name_key"), F.xxhash64(F.lit("e"), "phone_key", "street", "name_key")),
+    ))
+    out = records.select("n", F.explode(whole).alias("key"))
+    for equal, field, apart in (("street", "name_key", 0.3), ("name_key", "street", 0.2)):
+        blocks = F.expr(f"transform(sequence(0, cast((length({field}) - 1) div {_BLOCK} as int)), i -> substring({field}, i * {_BLOCK} + 1, {_BLOCK}))")
+        rows = records.where(both(equal, field, "zip5")).select("n", F.floor((F.length(field) + 1) * F.lit(apart) + 1e-9).alias("most"), equal, "phone_key", "zip5", F.posexplode(blocks).alias("i", "block"))
+        rows = rows.select("n", "most", F.xxhash64(F.lit(field), "phone_key", equal, "zip5", "i", "block").alias("key"))
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("count")), "key")
+        rarest = rows.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("count", "key"))).where("rank <= most + 1 and count > 1")
+        out = out.unionByName(rarest.select("n", "key"))
+    return out
+
+
+def _scan(threshold: float):
+    """The sequential scan of a block: (n, dup) of each of its records."""
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
         seen: set = set()
         near: dict = defaultdict(list)
         out = []
-        for r in pdf.sort_values(order).itertuples(index=False):
+        for r in pdf.sort_values("n").itertuples(index=False):
             dup = bool(r.phone_key and r.address_key and (r.phone_key, r.address_key) in seen)
             now = (r.phone_key, r.street, r.name_key, r.zip5, r.address_key)
-            some = (k for key in (("street", r.street), ("name", r.name_key)) for k in near[key]) if threshold > NEITHER_EQUAL else kept
-            dup = dup or any(records_alike(now, k, threshold) for k in some)
+            full = (r.phone_key, r.address_key, r.name_key)
+            fields = [key for key in (("street", r.street), ("name", r.name_key)) if key[1]]  # one of which must be equal over NEITHER_EQUAL
+            some = (k for key in fields for k in near[key]) if threshold > NEITHER_EQUAL else kept
+            dup = dup or full in seen or any(records_alike(now, k, threshold) for k in some)
             if not dup:
                 kept.append(now)
-                near["street", r.street].append(now)
-                near["name", r.name_key].append(now)
-                seen.add((r.phone_key, r.address_key))
-            out.append((r.block, r.full_hash, dup))
-        return pd.DataFrame(out, columns=["block", "full_hash", "dup"])
-
-    judged = one.select("block", "full_hash", "r.*").groupBy("block").applyInPandas(scan, "block string, full_hash string, dup boolean")
-    firsts = one.select("block", "full_hash", F.col(f"r.{order}").alias("_first"))
-    out = marked.join(judged, ["block", "full_hash"]).join(firsts, ["block", "full_hash"])
-    return out.withColumn("is_duplicate", F.col("dup") | (F.col(order) != F.col("_first"))).select(*df.columns, "is_duplicate")
+                for key in fields:
+                    near[key].append(now)
+                seen |= {(r.phone_key, r.address_key), full}
+            out.append((r.n, dup))
+        return pd.DataFrame(out, columns=["n", "dup"])
+
+    return scan
+
+
+def _scanned(records: DataFrame, threshold: float) -> DataFrame:
+    """(n, dup) by the sequential scan, blocked by phone, or by all that must be equal where there is none."""
+    block = F.when(F.col("phone_key") != "", F.col("phone_key")).otherwise(F.concat_ws("|", "address_key", "name_key"))
+    return records.select("n", *KEY, block.alias("block")).groupBy("block").applyInPandas(_scan(threshold), "n long, dup boolean")
+
+
+def _kept(one: DataFrame, threshold: float, small: int) -> DataFrame:
+    """(n) of the records that the scan keeps, by rounds.
+
+    In a round those stay that are like no earlier undecided record, and those go that are like one that stays. This
+    gives what the scan gives: whether a record is kept rests on earlier ones alone. Only whether there is such a record
+    is asked, so that a group of alike records makes no pairs. At most ``small`` last ones are scanned in turn.
+    """
+    left, kept = one, None
+    keys = cut(_keys(one).join(one.select("n", _record().alias("r")), "n"))
+    while (n := left.count()) > small:
+        mine = keys.join(left.select("n"), "n", "left_semi") if kept is not None else keys
+        earlier = mine.select("key", F.col("n").alias("m"), F.col("r").alias("s"))
+        alike = lambda side: (F.col("key") == F.col("other_key")) & (F.col(f"{side}.m") < F.col("n")) & (_exact("r", "s") | (F.round(similarity("r", "s"), 6) >= threshold))
+        blocked = cut(mine.join(earlier.withColumnRenamed("key", "other_key").alias("e"), alike("e"), "left_semi").select("n").distinct())
+        stay = cut(left.join(blocked, "n", "left_anti").select("n"))
+        firm = mine.join(stay, "n", "left_semi").select(F.col("key").alias("other_key"), F.col("n").alias("m"), F.col("r").alias("s"))
+        gone = mine.join(blocked, "n", "left_semi").join(firm.alias("e"), alike("e"), "left_semi").select("n").distinct()
+        left = cut(left.join(blocked, "n", "left_semi").join(gone, "n", "left_anti"))
+        kept = stay if kept is None else kept.unionByName(stay)
+    last = _scanned(left, threshold).where("not dup").select("n") if n else left.select("n")
+    return last if kept is None else kept.unionByName(last)
+
+
+def greedy(df: DataFrame, order: str, threshold: float = THRESHOLD, window: int | None = None, small: int = SMALL) -> DataFrame:
+    """Mark records that repeat an earlier kept one, in the order of a column, exactly or at ``threshold``.
+
+    Over NEITHER_EQUAL the scan is done by rounds over the cluster, whatever a phone has; from there down to 0.6 a phone is
+    scanned in one task, as only equal phones are then necessary. Rows that are equal in all that is compared are folded
+    before; of equal places in the order one comes first. With ``window``, likeness counts only to the last so many kept
+    records, as a scan with bounded memory sees them, while exact repeats of any kept one go. Null fields count as empty.
+    """
+    rows = _prepared(df, order)
+    one = cut(rows.groupBy(*KEY).agg(F.min("n").alias("n")))
+    if threshold > NEITHER_EQUAL:
+        kept = cut(_kept(one, threshold, small))
+    elif window is None:
+        kept = cut(_scanned(one, threshold).where("not dup").select("n"))
+    else:
+        raise ValueError(f"a window needs a threshold over {NEITHER_EQUAL}")
+    if window is not None:
+        kept = _windowed(rows, kept, threshold, window)
+    mark = kept.select("n", F.lit(False).alias("is_duplicate"))
+    return rows.join(mark, "n", "left").select(*df.columns, F.coalesce("is_duplicate", F.lit(True)).alias("is_duplicate"))
+
+
+def _windowed(rows: DataFrame, kept: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(n) of the records that a scan keeps which compares with its last ``window`` kept ones.
+
+    From a guess of what is kept follows each record's judgement, and from these the next guess. Every turn makes at least
+    one more record right, in the order, and a guess that doesn't change is the scan's result.
+    """
+    all_ = cut(rows.select("n", *KEY))
+    keys = cut(_keys(all_).join(all_.select("n", _record().alias("r")), "n"))
+    while True:
+        flagged = all_.select("n").join(kept.select("n", F.lit(1).alias("kept")), "n", "left").fillna({"kept": 0})
+        before = cut(running(flagged, "n", "kept", "before"))
+        mine = keys.join(before, "n")
+        other = mine.where("kept = 1").select(F.col("key").alias("other_key"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("before").alias("b"))
+        near = (F.round(similarity("r", "s"), 6) >= threshold) & (F.col("b") >= F.col("before") - window)
+        dups = mine.join(other, (F.col("key") == F.col("other_key")) & (F.col("m") < F.col("n")) & (_exact("r", "s") | near), "left_semi").select("n").distinct()
+        new = cut(all_.select("n").join(dups, "n", "left_anti"))
+        same = new.join(kept, "n", "left_anti").isEmpty() and kept.join(new, "n", "left_anti").isEmpty()
+        kept = new
+        if same:
+            return kept

@@ -209,7 +209,20 @@ def similarity_links(spark, d):
     return D.links(facilities(spark, d), "ord")
 
 
-@query()
+def _match_sql(x: str, y: str) -> str:
+    return f"len(list_filter(range(1, least(length({x}), length({y})) + 1), lambda i: substr({x}, i, 1) = substr({y}, i, 1))) / greatest(length({x}), length({y}))"
+
+
+# The scan as it is told: each phone's records one after the other, with what was kept so far as a list.
+GREEDY = rf"""{FACILITIES}, k AS (SELECT ord, regexp_replace(phone, '\D', '', 'g') AS p, lower(address) AS a, regexp_replace(lower(trim(name)), '[^\w\s]', '', 'g') AS n, substr(zip_code, 1, 5) AS z, lower(address || '|' || city || '|' || zip_code) AS w FROM f),
+  o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ord) AS i FROM k),
+  g AS (SELECT DISTINCT p, 0::BIGINT AS i, NULL::BIGINT AS ord, false AS dup, []::STRUCT(a VARCHAR, n VARCHAR, z VARCHAR, w VARCHAR)[] AS kept FROM o
+    UNION ALL SELECT p, i, ord, dup, CASE WHEN dup THEN kept ELSE list_append(kept, struct_pack(a := a, n := n, z := z, w := w)) END FROM (
+      SELECT o.p, o.i, o.ord, o.a, o.n, o.z, o.w, g.kept, len(list_filter(g.kept, lambda x: x.w = o.w OR round(0.4 + CASE WHEN x.a = o.a THEN 0.3 WHEN {_match_sql('x.a', 'o.a')} >= 0.8 THEN 0.21 ELSE 0 END
+        + CASE WHEN x.n = o.n THEN 0.2 WHEN {_match_sql('x.n', 'o.n')} >= 0.7 THEN 0.1 ELSE 0 END + CASE WHEN x.z = o.z THEN 0.1 ELSE 0 END, 6) >= 0.85)) > 0 AS dup FROM g JOIN o ON o.p = g.p AND o.i = g.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT ord, dup AS is_duplicate FROM g WHERE i > 0")
 def dedup_greedy(spark, d):
     return D.greedy(facilities(spark, d), "ord").select("ord", "is_duplicate")
 

@@ -10,7 +10,7 @@ from placelake.functions import text as T
 from placelake.operators import dedup as D
 from placelake.operators import summaries as S
 from placelake.operators import validate as V
-from placelake.plans.locations import chains, facilities
+from placelake.plans.locations import GREEDY, chains, facilities
 from placelake.plans.registry import query, table
 
 _PRIORITY = "cast(substr(o_orderpriority, 1, 1) AS integer) AS priority"
@@ -54,7 +54,7 @@ def file_summary(spark, d):
     return S.files(table(spark, d, "documents"), "n_chars")
 
 
-@query()
+@query(f"WITH RECURSIVE {GREEDY} SELECT count(*) AS n, count(*) FILTER (dup) AS n_duplicates, count(*) FILTER (NOT dup) AS n_unique FROM g WHERE i > 0")
 def dedup_statistics(spark, d):
     return S.duplicates(D.greedy(facilities(spark, d), "ord"))
 
