@@ -113,3 +113,6 @@ JSON_LD_FIELDS = {c: c for c in ("name", "description", "url", "telephone", "ema
 JSON_LD_ADDRESS = {"street_address": "streetAddress", "city": "addressLocality", "state": "addressRegion", "zip_code": "postalCode", "country": "addressCountry"}
 
 CATALOG_ADVISED, CATALOG_MOST, CATALOG_MEGABYTES = 1000, 10000, 50
+# The addresses that a site is asked for its sitemaps at, and the name space of sitemaps.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml", "/robots.txt")
+SITEMAP_SPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"

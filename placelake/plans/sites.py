@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placelake.operators import discover as S
 from placelake.operators import links as L
 from placelake.plans.registry import query, table
+from placelake.sources import sitemaps as M
 
 _QUOTED = '<a href="([^"]*)">'
 
@@ -57,3 +58,27 @@ def site_records(spark, d):
     pages = site_pages(spark, d)
     records = S.scrape(pages.select("url", "html"), pages.select("site"), LEXICON)
     return records.select(*(F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in records.dtypes))
+
+
+def _stored_sitemaps(pages: DataFrame) -> DataFrame:
+    """(url, xml): for each site a robots.txt that names an index, the index, and a sitemap per hundred pages; every third index names itself too."""
+    x = pages.select("page_id", F.concat("site", F.lit("locations/"), "page_id").alias("detail"), F.replace("url", F.lit("/the"), F.lit("/directory")).alias("other"), "site", F.floor(F.col("page_id") / 100).alias("part"))
+    url = lambda c: F.concat(F.lit("<url><loc>\n<![CDATA["), F.col(c), F.lit("?a=1&b=]]>2&amp;c</loc></url>"))
+    space = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    maps = x.groupBy("site", "part").agg(F.array_join(F.collect_list(F.concat(url("detail"), url("other"))), "").alias("body"))  # a hundred pages
+    maps = maps.select("site", "part", F.concat("site", F.lit("map"), "part", F.lit(".xml")).alias("url"), F.concat(F.lit(f'<?xml version="1.0"?>\n<!-- x --><urlset {space}>'), "body", F.lit("</urlset>")).alias("xml"))
+    own = lambda name: F.concat("site", F.lit(name))
+    parts = maps.groupBy("site").agg(F.array_join(F.transform(F.sort_array(F.collect_list("url")), lambda u: F.concat(F.lit("<s:sitemap><s:loc>"), u, F.lit("</s:loc></s:sitemap>"))), "").alias("body"))
+    loop = F.concat(F.lit("<s:sitemap><s:loc>"), own("index.xml"), F.lit("</s:loc></s:sitemap>"))
+    index = parts.select(own("index.xml").alias("url"), F.concat(F.lit(f'<s:sitemapindex {space.replace("xmlns", "xmlns:s")}>'), "body", loop, F.lit("</s:sitemapindex>")).alias("xml"))
+    robots = parts.select(own("robots.txt").alias("url"), F.concat(F.lit("User-agent: *\r\nSITEMAP: "), own("index.xml"), F.lit("\r\nDisallow: /")).alias("xml"))
+    return maps.select("url", "xml").unionByName(index).unionByName(robots)
+
+
+@query(f"""WITH {_SITES}, l AS (SELECT site || '/' AS site, site || '/map' || (page_id // 100) || '.xml' AS source, unnest([site || '/locations/' || page_id, replace(url, '/the', '/directory')]) || '?a=1&b=2&c' AS url FROM u)
+  SELECT site, url, min(source) AS source, CASE WHEN regexp_matches(lower(url), '/(location|facility|center|community|property|locations|facilities)/[^/]+/?$') THEN 'detail' ELSE 'listing' END AS kind
+  FROM l WHERE regexp_matches(lower(url), 'locations|directory|centers|communities') GROUP BY 1, 2""")
+def sitemap_places(spark, d):
+    """Places in the sitemaps of the sites, which robots.txt and an index lead to."""
+    pages = site_pages(spark, d)
+    return M.places(M.follow(_stored_sitemaps(pages), pages.select("site")))

@@ -30,15 +30,6 @@ def read_facilities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def sitemap_urls(df: DataFrame, column: str = "xml") -> DataFrame:
-    """The locations in sitemaps, also of sitemap indexes."""
-    return df.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1)).alias("url"))
-
-
-def robots_sitemaps(df: DataFrame, column: str = "robots") -> DataFrame:
-    return df.select(F.explode(F.split(column, "\n")).alias("line")).where(F.col("line").rlike(r"(?i)^\s*sitemap:")).select(F.trim(F.regexp_extract("line", r"(?i)^\s*sitemap:(.*)$", 1)).alias("url"))
-
-
 def json_ld(df: DataFrame, schema: str, column: str = "html") -> DataFrame:
     """A row per JSON-LD block, parsed; bad JSON gives nulls."""
     blocks = F.regexp_extract_all(column, F.lit(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)

@@ -12,7 +12,7 @@ from placelake.operators import catalog as C
 from placelake.operators import dedup as D
 from placelake.operators import links as L
 from placelake.plans.queries import ORACLE_SQL, QUERIES
-from placelake.sources import tables
+from placelake.sources import sitemaps, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -64,7 +64,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "u.txt").write_text("# no\n\n a.com \nhttp://b.com\n")
     assert [r.url for r in tables.read_urls(spark, str(tmp_path / "u.txt")).collect()] == ["https://a.com", "http://b.com"]
     robots = spark.createDataFrame([("User-agent: *\nSITEMAP: https://x.com/s.xml\n",)], "robots string")
-    assert [r.url for r in tables.robots_sitemaps(robots).collect()] == ["https://x.com/s.xml"]
+    assert [r.url for r in sitemaps.robots_sitemaps(robots).collect()] == ["https://x.com/s.xml"]
 
 
 def test_greedy(spark):
