@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelake.operators import discover as S
 from placelake.operators import links as L
+from placelake.operators.rounds import shared_folder
 from placelake.plans.registry import query, table
+from placelake.sources import responses as R
 from placelake.sources import sitemaps as M
 
 _QUOTED = '<a href="([^"]*)">'
@@ -82,3 +86,18 @@ def sitemap_places(spark, d):
     """Places in the sitemaps of the sites, which robots.txt and an index lead to."""
     pages = site_pages(spark, d)
     return M.places(M.follow(_stored_sitemaps(pages), pages.select("site")))
+
+
+@query(r"""SELECT url, lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, CASE WHEN contains(url, '/en/') THEN 404 ELSE 200 END AS status, CASE WHEN NOT contains(url, '/en/') THEN length(html) END AS n_chars,
+  NOT contains(url, '/en/') AS success FROM pages WHERE NOT contains(url, '/de/')""")
+def fetched_pages(spark, d):
+    """The last responses to unvisited URLs, out of two stored runs of a crawl: the second didn't find the English pages again."""
+    pages = table(spark, d, "pages").select("url", "html")
+    path = f"{shared_folder(spark)}/placelake-responses-{uuid.uuid4().hex}"
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp").alias("fetched_at")
+    R.store(pages.select("url", F.lit(200).alias("status"), at(1), "html"), path, 0)
+    R.store(pages.where(F.col("url").contains("/en/")).select("url", F.lit(404).alias("status"), at(2), F.lit(None).cast("string").alias("html")), path, 1)
+    R.register(spark)
+    responses = spark.read.format(R.NAME).load(path)
+    found = R.fetch(pages, responses, pages.where(F.col("url").contains("/de/")))
+    return found.select("url", "host", "status", F.length("html").alias("n_chars"), "success")
