@@ -13,6 +13,7 @@ from placelake.operators.rounds import shared_folder
 from placelake.plans.registry import query, table
 from placelake.sources import responses as R
 from placelake.sources import sitemaps as M
+from placelake.streaming import cache as C
 
 _QUOTED = '<a href="([^"]*)">'
 
@@ -101,3 +102,13 @@ def fetched_pages(spark, d):
     responses = spark.read.format(R.NAME).load(path)
     found = R.fetch(pages, responses, pages.where(F.col("url").contains("/de/")))
     return found.select("url", "host", "status", F.length("html").alias("n_chars"), "success")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type FROM events), p AS (SELECT user_id, ts AS created, max(event_type) AS schema FROM e WHERE event_type IN ('signup', 'purchase') GROUP BY 1, 2)
+  SELECT e.user_id::VARCHAR AS domain, event_id::VARCHAR AS request, CASE WHEN e.ts - created < INTERVAL 24 HOURS THEN schema END AS schema, CASE WHEN e.ts - created < INTERVAL 24 HOURS THEN 'hit' ELSE 'miss' END AS status
+  FROM e ASOF LEFT JOIN p ON p.user_id = e.user_id AND e.ts >= p.created WHERE event_type NOT IN ('signup', 'purchase')""")
+def cache_lookups(spark, d):
+    """What a cache with expiry answers to the events of users, filled by their sign-ups and purchases."""
+    kind = F.col("event_type").isin("signup", "purchase")
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").cast("string").alias("request"), F.col("ts").alias("at"), F.when(kind, F.col("event_type")).alias("schema"))
+    return C.lookups(events, 24).select("domain", "request", "schema", "status")
