@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placelake.operators import batches as B
 from placelake.operators import discover as S
 from placelake.operators import links as L
 from placelake.operators.rounds import shared_folder
@@ -112,3 +113,14 @@ def cache_lookups(spark, d):
     kind = F.col("event_type").isin("signup", "purchase")
     events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").cast("string").alias("request"), F.col("ts").alias("at"), F.when(kind, F.col("event_type")).alias("schema"))
     return C.lookups(events, 24).select("domain", "request", "schema", "status")
+
+
+@query("""WITH b AS (SELECT *, (row_number() OVER (ORDER BY c_custkey) - 1) // 5000 + 1 AS batch_number FROM customer), n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+  SELECT c_name AS corporation_name, 'https://c' || c_custkey || '.org' AS url, c_nationkey AS priority, coalesce(n, 0) AS facilities_count, coalesce(n, 0) > 0 AS success, batch_number FROM b LEFT JOIN n ON o_custkey = c_custkey""")
+def batch_results(spark, d):
+    """A run over all customers in batches; their orders stand for the places found."""
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    chains = customers.select(F.col("c_name").alias("corporation_name"), F.concat(F.lit("https://c"), "c_custkey", F.lit(".org")).alias("primary_url"), F.col("c_nationkey").cast("int").alias("priority"), "c_custkey")
+    folder = f"{shared_folder(spark)}/placelake-run-{uuid.uuid4().hex}"
+    B.run(chains, lambda batch: batch.join(orders, F.col("o_custkey") == F.col("c_custkey")).select("corporation_name", "o_orderkey"), folder, 5000, order=("c_custkey",))
+    return B.results(spark, folder).select("corporation_name", "url", "priority", "facilities_count", "success", "batch_number")
