@@ -27,8 +27,8 @@ STREET = "Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Boulevard|Blvd|Lane|Ln|Way|Circl
 CITY_STATE_ZIP = r"^([^,]+),\s*([A-Z]{2})\s*(\d{5}(?:-\d{4})?)"
 # URL scoring.
 URL_KEYWORDS = {"locations": 10, "facilities": 10, "communities": 8, "directory": 8, "find": 5, "search": 5, "our": 3, "contact": -5, "about": -5, "careers": -10, "news": -10}
-URL_GOOD = r"/locations?/|/facilit(y|ies)/|/communit(y|ies)/|/centers?/|/find.*location|/directory/"
-URL_BAD = r"/careers?/|/jobs?/|/news/|/blog/|/investors?/|/press/|/media/|\.pdf$"
+URL_GOOD = (r"/location[s]?/", r"/facilit(y|ies)/", r"/communit(y|ies)/", r"/center[s]?/", r"/find.*location", r"/directory/")
+URL_BAD = (r"/career[s]?/", r"/job[s]?/", r"/news/", r"/blog/", r"/investor[s]?/", r"/press/", r"/media/", r"\.pdf$")
 DEPTH_PENALTY, MAX_DEPTH = 2, 3
 # Names that are no facility's.
 GENERIC_NAMES = ("our facility", "healthcare facility", "nursing home", "assisted living", "care center", "location", "facility")
@@ -116,3 +116,7 @@ CATALOG_ADVISED, CATALOG_MOST, CATALOG_MEGABYTES = 1000, 10000, 50
 # The addresses that a site is asked for its sitemaps at, and the name space of sitemaps.
 SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml", "/robots.txt")
 SITEMAP_SPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
+# What an address must and may hold, and providers of mail for everyone.
+ADDRESS_NEEDS = (r"^\d+", rf"\d+\s+([A-Za-z0-9\s]+(?:{STREET}))")
+ADDRESS_MAY = (r"([A-Za-z\s]+),\s*[A-Z]{2}", r"\b[A-Z]{2}\b", r"\b\d{5}(?:-\d{4})?\b")
+MAIL_PROVIDERS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com")

@@ -97,9 +97,10 @@ def classify(url: Column) -> Column:
     return F.when(is_detail(url), "detail").when(is_listing(url), "listing").otherwise("other")
 
 
-def score(url: Column, base: Column | None = None, keywords: dict[str, int] | None = None, good: str = K.URL_GOOD, bad: str = K.URL_BAD) -> Column:
+def score(url: Column, base: Column | None = None, keywords: dict[str, int] | None = None, good: tuple[str, ...] = K.URL_GOOD, bad: tuple[str, ...] = K.URL_BAD) -> Column:
     """How promising a URL is: -100 beyond the greatest depth, else the sum of its signs."""
     level = depth(url, base) if base is not None else F.lit(0)
+    good, bad = "|".join(good), "|".join(bad)
     p, q, low = F.lower(path(url)), F.lower(query(url)), F.lower(url)
     total = -K.DEPTH_PENALTY * level
     total += F.when(p.rlike(f"(?i){good}") | q.rlike(f"(?i){good}"), 20).otherwise(0)

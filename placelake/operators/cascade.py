@@ -20,7 +20,6 @@ from placelake.schemas import MODEL_REPLY, SCHEMAS, Schema
 CSS_FIELDS = tuple(dict.fromkeys(f for s in SCHEMAS for f in s.fields))
 RECORD = ("name", "facility_type", "address", "city", "state", "zip_code", "phone", "email", "website", "services")
 LEAST_COMPATIBILITY = 0.3
-MOST_BLOCKS = 50
 
 
 def compatibility(html: Column, schema: Schema) -> Column:
@@ -104,8 +103,8 @@ def blocks(html: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.coalesce(html, F.lit(""))))
 
 
-def wide_blocks(html: Column, most: int | None = MOST_BLOCKS) -> Column:
-    """The blocks by four patterns, one after another; else the pieces over 100 characters between blocks. The first ``most`` of them."""
+def wide_blocks(html: Column, most: int | None = None) -> Column:
+    """The blocks by four patterns, one after another; else the pieces over 100 characters between blocks. All of them, or the first ``most``."""
     page = F.coalesce(html, F.lit(""))
     found = F.concat(*(F.regexp_extract_all(page, F.lit(f"(?is){p}"), 0) for p in K.BLOCKS))
     pieces = F.filter(F.split(page, K.BLOCK_SPLIT), lambda x: F.length(x) > 100)
@@ -134,7 +133,7 @@ def regex_records(html: Column) -> Column:
     return F.filter(F.transform(blocks(html), lambda b: block_record(b)), is_valid)
 
 
-def keyed_records(html: Column, most: int | None = MOST_BLOCKS) -> Column:
+def keyed_records(html: Column, most: int | None = None) -> Column:
     """Records of the wide blocks that have a keyed name and some contact."""
     ok = lambda r: valid_facility(r["name"], *(r[c] for c in ("phone", "email", "address", "city", "zip_code")), generic=K.GENERIC_NAMES[:5])
     return F.filter(F.transform(wide_blocks(html, most), lambda b: block_record(b, keyed=True)), ok)

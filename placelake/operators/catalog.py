@@ -58,10 +58,11 @@ def type_counts(chains: DataFrame, column: str = "facility_types", sign: str = r
     return chains.select(F.explode(pieces(F.col(column), sign)).alias("facility_type")).groupBy("facility_type").agg(F.count("*").alias("n"))
 
 
-def sizes(chains: DataFrame, megabytes: float | None = None) -> DataFrame:
-    """One row with the catalog's size and whether it is beyond what is advised; ``megabytes`` is its file's size, if known. Nothing is refused."""
-    large = F.lit(megabytes).cast("double") > K.CATALOG_MEGABYTES
-    return chains.agg(F.count("*").alias("n")).select("n", (F.col("n") > K.CATALOG_ADVISED).alias("many"), (F.col("n") > K.CATALOG_MOST).alias("too_many"), F.coalesce(large, F.lit(False)).alias("large_file"))
+def sizes(chains: DataFrame, megabytes: Column | float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each catalog (all rows, or those of equal ``by``) with its size and whether it is beyond what is advised; ``megabytes`` is its file's size, if known, or an aggregate that tells it. Nothing is refused."""
+    size = megabytes if isinstance(megabytes, Column) else F.max(F.lit(megabytes).cast("double"))
+    large = F.col("_megabytes") > K.CATALOG_MEGABYTES
+    return chains.groupBy(*by).agg(F.count("*").alias("n"), size.alias("_megabytes")).select(*by, "n", (F.col("n") > K.CATALOG_ADVISED).alias("many"), (F.col("n") > K.CATALOG_MOST).alias("too_many"), F.coalesce(large, F.lit(False)).alias("large_file"))
 
 
 def results(chains: DataFrame, facilities: DataFrame, key: str) -> DataFrame:

@@ -25,20 +25,18 @@ def phone_confidence(phone: Column) -> Column:
 
 def address_confidence(address: Column) -> Column:
     a = F.coalesce(address, F.lit(""))
-    need = [r"^\d+", rf"\d+\s+([A-Za-z0-9\s]+(?:{K.STREET}))"]
-    may = [r"([A-Za-z\s]+),\s*[A-Z]{2}", r"\b[A-Z]{2}\b", r"\b\d{5}(?:-\d{4})?\b"]
     count = lambda ps: sum((F.when(a.rlike(f"(?i){p}"), 1).otherwise(0) for p in ps), F.lit(0))
-    return count(need) / 2 * 0.7 + count(may) / 3 * 0.3
+    return count(K.ADDRESS_NEEDS) / 2 * 0.7 + count(K.ADDRESS_MAY) / 3 * 0.3
 
 
 def address_valid(address: Column) -> Column:
     a = F.coalesce(address, F.lit(""))
-    return a.rlike(r"^\d+") & a.rlike(rf"(?i)\d+\s+([A-Za-z0-9\s]+(?:{K.STREET}))")
+    return a.rlike(K.ADDRESS_NEEDS[0]) & a.rlike(f"(?i){K.ADDRESS_NEEDS[1]}")
 
 
 def email_confidence(email: Column) -> Column:
     e = F.coalesce(email, F.lit(""))
-    common = F.lower(F.regexp_extract(e, r"@(.*)$", 1)).isin("gmail.com", "yahoo.com", "hotmail.com", "outlook.com")
+    common = F.lower(F.regexp_extract(e, r"@(.*)$", 1)).isin(*K.MAIL_PROVIDERS)
     return F.when(e == "", 0.0).when(~e.rlike(EMAIL_OK), 0.1).when(common, 0.7).otherwise(0.9)
 
 

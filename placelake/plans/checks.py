@@ -143,10 +143,10 @@ def address_lines(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.address_lines(F.concat(F.lit(" "), "c_name", F.lit(" \n\n"), last)).alias("x")).select("c_custkey", "x.*")
 
 
-@query("SELECT count(*) AS n, count(*) > 1000 AS many, count(*) > 10000 AS too_many, coalesce(sum(length(o_orderpriority)), 0) / 1048576.0 > 50 AS large_file FROM orders")
+@query("SELECT o_orderstatus, count(*) AS n, count(*) > 1000 AS many, count(*) > 10000 AS too_many, sum(o_totalprice) / 1048576 > 50 AS large_file FROM orders GROUP BY 1")
 def catalog_sizes(spark, d):
-    orders = table(spark, d, "orders")
-    return C.sizes(orders, orders.agg(F.coalesce(F.sum(F.length("o_orderpriority")), F.lit(0)) / 1048576).first()[0])
+    """Orders by status as catalogs, their prices as the bytes of their files."""
+    return C.sizes(table(spark, d, "orders"), F.sum("o_totalprice") / 1048576, ("o_orderstatus",))
 
 
 @query("""WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), x AS (SELECT o_custkey, coalesce(n, 0) AS n FROM orders LEFT JOIN f ON l_orderkey = o_orderkey)

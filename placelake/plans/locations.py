@@ -27,7 +27,7 @@ LINKS = f"""links AS (SELECT page_id, base, i - 1 AS pos, hrefs[i] AS href, CASE
   FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, url AS base, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS hrefs FROM pages)))"""
 
 
-def _score_sql(url: str, base: str, weights: dict[str, int], good: str = K.URL_GOOD, bad: str = K.URL_BAD) -> str:
+def _score_sql(url: str, base: str, weights: dict[str, int], good: str = "|".join(K.URL_GOOD), bad: str = "|".join(K.URL_BAD)) -> str:
     p, q = f"lower({_PART(url, 3)})", f"lower({_PART(url, 4)})"
     words = "".join(f" + CASE WHEN contains(lower({url}), '{w}') THEN {v} ELSE 0 END" for w, v in weights.items())
     return f"""(CASE WHEN {_SEG(url)} - {_SEG(base)} > 3 THEN -100 ELSE -2 * ({_SEG(url)} - {_SEG(base)})

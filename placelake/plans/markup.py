@@ -42,9 +42,13 @@ def facility_assembly(spark, d):
     return records.select(*(F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in records.dtypes))
 
 
-@query("SELECT page_id, url AS page_url FROM pages WHERE url IS NOT NULL")
+@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS plain, regexp_extract(url, '^[^:]*://[^/?#]*', 0) AS site FROM pages WHERE url IS NOT NULL)
+  SELECT DISTINCT page_id, unnest([url, plain || '?page=' || page_id, site || '/list/' || (page_id % 7), CASE WHEN plain = site THEN site || '/more' ELSE regexp_replace(plain, '[^/]*$', '') || 'more' END]) AS page_url FROM p""")
 def pagination(spark, d):
-    pages = table(spark, d, "pages")
+    """Pages with links to further ones: two numbered, one next; an unnumbered link among them leads to none."""
+    k = F.col("page_id")
+    links = F.concat(F.lit('<ul class="pagination"><li><a href="?page='), k, F.lit('">2</a><li><a href="/list/'), k % 7, F.lit('">3</a><li><a href="/about">Help</a></ul><a class="next-page" href="more">Next</a>'))
+    pages = table(spark, d, "pages").withColumn("html", F.concat("html", links))
     return P.page_links(P.page_facts(pages).join(pages.select("page_id", "url"), "page_id"))
 
 
@@ -82,7 +86,7 @@ def block_records(spark, d):
 
 @query()
 def keyed_block_records(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.explode(X.keyed_records(F.col("html"), most=None)).alias("r"))
+    rows = table(spark, d, "pages").select("page_id", F.explode(X.keyed_records(F.col("html"))).alias("r"))
     return rows.select("page_id", "r.name", "r.phone", "r.email", "r.address", "r.zip_code")
 
 
@@ -158,9 +162,14 @@ def address_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", T.parse_address(F.col("text")).alias("a")).select("doc_id", "a.*")
 
 
-@query("SELECT event_id, 'Event ' || event_id AS name, event_type AS city FROM events")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 3 THEN trim(event_type) ELSE 'Event ' || event_id END AS name, event_type AS city, CASE WHEN event_id % 2 = 0 THEN '(555) 201-' || lpad((event_id % 10000)::VARCHAR, 4, '0') ELSE '' END AS phone
+  FROM events WHERE event_id % 5 < 4 AND (event_id % 5 <> 2 OR event_id % 3 > 0)""")
 def model_replies(spark, d):
-    """Records out of replies that hold more than JSON."""
-    reply = F.concat(F.lit('Sure: {"facilities": [{"name": "Event '), "event_id", F.lit('", "city": "'), "event_type", F.lit('"}]} Done.'))
+    """Records out of replies that are JSON in fences, in prose, or cut off; without a name, or with no place, a record doesn't count."""
+    k = F.col("event_id")
+    phone = F.when(k % 2 == 0, F.concat(F.lit("555.201."), F.lpad((k % 10000).cast("string"), 4, "0"))).otherwise("")
+    name = F.when(k % 5 == 3, F.concat(F.lit("  "), "event_type", F.lit(" "))).when((k % 5 == 2) & (k % 3 == 0), "").otherwise(F.concat(F.lit("Event "), k))
+    body = F.concat(F.lit('{"facilities": [{"name": "'), name, F.lit('", "city": "'), "event_type", F.lit('", "phone": "'), phone, F.lit('"}, {"name": "No Place"}]}'))
+    reply = F.when(k % 5 == 0, F.concat(F.lit("Sure: "), body, F.lit(" Done."))).when(k % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 5 == 4, F.substring(body, 1, 40)).otherwise(body)
     rows = table(spark, d, "events").select("event_id", F.explode(X.reply_records(reply)).alias("r"))
-    return rows.select("event_id", "r.name", "r.city")
+    return rows.select("event_id", "r.name", "r.city", "r.phone")
