@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelake import constants as K
+from placelake.operators.numbering import MOBILE
+
+MOBILE_SHARE = 0.8
+"""What a valid or possible number's confidence comes to if it is a mobile's."""
 
 EMAIL_OK = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
 URL_OK = r"^https?://[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(:[0-9]+)?([/?#].*)?$"
@@ -46,17 +50,21 @@ def url_confidence(url: Column) -> Column:
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Field results, flags, overall confidence and verdict of each record; only fields that aren't blank are judged."""
+    """Field results, flags, overall confidence and verdict of each record; only fields that aren't blank are judged.
+
+    Where ``df`` has a number_type (``numbering.with_plan``), mobile numbers are flagged and count less.
+    """
+    mobile = F.coalesce(F.col("number_type") == MOBILE, F.lit(False)) if "number_type" in df.columns else F.lit(False)
     get = lambda c: F.coalesce(F.col(c), F.lit(""))
     address = F.array_join(F.filter(F.array(*(get(c) for c in ("address", "city", "state", "zip_code"))), lambda x: x != ""), ", ")
     cases = [
-        ("phone", get("phone"), phone_confidence(get("phone")) >= 0.95, phone_confidence(get("phone")), "invalid_phone_format"),
+        ("phone", get("phone"), phone_confidence(get("phone")) >= 0.95, phone_confidence(get("phone")) * F.when(mobile, MOBILE_SHARE).otherwise(1.0), "invalid_phone_format"),
         ("address", address, address_valid(address), address_confidence(address), "invalid_address"),
         ("website", get("website"), url_confidence(get("website")) >= 0.95, url_confidence(get("website")), "invalid_website"),
         ("email", get("email"), email_confidence(get("email")) >= 0.7, email_confidence(get("email")), "invalid_email"),
     ]
     fields = F.filter(F.array(*(F.when(v != "", _result(n, v, ok, c)) for n, v, ok, c, _ in cases)), lambda x: x.isNotNull())
-    flags = F.filter(F.array(*(F.when((v != "") & ~ok, F.lit(flag)) for _, v, ok, _, flag in cases), F.when(email_confidence(get("email")) == 0.7, "generic_email_provider")), lambda x: x.isNotNull())
+    flags = F.filter(F.array(*(F.when((v != "") & ~ok, F.lit(flag)).when((v != "") & (mobile if n == "phone" else F.lit(False)), "mobile_phone_number") for n, v, ok, _, flag in cases), F.when(email_confidence(get("email")) == 0.7, "generic_email_provider")), lambda x: x.isNotNull())
     df = df.withColumn("field_validations", fields).withColumn("flags", flags)
     positive = F.filter("field_validations", lambda x: x["confidence"] > 0)
     mean = F.when(F.size(positive) > 0, F.aggregate(positive, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.size(positive)).otherwise(0.0)

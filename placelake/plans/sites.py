@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from placelake.operators import batches as B
 from placelake.operators import discover as S
 from placelake.operators import links as L
+from placelake.operators import numbering as N
+from placelake.operators import validate as V
 from placelake.operators.rounds import shared_folder
+from placelake.plans.locations import FACILITIES, facilities
 from placelake.plans.registry import query, table
 from placelake.sources import responses as R
 from placelake.sources import sitemaps as M
@@ -124,3 +127,23 @@ def batch_results(spark, d):
     folder = f"{shared_folder(spark)}/placelake-run-{uuid.uuid4().hex}"
     B.run(chains, lambda batch: batch.join(orders, F.col("o_custkey") == F.col("c_custkey")).select("corporation_name", "o_orderkey"), folder, 5000, order=("c_custkey",))
     return B.results(spark, folder).select("corporation_name", "url", "priority", "facilities_count", "success", "batch_number")
+
+
+_DIGITS = "'4' || lpad((c_custkey * 66666667 % 1000000000)::VARCHAR, 9, '0')"
+
+
+@query(f"""WITH {FACILITIES}, p AS (SELECT '1' || x AS prefix, max(k) AS k FROM (SELECT substr({_DIGITS}, 1, 3 + c_custkey::INT % 4) AS x, c_custkey AS k FROM customer) GROUP BY 1),
+  n AS (SELECT c_custkey AS ord, '1' || {_DIGITS} AS number FROM customer), l AS (SELECT ord, max_by(k, length(prefix)) AS k FROM n JOIN p ON starts_with(number, prefix) GROUP BY 1),
+  v AS (SELECT f.ord, CASE k % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'fixed line' WHEN 2 THEN 'toll free' END AS number_type, k % 5 AS place, CASE WHEN regexp_matches(number, '^1[2-9](?:[02-9]\\d|1[02-9])[2-9]\\d{{6}}$') THEN 0.95 ELSE 0.7 END AS c FROM f JOIN n USING (ord) LEFT JOIN l USING (ord))
+  SELECT ord, number_type, 'place ' || place AS location, coalesce(number_type = 'mobile', false) AND c = 0.95 AS mobile, round(c * CASE WHEN number_type = 'mobile' THEN 0.8 ELSE 1 END, 6)::DOUBLE AS confidence FROM v""")
+def phone_lines(spark, d):
+    """What kind of line each customer's number is, by a plan made of the first digits of all of them, and what the report makes of it."""
+    digits = F.concat(F.lit("4"), F.lpad((F.col("c_custkey") * 66666667 % 1000000000).cast("string"), 9, "0"))
+    customers = table(spark, d, "customer").select("c_custkey", digits.alias("phone"))
+    k = F.max("c_custkey")
+    plans = customers.groupBy(F.concat(F.lit("1"), F.expr("substring(phone, 1, cast(3 + c_custkey % 4 as int))")).alias("prefix")).agg(
+        F.when(k % 3 == 0, "mobile").when(k % 3 == 1, "fixed line").otherwise("toll free").alias("number_type"), F.concat(F.lit("place "), k % 5).alias("location"), F.lit("x").alias("carrier"))
+    own = facilities(spark, d).drop("phone").join(customers.withColumnRenamed("c_custkey", "ord"), "ord")
+    report = V.report(N.with_plan(own, plans))
+    found = F.filter("field_validations", lambda f: f["field_name"] == "phone")[0]
+    return report.select("ord", "number_type", "location", F.array_contains("flags", "mobile_phone_number").alias("mobile"), F.round(found["confidence"], 6).alias("confidence"))
