@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placelake.operators import batches as B
 from placelake.operators import discover as S
+from placelake.operators import induce as H
 from placelake.operators import links as L
 from placelake.operators import numbering as N
 from placelake.operators import validate as V
@@ -147,3 +148,21 @@ def phone_lines(spark, d):
     report = V.report(N.with_plan(own, plans))
     found = F.filter("field_validations", lambda f: f["field_name"] == "phone")[0]
     return report.select("ord", "number_type", "location", F.array_contains("flags", "mobile_phone_number").alias("mobile"), F.round(found["confidence"], 6).alias("confidence"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, c_custkey // 40 AS page_id, c_custkey // 40 % 3 AS form FROM customer), n AS (SELECT page_id, count(*) AS n FROM c GROUP BY 1)
+  SELECT page_id, CASE WHEN form = 2 THEN 'none' ELSE 'generated_schema' END AS method, CASE WHEN form < 2 THEN c_name || ' Home' END AS name, CASE WHEN form < 2 THEN c_custkey || ' Oak Street' END AS address, CASE WHEN form < 2 THEN 'Austin' END AS city,
+    CASE WHEN form < 2 THEN 'TX' END AS state, CASE WHEN form < 2 THEN lpad((c_custkey % 90000)::VARCHAR, 5, '7') END AS zip_code FROM c WHERE form < 2 OR c_custkey % 40 = 0""")
+def hybrid_cascade(spark, d):
+    """Records of pages that list forty customers each, by schemas induced from the pages: one site has cards, one a table, and one only names."""
+    k = F.col("c_custkey")
+    name, street, place = F.concat("c_name", F.lit(" Home")), F.concat(k, F.lit(" Oak Street")), F.concat(F.lit("Austin, TX "), F.lpad((k % 90000).cast("string"), 5, "7"))
+    tags = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    form = F.floor(k / 40) % 3
+    row = F.when(form == 0, tags('<article class="n c"><h3>', name, '</h3><p class="s">', street, '</p><p class="z">', place, "</p></article>"))
+    row = row.when(form == 1, tags("<tr><td><b>", name, "</b></td><td>", street, "</td><td class=z>", place, "</td></tr>")).otherwise(tags("<p>", name, "</p>"))
+    lists = table(spark, d, "customer").groupBy(F.floor(k / 40).alias("page_id"), form.alias("form")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    url = F.concat(F.lit("https://s"), "form", F.lit(".org/"), "page_id")
+    pages = lists.select("page_id", url.alias("url"), F.concat(F.lit("<html><table id=x>"), "rows", F.lit("</table></html>")).alias("html"))
+    found = H.hybrid(pages).select("page_id", "method", F.explode_outer("records").alias("r"))
+    return found.select("page_id", "method", *(f"r.{c}" for c in ("name", "address", "city", "state", "zip_code")))
