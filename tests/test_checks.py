@@ -1,5 +1,6 @@
 """Services' answers, repeated and broken records, URLs with dots and chunks; nulls, blanks and empty tables included."""
 
+import re
 from urllib.parse import urljoin
 
 import pytest
@@ -88,3 +89,19 @@ def test_keyword_score(spark):
     df = spark.createDataFrame(rows, "t string")
     assert [r[0] for r in df.select(T.keyword_score(F.col("t"), "the")).collect()] == [8, 0, 0, 0, 0]
     assert [r[0] for r in df.select(T.keyword_score(F.col("t"), "a+b")).collect()] == [0, 6, 0, 0, 0]
+
+
+def test_best_type_in_one_pass(spark):
+    """As the sum of its keywords' scores; the first of equal types, '' without any."""
+    lexicon = {"a": ("the", "the end", "+x"), "b": ("end", "é"), "c": ()}
+    texts = ["The end. then +x y+x", "end end", "é bé éé", "nothing", "", None, "lend the-end", "the " * 5 + "end " * 15]
+
+    def score(low, w):
+        return low.count(w) + 2 * len(re.findall(rf"\b{re.escape(w)}\b", low))
+
+    def want(t):
+        scores = [sum(score((t or "").lower(), w) for w in ws) for ws in lexicon.values()]
+        return list(lexicon)[scores.index(max(scores))] if max(scores) else ""
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r[0] for r in df.select(T.best_type(F.col("t"), lexicon)).collect()] == [want(t) for t in texts]
