@@ -23,8 +23,8 @@ def test_stages(spark, tmp_path):
 
 
 def test_queries(spark):
-    assert len(queries.QUERIES) == 10
-    for name in ("op2_arc_to_warc", "op6_sharding", "op8_html_extraction", "op9_chat_formatting"):
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
+    for name in ("op2_arc_to_warc", "op6_sharding", "op8_html_extraction", "op9_chat_formatting", "op11_personal_data", "op13_centroid_clustering"):
         assert queries.QUERIES[name](spark, SF).count() > 0
 
 
