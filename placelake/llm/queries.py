@@ -34,10 +34,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    version = F.when(F.coalesce(F.col("page_id"), F.lit(0)) % 2 == 0, 1).otherwise(2)
-    arc = warc.arc_file(F.col("url"), F.coalesce("html", F.lit("")).cast("binary"), F.lit("20010203040506"), version)
-    # written once: sizes, groups and records are read from it, and no archive is parsed again
-    records = write_table(warc.parse_arcs(pages.select(F.col("page_id").alias("key"), arc.alias("arc"))), "arc")
+    arcs = warc.arc_archives(pages.select(F.col("page_id").alias("key"), "url", F.lit("20010203040506").alias("date"), F.col("html").alias("payload")))
+    # written once: groups and records are read from it, and no archive is parsed again
+    records = write_table(warc.parse_arcs(arcs), "arc")
     path = new_folder(spark, "warc")
     warc.write_warc(warc.resolve_revisits(records), path)
     out = warc.read_warc(spark, path)

@@ -390,21 +390,116 @@ def test_quality(spark, docs):
     assert quality.classify(empty(spark), model).count() == 0
 
 
-def test_warc(spark, tmp_path):
-    pages = [(1, "http://a.com/x y", b"<p>WARC/1.1\r\n\r\nHTTP/1.1 200"), (2, "http://b.com", b"same"), (3, None, b"same"), (4, "http://c.com", b""), (5, "http://d.com", b"\n\n"), (6, "http://e.com", b""), (None, "http://f.com", "é\x00".encode())]
-    df = spark.createDataFrame(pages, "key long, url string, html binary")
-    for version in (1, 2):
-        arc = df.select("key", warc.arc_file(F.col("url"), F.col("html"), F.lit("20010203040506"), F.lit(version)).alias("arc"))
-        path = str(tmp_path / str(version))
-        warc.write_warc(warc.resolve_revisits(warc.parse_arcs(arc)), path)
-        got = {r.key: r for r in warc.read_warc(spark, path).collect()}
-        assert len(got) == 7 and all(r.date == "2001-02-03T04:05:06Z" for r in got.values())
-        for key, _, body in pages:
-            assert (got[key].payload_bytes, got[key].payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
-        assert {k: r.refers_to for k, r in got.items() if r.record_type == "revisit"} == {3: 2, 6: 4}
-        assert bytes(got[1].payload) == pages[0][2]
-    with pytest.raises(ValueError):
-        list(warc.arc_records(b"filedesc://x 0.0.0.0 1996 text/plain 4\n1 0\n\nhttp://a 0.0.0.0 1996 text/html 99\nshort"))
+PAGES = [
+    (1, "http://a.com/x y", b"<p>WARC/1.1\r\n\r\nHTTP/1.1 200"), (2, "http://b.com", b"same"), (3, None, b"same"), (4, "http://c.com", b""), (5, "http://d.com", b"\n\n"),
+    (6, "http://e.com", None), (None, "http://f.com", "é\x00".encode()), (None, "http://g.com", b"\xff\x1f\x8b\n"), (2, "http://b.com", b"same"), (7, "http://h.com/" + "u" * 90000, b"long " * 400000), (-9, "é\n", b"long " * 400000),
+]
+PAGES_SCHEMA = "key long, url string, payload binary, archive int, digest int, first int, error int, value int"
+
+
+def pages(spark, rows=None, parts=3):
+    rows = PAGES if rows is None else rows
+    return spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], PAGES_SCHEMA).repartition(parts).withColumn("date", F.lit("20010203040506"))
+
+
+def check_warc(spark, path, rows=PAGES):
+    got = warc.read_warc(spark, path).collect()
+    firsts = {}
+    for key, _, body in rows:
+        firsts[body or b""] = min(firsts.get(body or b"", (True, 0)), (key is None, key or 0))
+    want = []
+    for key, _, body in rows:
+        none, first = firsts[body or b""]
+        revisit = not none and key != first
+        want.append((key, "revisit" if revisit else "response", first if revisit else None, len(body or b""), base64.b32encode(hashlib.sha1(body or b"").digest()).decode(), None if revisit else body or b""))
+    assert sorted(map(repr, want)) == sorted(repr((r.key, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload and bytes(r.payload) if r.payload else r.payload if r.payload is None else b"")) for r in got)
+    assert all(r.date == "2001-02-03T04:05:06Z" and r.error is None for r in got) and len({r.record_id for r in got}) == len(got)
+    return got
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_warc(spark, tmp_path, version):
+    """Archives of many records through both ways, with nulls, repeated rows, copies and columns of clashing names."""
+    arcs = warc.arc_archives(pages(spark), versions=(version,))
+    records = warc.parse_arcs(arcs)
+    assert arcs.count() < len(PAGES) and records.agg(F.max("position")).first()[0] > 0
+    warc.write_warc(warc.resolve_revisits(records), str(tmp_path / "w"))
+    check_warc(spark, str(tmp_path / "w"))
+    warc.write_arcs(pages(spark), str(tmp_path / "a"), archive_bytes=100, versions=(version,))  # an archive is closed once it holds 100 bytes
+    warc.write_warc(warc.resolve_revisits(warc.read_arcs(spark, str(tmp_path / "a"))), str(tmp_path / "v"), file_bytes=3000)
+    check_warc(spark, str(tmp_path / "v"))
+
+
+def test_warc_files(spark, tmp_path):
+    """Files are gzipped by record, open with a warcinfo that their records name, and revisits name a record that is there."""
+    import gzip
+
+    warc.write_warc(warc.resolve_revisits(warc.parse_arcs(warc.arc_archives(pages(spark)))), str(tmp_path / "w"))
+    files = [f for f in (tmp_path / "w").iterdir() if not f.name.startswith((".", "_"))]
+    assert files and all(f.name.endswith(".warc.gz") for f in files)
+    ids, refers = set(), set()
+    for f in files:
+        data, members = f.read_bytes(), []
+        while data:
+            z = zlib.decompressobj(31)
+            members.append(z.decompress(data) + z.flush())
+            assert z.eof
+            data = z.unused_data
+        assert b"".join(members) == gzip.decompress(f.read_bytes())
+        assert not members.pop() and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+        heads = [next(warc.warc_records(m))[0] for m in members]
+        assert [h["warc-type"] == "warcinfo" for h in heads] == [True] + [False] * (len(heads) - 1)
+        assert {h["warc-warcinfo-id"] for h in heads[1:]} == {heads[0]["warc-record-id"]}
+        ids |= {h["warc-record-id"] for h in heads}
+        refers |= {h["warc-refers-to"] for h in heads if "warc-refers-to" in h}
+    assert refers and refers <= ids
+
+
+def test_warc_empty(spark, tmp_path):
+    warc.write_warc(warc.resolve_revisits(warc.parse_arcs(warc.arc_archives(pages(spark, [])))), str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+    none = spark.createDataFrame([("a", None), ("b", b""), (None, b"\n\r\n")], "archive string, arc binary")
+    assert warc.parse_arcs(none).count() == 0
+
+
+def test_warc_damaged_archives(spark, tmp_path):
+    """What can't be read is a row with an error after what stands before it, and other archives are read whole."""
+    block = b"filedesc://x 0.0.0.0 1996 text/plain 4\n1 0\n\n"
+    one = b"http://a b/ 0.0.0.0 1996 text/html 4\nabcd\n"
+    members = b"".join(zlib.compress(x, wbits=31) for x in (block, one, one))
+    arcs = {
+        "good": block + one * 2, "crlf": block.replace(b"\n\n", b"\r\n\n") + one, "members": members, "whole": zlib.compress(block + one, wbits=31), "cut": block + one + one[:-3], "cut member": members[:-20], "rubbish": members + b"rubbish",
+        "negative": block + b"http://a 0.0.0.0 1996 text/html -4\nabcd", "fields": block + one + b"http://a 4\nabcd", "no end": block + b"http://a", "no version": one, "version 3": block.replace(b"1 0", b"3 0"), "empty block": b"filedesc://x 0 0 t/p 0\n\n", "bytes": block + one + b"\xff\xfe",
+    }
+    got = {}
+    for r in warc.parse_arcs(spark.createDataFrame(list(arcs.items()), "archive string, arc binary").repartition(2)).collect():
+        n, bad = got.get(r.archive, (0, False))
+        got[r.archive] = (n + (r.error is None), bad or r.error is not None)
+        assert r.error is not None or (bytes(r.payload), r.url, r.date) == (b"abcd", "http://a b/", "1996-01-01T00:00:00Z")
+    assert got == {
+        "good": (2, False), "crlf": (1, False), "members": (2, False), "whole": (1, False), "cut": (1, True), "cut member": (1, True), "rubbish": (2, True), "negative": (0, True), "fields": (1, True), "no end": (0, True),
+        "no version": (0, True), "version 3": (0, True), "empty block": (0, True), "bytes": (1, True),
+    }
+
+    warc.write_warc(warc.resolve_revisits(warc.parse_arcs(spark.createDataFrame(list(arcs.items()), "archive string, arc binary"))), str(tmp_path / "w"))
+    whole = warc.read_warc(spark, str(tmp_path / "w"))
+    assert whole.count() == sum(n for n, _ in got.values()) and whole.where("record_type <> 'revisit'").count() == 1
+    plain = [(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" % (i, d.encode())) for i, d in enumerate([base64.b32encode(hashlib.sha1(b"ab").digest()).decode(), "WRONG"])]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.warc").write_bytes(plain[0] + plain[1] + plain[0])
+    (tmp_path / "d" / "b.warc.gz").write_bytes(zlib.compress(plain[0], wbits=31) + zlib.compress(plain[0], wbits=31)[:-20])
+    (tmp_path / "d" / "c.warc").write_bytes(b"no archive at all\r\n\r\n")
+    read = warc.read_warc(spark, str(tmp_path / "d")).collect()
+    assert sum(r.error is None and r.payload_bytes == 2 for r in read) == 3 and sum(r.error is not None for r in read) == 3
+
+
+def test_pieces():
+    """Decompression in small pieces gives what zlib gives at once."""
+    rng = random.Random(5)
+    for n in (0, 1, 65535, 65536, 65537, 300000, 2000000):
+        data = bytes(rng.choice(b"ab") for _ in range(n)) if n < 400000 else b"\0" * n
+        for stored in (data, zlib.compress(data, wbits=31), zlib.compress(data[: n // 3], wbits=31) + zlib.compress(b"", wbits=31) + zlib.compress(data[n // 3 :], 0, wbits=31)):
+            assert b"".join(warc._pieces(stored)) == data and all(len(p) <= warc.PIECE for p in warc._pieces(stored))
 
 
 def test_chat(spark):
