@@ -120,3 +120,18 @@ SITEMAP_SPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 ADDRESS_NEEDS = (r"^\d+", rf"\d+\s+([A-Za-z0-9\s]+(?:{STREET}))")
 ADDRESS_MAY = (r"([A-Za-z\s]+),\s*[A-Z]{2}", r"\b[A-Z]{2}\b", r"\b\d{5}(?:-\d{4})?\b")
 MAIL_PROVIDERS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com")
+# Selectors, words and the address pattern of the plain path over a page, and what a link to places holds.
+PLAIN_NAMES = ("h1", ".facility-name", ".location-name", ".community-name", ".property-name", '[class*="name"]', "title")
+PLAIN_ADDRESSES = (".address", ".location", '[class*="address"]', '[itemprop="address"]', ".contact-info")
+PLAIN_SERVICES = (".services", ".amenities", ".care-services", '[class*="service"]', '[class*="amenity"]')
+PLAIN_PAGERS = ('a[href*="page"]', ".pagination a", ".pager a", 'a:contains("Next")', 'a:contains("More")', 'a:contains("Load")')
+WIDE_STREET = rf"(\d+\s+[A-Za-z0-9\s,.-]+(?:{STREET}))"
+PLACE_TOKENS = ("/locations", "/location", "find-a-location", "facility", "affiliated-locations")
+# Names of the files that a run leaves.
+FILE_NAMES = {
+    "individual_facility": "{corporation_name}_{timestamp}_facilities.{format}",
+    "consolidated": "all_facilities_{timestamp}.{format}",
+    "batch_summary": "batch_processing_summary_{batch_id}.{format}",
+    "corporation_summary": "corporation_summary_{timestamp}.{format}",
+    "quality_report": "data_quality_report_{timestamp}.{format}",
+}

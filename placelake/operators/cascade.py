@@ -80,8 +80,8 @@ def css_items(html: Column, schema_name: Column) -> Column:
     return run(html, schema_name)
 
 
-def normalise(item: Column, have: tuple[str, ...]) -> Column:
-    """A record of the fields of ``item``, whose names are ``have``: aliases, a joint city line, care types before services."""
+def normalise(item: Column, have: tuple[str, ...], default_type: str = "") -> Column:
+    """A record of the fields of ``item``, whose names are ``have``: aliases, a joint city line, care types before services. An item whose type is null has the ``default_type``; a blank type stays blank."""
     alias = lambda name: T.non_blank(*(item[a] for a in K.ALIASES[name] if a in have)) if set(K.ALIASES[name]) & set(have) else F.lit("")
     joint = T.city_state_zip(item["city_state_zip"]) if "city_state_zip" in have else None
     part = lambda name: F.coalesce(joint[name], alias(name)) if joint is not None else alias(name)
@@ -89,6 +89,8 @@ def normalise(item: Column, have: tuple[str, ...]) -> Column:
     filled = [F.when(F.size(x) > 0, x) for x in lists]
     services = F.filter(F.transform(F.coalesce(*filled, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     own = {c: part(c) for c in ("city", "state", "zip_code")} | {"services": services}
+    kinds = [item[a] for a in K.ALIASES["facility_type"] if a in have]
+    own |= {"facility_type": F.when(F.coalesce(*kinds, F.lit(None).cast("string")).isNull(), default_type).otherwise(alias("facility_type"))} if default_type else {}
     return F.struct(*((own[c] if c in own else alias(c)).alias(c) for c in RECORD))
 
 

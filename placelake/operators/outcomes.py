@@ -25,12 +25,16 @@ def both(valid: Column, confidence: Column, other_valid: Column, other: Column)
 
 
 def with_geocodes(records: DataFrame, places: DataFrame, address: str = "address") -> DataFrame:
-    """``records`` with ``address_check``, from the format and ``places(address, status, formatted)``, one row per address.
+    """``records`` with ``address_check``, from the format and ``places(address, status, formatted)``.
+
+    Of several answers for an address that of the best status counts, then the least formatted one.
 
     status is found, missing, service_error or anything else for another failure; no row is a service error. A blank
     address isn't valid, with confidence 0.
     """
-    side = places.select(F.col("address").alias("__address"), F.coalesce("status", F.lit("error")).alias("__status"), F.col("formatted").alias("corrected_address"))
+    known = F.coalesce("status", F.lit("error"))
+    best = F.min_by(F.struct(known.alias("status"), "formatted"), F.struct(-_by(known, K.GEOCODE_SCORES, 0.0), known, F.col("formatted").isNull(), "formatted"))
+    side = places.groupBy(F.col("address").alias("__address")).agg(best.alias("__best")).select("__address", F.col("__best.status").alias("__status"), F.col("__best.formatted").alias("corrected_address"))
     out = records.join(side, F.col(address) == F.col("__address"), "left")
     status = F.coalesce("__status", F.lit("service_error"))
     a = F.coalesce(F.col(address), F.lit(""))
@@ -40,13 +44,18 @@ def with_geocodes(records: DataFrame, places: DataFrame, address: str = "address
 
 
 def with_fetches(records: DataFrame, fetches: DataFrame, url: str = "website") -> DataFrame:
-    """``records`` with ``website_check``, from the format and ``fetches(url, status_code, error, final_url, html)``, one row per URL.
+    """``records`` with ``website_check``, from the format and ``fetches(url, status_code, error, final_url, html)``.
+
+    Of several answers for a URL one without error counts before others, then the least status code, final URL and title; nulls come last.
 
     error is null, timeout or another failure; no row is a failure. ``title`` is that of the page that was found. A blank
     URL isn't valid, with confidence 0.
     """
     title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<title>(.*?)</title>", 1))
-    side = fetches.select(F.col("url").alias("__url"), "status_code", "error", F.col("final_url").alias("corrected_website"), F.when(title != "", title).alias("title"), F.lit(True).alias("__known"))
+    side = fetches.select(F.col("url").alias("__url"), "status_code", "error", F.col("final_url").alias("corrected_website"), F.when(title != "", title).alias("title"))
+    rest = ("status_code", "corrected_website", "title", "error")
+    order = F.struct(F.col("error").isNotNull().alias("bad"), *(x for c in rest for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
+    side = side.groupBy("__url").agg(F.min_by(F.struct(*rest), order).alias("__best")).select("__url", "__best.*", F.lit(True).alias("__known"))
     out = records.join(side, F.col(url) == F.col("__url"), "left")
     good = F.coalesce(F.col("error").isNull() & (F.col("status_code") == 200), F.lit(False))
     score = F.when(F.col("__known").isNull(), K.FETCH_FAILED).when(F.col("error") == "timeout", K.FETCH_TIMEOUT).when(F.col("error").isNotNull() | F.col("status_code").isNull(), K.FETCH_FAILED)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placelake import constants as K
 from placelake.functions.text import first_integer
+from placelake.operators.catalog import batches
 
 HOURS_PER_CHAIN = 0.5
 
@@ -22,6 +23,11 @@ def plan(chains: DataFrame, batch_size: int = 10, by: str | None = None) -> Data
     )
 
 
+def plan_chains(chains: DataFrame, *order: str, batch_size: int = 10) -> DataFrame:
+    """The plan's list: (batch, name, url, priority) of each organisation, in batches by ``order``. It stays a table, as a list of all would pass through one task."""
+    return batches(chains, batch_size, *order).select("batch", F.col("corporation_name").alias("name"), F.col("primary_url").alias("url"), "priority")
+
+
 def runs(results: DataFrame, *by: str) -> DataFrame:
     """Of ``results(success, facilities, seconds)``: counts, facilities of successful runs, and guarded averages and rates."""
     n, good = F.count("*"), F.count_if("success")

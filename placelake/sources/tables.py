@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from placelake import constants as K
+from placelake.operators.rounds import numbered
+
 CATALOG = "corporation_name primary_url secondary_urls facility_types priority notes estimated_facilities last_updated".split()
 
 
@@ -20,9 +23,9 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
 
 
 def read_urls(spark: SparkSession, path: str, prefix: bool = True) -> DataFrame:
-    """A URL a line; blank lines and comments go, and a missing scheme is added."""
-    line = F.trim("value")
-    df = spark.read.text(path).select(line.alias("url")).where("url <> '' and not startswith(url, '#')")
+    """A URL a line; blank lines and comments go. With ``prefix`` a missing scheme is added and a comment may be indented; without, an indented ``#`` begins no comment."""
+    lines = spark.read.text(path).where(~F.startswith(F.trim("value") if prefix else F.col("value"), F.lit("#")))
+    df = lines.select(F.trim("value").alias("url")).where("url <> ''")
     return df.withColumn("url", F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat(F.lit("https://"), "url"))) if prefix else df
 
 
@@ -77,3 +80,23 @@ def consolidate(runs: list[DataFrame]) -> DataFrame:
 def write_summary(summary: DataFrame, path: str, mode: str = "error") -> None:
     """A summary (of validations, a batch, several sites, methods or downloads) as one JSON file; it has a row per group, so one task writes it."""
     summary.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def file_name(kind: str, form: str, **values: str) -> str:
+    """The name of a run's file of a ``kind`` in K.FILE_NAMES; signs in values that folders can't hold become ``_``."""
+    return K.FILE_NAMES[kind].format(format=form, **{k: "".join(c if c.isalnum() or c in "-." else "_" for c in v) for k, v in values.items()})
+
+
+def markdown(df: DataFrame, *order: str) -> DataFrame:
+    """(line, value): a summary as the lines of a Markdown table, two of head and one per row in ``order``. Nulls are blank; ``|`` is escaped and line breaks become blanks."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[\r\n]+", " "), r"\|", r"\\|")
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = numbered(df, *order, name="line").select((F.col("line") + 2).alias("line"), row(cell(c) for c in df.columns).alias("value"))
+    head = df.sparkSession.range(2).select(F.col("id").alias("line"), F.when(F.col("id") == 0, row(F.lit(c) for c in df.columns)).otherwise("|" + "---|" * len(df.columns)).alias("value"))
+    return head.unionByName(body)
+
+
+def write_comparison(summary: DataFrame, path: str, *order: str, mode: str = "error") -> None:
+    """A summary as one CSV file and one Markdown table, in the folders ``csv`` and ``markdown``; it has a row per group, so one task writes each."""
+    summary.orderBy(*order).coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/csv")
+    markdown(summary, *order).orderBy("line").coalesce(1).select("value").write.mode(mode).text(f"{path}/markdown")
