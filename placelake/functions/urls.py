@@ -33,12 +33,13 @@ def domain(url: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute, protocol-relative, root-relative, query or fragment reference against ``base``; others go beside its last segment. Paths of the last two kinds lose ``.`` and ``..``, those beside also empty segments."""
+    """An absolute, protocol-relative, root-relative, query or fragment reference against ``base``; others go beside its last segment. Null where that takes a ``base`` and there is none. Paths of the last two kinds lose ``.`` and ``..``, those beside also empty segments."""
     site = F.concat(part(base, 1), F.lit("://"), authority(base))
     plain = F.regexp_replace(base, r"[?#].*$", "")
     beside = F.concat(F.regexp_replace(path(base), r"[^/]*$", ""), F.when(path(base) == "", F.lit("/")).otherwise(F.lit("")), F.regexp_extract(href, r"^[^?#]*", 0))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(base.isNull(), None)
         .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
         .when(href.startswith("/"), normal(F.concat(site, href)))
         .when(href == "", base)

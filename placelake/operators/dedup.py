@@ -14,6 +14,10 @@ from placelake.operators.rounds import cut, numbered, running
 THRESHOLD = 0.85
 # The greatest likeness of records whose streets and names both differ: only above it equal streets or names are necessary.
 NEITHER_EQUAL = 0.82
+CROWD = 64
+"""Records of a phone and street, or phone and name, that are all compared with each other."""
+# Two fields may be alike at the least match of 0.7 (names) and 0.8 (streets), compared in blocks of two characters.
+_BLOCK = 2
 
 
 def signature(df: DataFrame) -> DataFrame:
@@ -60,21 +64,62 @@ def records_alike(a: tuple, b: tuple, threshold: float = THRESHOLD) -> bool:
     return round(s, 6) >= threshold or (a[0], a[2], a[4]) == (b[0], b[2], b[4])
 
 
-def links(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
+def _rarest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of ``rows(*by, most, key)`` the ``most`` + 1 rarest keys of each of ``by``, without those that occur once."""
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("count")), "key")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("count", "key"))).where("rank <= most + 1 AND count > 1")
+
+
+def _blocks(field: Column) -> Column:
+    """The pieces of _BLOCK characters of a text that isn't ''."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.length(field) - 1) / _BLOCK).cast("int")), lambda i: F.substring(field, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def _near_keys(sides: DataFrame) -> DataFrame:
+    """``sides(phone_key, block, r)`` with ``keys``, one of which alike records of a block share, and a row for each ``key``.
+
+    Beside the street or name of their block such records have the other one in common too, or the postal code and all
+    but at most three in ten characters of the other, a street two. See ``_keys`` for why the rarest blocks then meet.
+    """
+    street = F.col("block").startswith("s")
+    field = F.when(street, F.col("r.name_key")).otherwise(F.col("r.address"))
+    sides = sides.select("phone_key", "block", "r", field.alias("field"))
+    place, apart = ["phone_key", "block", "r"], F.when(street, 0.3).otherwise(0.2)
+    near = sides.where("r.zip_code <> ''").select(*place, F.floor((F.length("field") + 1) * apart + 1e-9).alias("most"), F.posexplode(_blocks(F.col("field"))).alias("i", "piece"))
+    near = near.select(*place, "most", F.xxhash64("phone_key", "block", "r.zip_code", "i", "piece").alias("key"))
+    keys = _rarest(near, place).select(*place, "key").unionByName(sides.select(*place, F.xxhash64("phone_key", "block", "field").alias("key")))
+    return keys.groupBy(*place).agg(F.collect_set("key").alias("keys")).withColumn("key", F.explode("keys"))
+
+
+def _pairs(sides: DataFrame, more: list[str]) -> DataFrame:
+    """(a, b, block, ...): records of a block, and of equal ``more``, in both orders."""
+    on = ["phone_key", "block", *more]
+    a, b = (sides.select(*on, F.col("r").alias(c), *([F.col("keys").alias(f"{c}_keys")] if more else [])) for c in "ab")
+    return a.join(b, on).drop("phone_key")
+
+
+def links(df: DataFrame, order: str, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """How many other records each one is alike to, and the first of them in the order of a column: order, n_links, first_link.
 
     ``threshold`` must be over NEITHER_EQUAL: then alike records share the phone and the street or the name, so that they are
-    blocked by both. Equal records are folded first; they are alike only if what they share reaches the threshold by itself.
+    blocked by both, and none of the three is blank. Up to ``crowd`` records of a block are compared with each other; of larger
+    blocks, those that share a key of ``_near_keys``. Equal records are folded first; they are alike only if what they share
+    reaches the threshold by itself.
     """
     if threshold <= NEITHER_EQUAL:
         raise ValueError(f"records with neither street nor name in common may be alike up to {NEITHER_EQUAL}")
     key = ["phone_key", "address", "name_key", "zip_code"]
     folded = signature(df).select(order, "phone_key", F.lower(F.coalesce("address", F.lit(""))).alias("address"), "name_key", F.substring(F.coalesce("zip_code", F.lit("")), 1, 5).alias("zip_code"))
     one = folded.groupBy(*key).agg(F.count("*").alias("copies"), F.min(order).alias("first"))
-    sides = one.where("phone_key <> ''").withColumn("block", F.explode(F.array(F.concat(F.lit("s"), "address"), F.concat(F.lit("n"), "name_key"))))
-    a, b = (sides.select("phone_key", "block", F.struct(*key, "copies", "first").alias(c)) for c in "ab")
-    both = a.join(b, ["phone_key", "block"]).where((F.col("a.first") != F.col("b.first")) & (F.col("block").startswith("s") | (F.col("a.address") != F.col("b.address"))))
-    alike = both.where(F.round(similarity("a", "b"), 6) >= threshold)
+    block = F.explode(F.array(F.concat(F.lit("s"), "address"), F.concat(F.lit("n"), "name_key")))
+    sides = one.where("phone_key <> '' AND address <> '' AND name_key <> ''").select("phone_key", block.alias("block"), F.struct(*key, "copies", "first").alias("r"))
+    sizes = sides.groupBy("phone_key", "block").agg(F.count("*").alias("size"))
+    sides = sides.join(sizes, ["phone_key", "block"])
+    few, many = sides.where(F.col("size") <= crowd), _near_keys(sides.where(F.col("size") > crowd))
+    pairs = _pairs(few, []).unionByName(_pairs(many, ["key"]).where(F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))).select("a", "b", "block"))
+    # a pair with street and name in common counts in the street's block alone
+    apart = (F.col("a.first") != F.col("b.first")) & (F.col("block").startswith("s") | (F.col("a.address") != F.col("b.address")))
+    alike = pairs.where(apart & (F.round(similarity("a", "b"), 6) >= threshold))
     found = alike.groupBy(F.col("a.first").alias("first")).agg(F.sum("b.copies").alias("others"), F.min("b.first").alias("other"))
     own = one.withColumn("a", F.struct(*key)).withColumn("own", F.round(similarity("a", "a"), 6) >= threshold)
     second = folded.join(one.where("copies > 1").select(*key, "first"), key).where(F.col(order) > F.col("first")).groupBy(*key).agg(F.min(order).alias("second"))
@@ -87,8 +132,6 @@ def links(df: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
 KEY = ("phone_key", "street", "name_key", "zip5", "address_key")
 SMALL = 5000
 """Records left undecided, over all phones, that are scanned one after the other in the end."""
-# Two fields may be alike at the least match of 0.7 (names) and 0.8 (streets), compared in blocks of two characters.
-_BLOCK = 2
 
 
 def _prepared(df: DataFrame, order: str) -> DataFrame:
@@ -121,12 +164,9 @@ def _keys(records: DataFrame) -> DataFrame:
     ))
     out = records.select("n", F.explode(whole).alias("key"))
     for equal, field, apart in (("street", "name_key", 0.3), ("name_key", "street", 0.2)):
-        blocks = F.expr(f"transform(sequence(0, cast((length({field}) - 1) div {_BLOCK} as int)), i -> substring({field}, i * {_BLOCK} + 1, {_BLOCK}))")
-        rows = records.where(both(equal, field, "zip5")).select("n", F.floor((F.length(field) + 1) * F.lit(apart) + 1e-9).alias("most"), equal, "phone_key", "zip5", F.posexplode(blocks).alias("i", "block"))
+        rows = records.where(both(equal, field, "zip5")).select("n", F.floor((F.length(field) + 1) * F.lit(apart) + 1e-9).alias("most"), equal, "phone_key", "zip5", F.posexplode(_blocks(F.col(field))).alias("i", "block"))
         rows = rows.select("n", "most", F.xxhash64(F.lit(field), "phone_key", equal, "zip5", "i", "block").alias("key"))
-        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("count")), "key")
-        rarest = rows.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("count", "key"))).where("rank <= most + 1 and count > 1")
-        out = out.unionByName(rarest.select("n", "key"))
+        out = out.unionByName(_rarest(rows, ["n"]).select("n", "key"))
     return out
 
 
