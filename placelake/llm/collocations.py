@@ -28,9 +28,14 @@ SCALE = 2_000_000
 TOP = 2000
 TEXT_BYTES = 1 << 21
 """Bytes of text in one sequence; a longer text is one alone."""
+PIECE_NAMES = 1 << 14
+"""Names in one row of a table of sequences, so that neither a file's pages nor a batch of its rows grow large; a row is cut between pieces of text only."""
+BLOCK_BYTES = 1 << 24
+"""Bytes of sequences that a reader of their files holds at once."""
 BROADCAST_PAIRS = 1 << 20
 """Up to so many frequent pairs (24 bytes each) are sent to all tasks; more are joined to the sequences."""
 
+_GAP = np.array([-1], np.int64)
 _BREAK, _WORD = np.zeros(256, bool), np.ones(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _WORD[[ord(c) for c in ".,;:!?\n\x0b\x0c\r \t"]] = False
@@ -44,8 +49,11 @@ def _sequence(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+_CODED = ["chunk", "codes", "code", "lang", "word", "n"]
+
+
 def _coded(text_bytes: int):
-    """A row per chunk of texts: its own dictionary of (lang, word, count), and the sequence of their places in it; -1 parts pieces."""
+    """For each chunk of texts a row with the sequence of its words' places in the chunk's own dictionary, where -1 parts pieces, and a row (code, lang, word, n) per word of that dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -66,9 +74,11 @@ def _coded(text_bytes: int):
                 size = len(words.dictionary)
                 key = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + words.indices.to_numpy(zero_copy_only=False)
                 key, codes, count = np.unique(key, return_inverse=True, return_counts=True)
-                entry = pa.StructArray.from_arrays([langs.dictionary.take(pa.array(key // size)), words.dictionary.cast(pa.string()).take(pa.array(key % size)), pa.array(count.astype(np.int64))], ["lang", "word", "n"])
                 sequence = _sequence(codes, starts).astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sequence], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(entry)], pa.int32()), entry)], ["chunk", "codes", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sequence], pa.binary()), *(pa.nulls(1, kind) for kind in (pa.int32(), pa.string(), pa.string(), pa.int64()))], _CODED)
+                chunk, places = pa.array(np.full(len(key), number, np.int64)), pa.array(np.arange(len(key), dtype=np.int32))
+                lang, word = langs.dictionary.take(pa.array(key // size)), words.dictionary.cast(pa.string()).take(pa.array(key % size))
+                yield pa.RecordBatch.from_arrays([chunk, pa.nulls(len(key), pa.binary()), places, lang, word, pa.array(count.astype(np.int64))], _CODED)
                 number += 1
 
     return run
@@ -82,19 +92,37 @@ def _squeezed(names: np.ndarray) -> np.ndarray:
     return names[keep]
 
 
-def _sequences(chunk: list, names: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([x.tobytes() for x in names], pa.binary())], ["chunk", "names"])
+def _rows(chunk: int, names: np.ndarray, piece: int) -> list[tuple[int, bytes]]:
+    """The rows of a sequence, cut at the first -1 after each ``piece`` names."""
+    gaps = np.flatnonzero(names < 0)
+    at = np.searchsorted(gaps, np.arange(piece, len(names), piece))
+    return [(chunk, x.tobytes()) for x in np.split(names, np.unique(gaps[at[at < len(gaps)]])) if len(x)]
 
 
-def _named_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            codes = np.frombuffer(batch.column("codes")[r].as_buffer(), np.int32)
-            found = batch.column("found")[r].values
-            name = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last place is that of -1
-            if found is not None and len(found):
-                name[found.field("code").to_numpy()] = found.field("id").to_numpy()
-            yield _sequences([batch.column("chunk")[r].as_py()], [_squeezed(name[codes])])
+def _sequences(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["chunk", "names"])
+
+
+def _stored(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, names) of the rows of a table of sequences; rows of one chunk that follow each other come as one."""
+    chunk, names = batch.column("chunk").to_numpy(), batch.column("names")
+    for run in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
+        parts = [np.frombuffer(names[r].as_buffer(), np.int64) for r in run.tolist()]
+        if parts:
+            yield int(chunk[run[0]]), np.concatenate([x for part in parts for x in (_GAP, part)])
+
+
+def _named_words(piece: int):
+    def run(codes: pa.Table, found: pa.Table) -> pa.Table:
+        rows = []
+        for chunk, code in zip(codes.column("chunk").to_pylist(), codes.column("codes"), strict=True):
+            places = np.frombuffer(code.as_buffer(), np.int32)
+            name = np.full(int(places.max(initial=-1)) + 2, -1, np.int64)  # the last place is that of -1
+            name[found.column("code").to_numpy()] = found.column("id").to_numpy()
+            rows += _rows(chunk, _squeezed(name[places]), piece)
+        return pa.Table.from_batches([_sequences(rows)])
+
+    return run
 
 
 def _adjacent(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,10 +141,10 @@ def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, left, right, n): the distinct pairs of each sequence."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            _, left, right = _adjacent(np.frombuffer(batch.column("names")[r].as_buffer(), np.int64))
+        for number, names in _stored(batch):
+            _, left, right = _adjacent(names)
             left, right, n = _distinct(left, right)
-            chunk = pa.array(np.full(len(left), batch.column("chunk")[r].as_py(), np.int64))
+            chunk = pa.array(np.full(len(left), number, np.int64))
             yield pa.RecordBatch.from_arrays([chunk, pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], ["chunk", "left", "right", "n"])
 
 
@@ -145,55 +173,64 @@ class _Names:
         return _squeezed(out)
 
 
-def _named_by(shared):
+def _named_by(shared, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names(*shared.value)
         for batch in batches:
-            for r in range(batch.num_rows):
-                yield _sequences([batch.column("chunk")[r].as_py()], [names.of(np.frombuffer(batch.column("names")[r].as_buffer(), np.int64))])
+            for chunk, x in _stored(batch):
+                yield _sequences(_rows(chunk, names.of(x), piece))
 
     return run
 
 
-def _named_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            found = batch.column("found")[r].values
-            names = _Names(*(found.field(c).to_numpy() for c in ("left", "right", "id")))
-            yield _sequences([batch.column("chunk")[r].as_py()], [names.of(np.frombuffer(batch.column("names")[r].as_buffer(), np.int64))])
+def _named_pairs(piece: int):
+    def run(stored: pa.Table, found: pa.Table) -> pa.Table:
+        names = _Names(*(found.column(c).to_numpy() for c in ("left", "right", "id")))
+        rows = [row for batch in stored.to_batches() for chunk, x in _stored(batch) for row in _rows(chunk, names.of(x), piece)]
+        return pa.Table.from_batches([_sequences(rows)])
+
+    return run
+
+
+_NAMES = "chunk long, names binary"
+
+
+def _write_names(df: DataFrame) -> DataFrame:
+    return write_table(df, "names", {"parquet.block.size": BLOCK_BYTES})
 
 
-def _next_level(sequences: DataFrame, pairs: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
-    """The sequences of the names of pairs. Few frequent pairs are sent to all tasks, many are joined to the distinct pairs of each sequence."""
+def _next_level(sequences: DataFrame, pairs: DataFrame, frequent: DataFrame, most: int, piece: int) -> DataFrame:
+    """The sequences of the names of pairs. Few frequent pairs are sent to all tasks, many are joined to the distinct pairs of each sequence, which meet it chunk by chunk."""
     rows = frequent.select("left", "right", "id")
     if frequent.count() <= most:
         table = rows.toArrow()
         shared = sequences.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("left", "right", "id")))
-        return sequences.mapInArrow(_named_by(shared), sequences.schema)
-    found = pairs.join(rows, ["left", "right"]).groupBy("chunk").agg(F.collect_list(F.struct("left", "right", "id")).alias("found"))  # no more than the chunk has
-    return sequences.join(found, "chunk").mapInArrow(_named_pairs, sequences.schema)
+        return sequences.mapInArrow(_named_by(shared, piece), _NAMES)
+    found = pairs.join(rows, ["left", "right"]).select(F.col("chunk").alias("of"), "left", "right", "id")
+    return sequences.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_named_pairs(piece), _NAMES)
 
 
 def _with_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.monotonically_increasing_id())
 
 
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, broadcast_pairs: int = BROADCAST_PAIRS, text_bytes: int = TEXT_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, broadcast_pairs: int = BROADCAST_PAIRS, text_bytes: int = TEXT_BYTES, piece_names: int = PIECE_NAMES) -> tuple[DataFrame, list[DataFrame]]:
     """``(lang, n)``, the words of each language, and for each length a table of the phrases found ``least`` times or more.
 
     The tables have id, lang, a (occurrences), phrase, last (its last word), first_n and last_n (how often the
     first and the last 1, 2, ... words of it occur) and, from two words on, the ids left and right of its parents.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = write_table(texts.mapInArrow(_coded(text_bytes), "chunk long, codes binary, words array<struct<lang:string,word:string,n:long>>"), "coded")
-    entries = coded.select("chunk", F.posexplode("words").alias("code", "w"))
-    words = write_table(entries.groupBy("w.lang", "w.word").agg(F.sum("w.n").alias("a")), "words")
+    coded = write_table(texts.mapInArrow(_coded(text_bytes), "chunk long, codes binary, code int, lang string, word string, n long"), "coded")
+    entries = coded.where("code IS NOT NULL").select("chunk", "code", "lang", "word", "n")
+    words = write_table(entries.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
     totals = write_table(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     counts = F.array("a")
     level = write_table(_with_id(words.where(F.col("a") >= least)).select("id", "lang", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), counts.alias("first_n"), counts.alias("last_n"), "word"), "frequent")
-    found = entries.select("chunk", "code", "w.lang", "w.word").join(level.select("id", "lang", "word"), ["lang", "word"])
-    found = found.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("found"))
-    sequences = write_table(coded.select("chunk", "codes").join(found, "chunk").mapInArrow(_named_words, "chunk long, names binary"), "names")
+    found = entries.join(level.select("id", "lang", "word"), ["lang", "word"]).select(F.col("chunk").alias("of"), "code", "id")
+    # what a chunk has meets it sorted, group by group: no list of a chunk's words is held beside others
+    codes = coded.where("codes IS NOT NULL").select("chunk", "codes")
+    sequences = _write_names(codes.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_named_words(piece_names), _NAMES))
     release(coded, words)
     levels = [level.drop("word")]
     for k in range(2, longest + 1):
@@ -208,7 +245,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         )
         levels.append(write_table(named, "frequent"))
         if k < longest:
-            used, sequences = sequences, write_table(_next_level(sequences, pairs, often, broadcast_pairs), "names")
+            used, sequences = sequences, _write_names(_next_level(sequences, pairs, often, broadcast_pairs, piece_names))
             release(used)
     release(sequences)
     return totals, levels
@@ -226,7 +263,7 @@ def _cut(length: int, scale: int) -> Column:
     return F.least(*cuts) if len(cuts) > 1 else cuts[0]
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, subsumed_percent: int = SUBSUMED_PERCENT, scale: int = SCALE, broadcast_pairs: int = BROADCAST_PAIRS, text_bytes: int = TEXT_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, subsumed_percent: int = SUBSUMED_PERCENT, scale: int = SCALE, broadcast_pairs: int = BROADCAST_PAIRS, text_bytes: int = TEXT_BYTES, piece_names: int = PIECE_NAMES) -> DataFrame:
     """Phrases of 2 to ``longest`` words found ``least`` times or more, with the score of their weakest cut.
 
     ``docs`` needs lang (null: und) and text (null: empty). A-Z count as a-z; pieces end at ``.,;:!?`` and line
@@ -235,7 +272,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, su
     that stand inside a longer one, kept or not, of at least ``subsumed_percent`` of their occurrences. As a phrase is no
     more frequent than what it contains, the longer ones by one word tell. Repeated rows count each; no rows give none.
     """
-    totals, levels = frequent_phrases(docs, longest, least, broadcast_pairs, text_bytes)
+    totals, levels = frequent_phrases(docs, longest, least, broadcast_pairs, text_bytes, piece_names)
     out = None
     for k in range(2, longest + 1):
         level = levels[k - 1]

@@ -37,10 +37,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/placelake-{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: as safe as a checkpoint, but smaller and columnar."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
