@@ -43,26 +43,29 @@ def with_geocodes(records: DataFrame, places: DataFrame, address: str = "address
     return out.withColumn("address_check", check).drop("__address", "__status")
 
 
-def with_fetches(records: DataFrame, fetches: DataFrame, url: str = "website") -> DataFrame:
+def with_fetches(records: DataFrame, fetches: DataFrame, url: str = "website", by: tuple[str, ...] = ()) -> DataFrame:
     """``records`` with ``website_check``, from the format and ``fetches(url, status_code, error, final_url, html)``.
 
+    With ``by``, columns of both, a record takes the answers to its own requests alone, and not those that others with its URL got.
     Of several answers for a URL one without error counts before others, then the least status code, final URL and title; nulls come last.
 
     error is null, timeout or another failure; no row is a failure. ``title`` is that of the page that was found. A blank
     URL isn't valid, with confidence 0.
     """
     title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<title>(.*?)</title>", 1))
-    side = fetches.select(F.col("url").alias("__url"), "status_code", "error", F.col("final_url").alias("corrected_website"), F.when(title != "", title).alias("title"))
+    side = fetches.select(F.col("url").alias("__url"), *(F.col(c).alias(f"__{c}") for c in by), "status_code", "error", F.col("final_url").alias("corrected_website"), F.when(title != "", title).alias("title"))
     rest = ("status_code", "corrected_website", "title", "error")
     order = F.struct(F.col("error").isNotNull().alias("bad"), *(x for c in rest for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
-    side = side.groupBy("__url").agg(F.min_by(F.struct(*rest), order).alias("__best")).select("__url", "__best.*", F.lit(True).alias("__known"))
-    out = records.join(side, F.col(url) == F.col("__url"), "left")
+    key = ["__url", *(f"__{c}" for c in by)]
+    side = side.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("__best")).select(*key, "__best.*", F.lit(True).alias("__known"))
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in by), F.col(url) == F.col("__url"))
+    out = records.join(side, same, "left")
     good = F.coalesce(F.col("error").isNull() & (F.col("status_code") == 200), F.lit(False))
     score = F.when(F.col("__known").isNull(), K.FETCH_FAILED).when(F.col("error") == "timeout", K.FETCH_TIMEOUT).when(F.col("error").isNotNull() | F.col("status_code").isNull(), K.FETCH_FAILED)
     score = score.when(good, K.FETCH_GOOD).otherwise(K.FETCH_OTHER)
     u = F.coalesce(F.col(url), F.lit(""))
     check = F.when(u != "", both(V.url_confidence(u) >= 0.95, V.url_confidence(u), good, score)).otherwise(F.struct(F.lit(False).alias("is_valid"), F.lit(0.0).alias("confidence")))
-    return out.withColumn("website_check", check).drop("__url", "__known", "status_code", "error")
+    return out.withColumn("website_check", check).drop(*key, "__known", "status_code", "error")
 
 
 def mark_repeats(records: DataFrame, order: str, *key: str) -> DataFrame:

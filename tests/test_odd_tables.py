@@ -34,3 +34,11 @@ def test_pages_of_one_address(spark, tmp_path):
     rows = [(1, "http://a.org/1", "<title>one</title>"), (2, "http://a.org/1", "<title>other</title>"), (3, "http://a.org/en/1", "x"), (4, "http://a.org/en/1", "yy"), (5, "http://a.org/de/1", "x"), (6, "http://B.org/2", "ß")]
     got, want = both(spark, tmp_path, "fetched_pages", "pages", rows, "page_id long, url string, html string")
     assert got == want and len(got) == 5
+
+
+def test_checks_of_one_address(spark, tmp_path):
+    """Of pages with one URL each is judged by its own fetch."""
+    rows = [(i, f"http://a.org/{i // 4}", f"<title> no {i} </title>") for i in range(20)] + [(20, "no url", "<title>x</title>"), (21, "no url", None), (25, "", "<title>x</title>")]
+    rows = [r for r in rows if r[1]]
+    got, want = both(spark, tmp_path, "website_reachability", "pages", rows, "page_id long, url string, html string")
+    assert got == want and len(got) == 22
