@@ -51,3 +51,18 @@ def test_one_phone_and_street(spark):
 def test_resolve_without_base(spark):
     df = spark.createDataFrame([(None, "/a"), (None, "a"), (None, ""), (None, "?a"), (None, "http://b.org/a"), ("http://a.org", "/a")], "base string, href string")
     assert [r[0] for r in df.select(U.resolve(F.col("base"), F.col("href"))).collect()] == [None, None, None, None, "http://b.org/a", "http://a.org/a"]
+
+
+@pytest.mark.parametrize("dense,tile", [(0, 10), (10**9, 7), (12, 5)])
+def test_crowds_in_tiles(spark, dense, tile):
+    """Crowded blocks give the same by tiles, by rare keys, and by both, as by all pairs."""
+    df = spark.createDataFrame(some(4, 300), "ord long, name string, address string, city string, state string, zip_code string, phone string")
+    got, want = (sorted(map(tuple, D.links(df, "ord", **how).collect())) for how in ({"crowd": 3, "dense": dense, "tile": tile}, {"crowd": 10**9}))
+    assert got == want and sum(n > 0 for _, n, _ in want) > 30
+
+
+def test_a_crowd_that_is_all_alike(spark):
+    """12,000 records that are all alike, 144 million pairs: none of them becomes a row."""
+    df = spark.range(12_000).select(F.col("id").alias("ord"), F.concat(F.lit("Customer of the house "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"), F.lit("1 Main").alias("address"), F.lit("x").alias("city"), F.lit("89501").alias("zip_code"), F.lit("555").alias("phone"))
+    got = D.links(df, "ord")
+    assert got.groupBy("n_links").count().collect() == [(11_999, 12_000)] and got.where("first_link <> case when ord = 0 then 1 else 0 end").count() == 0
