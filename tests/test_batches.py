@@ -70,3 +70,26 @@ def test_stream(spark, tmp_path):
     go(chains(spark).where("corporation_name >= 'c09'"))
     rows, places = state(spark, folder)
     assert len(rows) == 11 and len(places) == len(set(places)) == 18
+
+
+def test_passes(spark, tmp_path):
+    """Few passes do what a pass per batch does, with chains that fail, resumed runs and names that several batches have."""
+    def kept(calls):
+        run = extract(calls)
+
+        def both(batch):
+            out = run(batch.drop("batch_number"))
+            return out.join(batch.select("corporation_name", "batch_number").distinct(), "corporation_name") if "batch_number" in batch.columns else out
+
+        return both
+
+    fine = chains(spark).where("corporation_name <> 'c05'")
+    for df, most in ((fine, 2), (chains(spark), 100)):
+        one, more, calls = str(tmp_path / f"one{most}"), str(tmp_path / f"more{most}"), []
+        numbers = B.run(df, extract([]), one, 3, order=("corporation_name",))
+        assert B.run(df, kept(calls), more, 3, order=("corporation_name",), passes=2) == numbers and len(calls) <= most
+        (a, x), (b, y) = state(spark, one), state(spark, more)
+        plain = lambda rows: {n: (r.url, r.facilities_count, r.success, r.error is None, r.batch_number) for n, r in rows.items()}
+        assert plain(a) == plain(b) and x == y
+        assert B.run(df, kept(calls), more, 3, order=("corporation_name",), passes=2) == []
+    assert B.run(chains(spark, 12), kept(calls), more, 3, order=("corporation_name",), passes=2) == [4]
