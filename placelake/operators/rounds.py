@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the cluster, for rows that are short to read and long to work on: few tasks read them all."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def _ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` sorted in ranges, one per partition, as written; ``_part`` and ``_place`` tell where each row lies."""
     seen = df.withColumn("_seen", F.monotonically_increasing_id())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from placelake import constants as K
 from placelake.operators import plain as P
 from placelake.operators import summaries as S
+from placelake.operators.rounds import spread
 from placelake.plans.registry import query, table
 
 
@@ -22,7 +23,8 @@ def plain_records(spark, d):
     rest = F.concat(F.lit("<p>Call (702) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("! "), k, F.lit("@mail.org! "), k % 90, F.lit(" Beds! Lic. #AB-"), k, F.lit("! Provider Number: 45-"), k, F.lit("!"), F.when(k % 2 == 1, "Memory Care").otherwise(""))
     services = F.concat(F.lit('</p><div class="services"><ul><li>'), "c_mktsegment", F.lit("<li>abc</ul></div>"))
     name = F.when(k % 10 != 0, F.concat(F.lit("<title>no</title><h1>"), "c_name", F.lit(" <b>Home!</b></h1>"))).otherwise("")
-    pages = table(spark, d, "customer").select("c_custkey", F.concat(name, place, rest, services).alias("html"))
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    pages = customers.select("c_custkey", F.concat(name, place, rest, services).alias("html"))
     return P.records(P.facts(pages, "c_custkey"), "c_custkey").withColumn("services", F.to_json("services"))
 
 

@@ -12,6 +12,7 @@ from placelake.operators import cascade as X
 from placelake.operators import outcomes as O
 from placelake.operators import plain as P
 from placelake.operators import summaries as S
+from placelake.plans.queries import QUERIES
 from placelake.sources import tables
 
 HOME = """<html><head><title>Oak Home | Site</title><script>skilled nursing</script></head><body><h1>Oak</h1><h2 class="facility-name">Oak</h2><span class="my-name">Oak Home</span>
@@ -107,3 +108,10 @@ def test_answers_told_twice(spark):
         assert {r.n: (r.corrected_address, round(r.address_check.confidence, 6)) for r in found.collect()} == {1: ("y", 0.85), 2: (None, 0.65)} and found.count() == 2
         seen = O.with_fetches(records, spark.createDataFrame(fetches[::turn], "url string, status_code int, error string, final_url string, html string"))
         assert {r.n: (r.title, r.website_check.is_valid) for r in seen.collect()} == {1: ("A", True), 2: (None, False)} and seen.count() == 2
+
+
+def test_pages_are_spread(spark, tmp_path):
+    """A table in one small file is worked on by more than one task."""
+    spark.range(100).selectExpr("id AS c_custkey", "'Home ' || id AS c_name", "'none' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    df = QUERIES["plain_records"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() > 1 and df.count() == 90
