@@ -171,7 +171,7 @@ def test_collocations_in_short_rows(spark, joined):
     """Sequences lie in short rows, cut between pieces of text only, and no list of a chunk's words or pairs is gathered."""
     texts = wordy(5, 150)
     got = collocations.collocations(frame(spark, texts), least=6, broadcast_pairs=joined, piece_names=5)
-    assert sorted(tuple(r) for r in collocations.top(got, 30).collect()) == brute_collocations(texts, 4, 6, 80, collocations.SCALE, 30)
+    assert sorted(tuple(r) for r in collocations.top(got, 30).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == brute_collocations(texts, 4, 6, 80, collocations.SCALE, 30)
     names = np.array([1, 2, 3, -1, 4, -1, 5, 6, 7, 8, 9, -1, 1])
     rows = [np.frombuffer(x, np.int64).tolist() for _, x in collocations._rows(7, names, 2)]
     assert rows == [[1, 2, 3], [-1, 4], [-1, 5, 6, 7, 8, 9], [-1, 1]]
