@@ -9,25 +9,23 @@ from placelake.llm.shared import checkpoint
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links(a, b)`` of longs in any direction -> ``(v, root)``, a row per vertex that has a link; root is the smallest vertex.
+    """``links(a, b)`` of longs in any direction -> ``(v, root)``, a row per vertex that isn't the smallest of its component; root is that one.
 
     Each round hangs the larger neighbours of every vertex, then all its smaller ones, under the
     smallest; rounds grow with the logarithm of the longest chain. Only aggregates that combine on
     the map side and joins that Spark can split are used, so a hub is no hot spot. Self-links and
-    repeated links are harmless; an empty table gives an empty one.
+    repeated links are harmless; an empty table gives an empty one. ``links`` is read several times,
+    so it should be a checkpoint or a stored table.
     """
-    e = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        hung = new.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-        open_ = hung.where("n > 1").select("a").unionByName(hung.join(new.select(F.col("a").alias("b")), "b", "left_semi").select("a"))
-        done = open_.isEmpty()
-        e = new
-        if done:
-            break
-    return e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+        e = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        # done where each vertex hangs under one other, and none that hangs has others under it
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("hung"), F.lit(0).alias("holds")).unionByName(e.select(F.col("b").alias("v"), F.lit(0).alias("hung"), F.lit(1).alias("holds")))
+        if ends.groupBy("v").agg(F.sum("hung").alias("hung"), F.max("holds").alias("holds")).where("hung > 1 or hung + holds > 1").isEmpty():
+            return e.select(F.col("a").alias("v"), F.col("b").alias("root"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from placelake.llm import bytehash as bh
 from placelake.llm.components import components
-from placelake.llm.shared import byte_arrays, checkpoint, chunks, write_table
+from placelake.llm.shared import byte_arrays, checkpoint, chunks, release, write_counted, write_table
 
 REGISTERS = 128
 ROWS_PER_BAND = 4
@@ -225,13 +225,13 @@ def _blocks(width: int, percent: int):
     return run
 
 
-def _with_common(rows: DataFrame, side: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` joined with ``side``, which has each ``key`` once and in ``size`` how many rows have it.
+def _with_common(rows: DataFrame, side: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has each ``key`` once and in ``size`` how many rows have it, ``total`` in all.
 
     The keys of more than one in MOST_COMMON of all rows, which are fewer than MOST_COMMON, are joined by broadcast, so that
     no task of the other join gets a great part of the rows.
     """
-    many = (side.agg(F.sum(size)).first()[0] or 0) // MOST_COMMON
+    many = total // MOST_COMMON
     common = F.broadcast(side.where(F.col(size) > many).select(key, F.struct(*(c for c in side.columns if c != key)).alias("__common")))
     flagged = rows.join(common, key, "left")
     often = flagged.where("__common is not null").select(*rows.columns, *(F.col("__common").getField(c).alias(c) for c in side.columns if c != key))
@@ -296,42 +296,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     work = _Links(docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63)))), vertices, width, percent)
 
     rows = vertices.select("v", F.posexplode(_band_keys()).alias("band", "key"))
-    shared = write_table(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    hits = write_table(_with_common(rows, shared, "key", "size").select("key", "band", "v", "size"), "buckets")
+    shared, total = write_counted(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared", F.sum("size"))
+    hits = write_table(_with_common(rows, shared, "key", "size", total).select("key", "band", "v", "size"), "buckets")
     texts = write_table(work.texts(hits.select("v").distinct()), "texts")
 
     degree = hits.groupBy("v").agg(F.sum("size").alias("degree"))
     pivot = hits.join(degree, "v").groupBy("key").agg(F.max(F.struct("degree", (-F.col("v")).alias("minus"))).alias("p"), F.count("*").alias("members"))
     pivot = write_table(pivot.select("key", (-F.col("p.minus")).alias("b"), "members"), "pivots")
-    pairs = _with_common(hits, pivot, "key", "members").where("v <> b").groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("bands"))
+    pairs = _with_common(hits, pivot, "key", "members", total).where("v <> b").groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("bands"))
     likely = work.likely(pairs).select("a", "b", "bands")
     best = checkpoint(likely.groupBy("a").agg(F.max(F.struct("bands", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b")))
     links = work.verified(best, texts)
-    labels = components(links)
+    rooted = write_table(hits.join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v")), "rooted")
+    release(shared, pivot, hits)
 
-    more = _across(hits, labels, vertices, texts, width, percent)
+    more = _across(rooted, vertices, texts, width, percent)
+    release(rooted, texts)
     labels = components(links.unionByName(more))
 
     groups = vertices.join(labels, "v", "left").select("vid", "rep", "copies", F.coalesce("root", "v").alias("root"))
     first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = write_table(groups.join(first, "root").select("vid", "copies", "component_id"), "groups")
+    groups, total = write_counted(groups.join(first, "root").select("vid", "copies", "component_id"), "groups", F.sum("copies"))
+    release(vertices)
     rows = sketched.select("doc_id", "vid", F.col("n").alias("n_shingles"))
-    worded = _with_common(rows.where("n_shingles > 0"), groups, "vid", "copies").select("vid", "doc_id", "n_shingles", "component_id")
+    worded = _with_common(rows.where("n_shingles > 0"), groups, "vid", "copies", total).select("vid", "doc_id", "n_shingles", "component_id")
     bare = rows.where("n_shingles = 0").select("vid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = worded.unionByName(bare)  # texts without words have no group
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("vid").alias("text_key"))
 
 
-def _across(hits: DataFrame, labels: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(rooted: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between bucket mates of different components; at least one of them is outside its bucket's largest component.
 
     The buckets are gone through with sketches alone first; only the vertices with a likely mate go on to a second pass with their texts.
     """
-    rows = hits.join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     major = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("members")).where("parts > 1")
-    major = write_table(major.select("key", F.col("m.root").alias("major"), "members"), "majors")
-    rows = checkpoint(_with_common(rows, major, "key", "members").select("key", "band", "v", "root", (F.col("root") != F.col("major")).alias("minor"), "size"))
+    major, total = write_counted(major.select("key", F.col("m.root").alias("major"), "members"), "majors", F.sum("members"))
+    rows = write_table(_with_common(rooted, major, "key", "members", total).select("key", "band", "v", "root", (F.col("root") != F.col("major")).alias("minor"), "size"), "divided")
 
     def met(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size")
@@ -341,7 +343,9 @@ def _across(hits: DataFrame, labels: DataFrame, vertices: DataFrame, texts: Data
 
     sketches = vertices.select("v", "n", "regs")
     likely = write_table(met(rows.join(sketches, "v")).mapInArrow(_likely_mates(percent), "v long").distinct(), "mates")
-    rows = rows.join(likely, "v")
-    rows = write_table(rows.drop("size"), "mated")
-    rows = _with_common(rows, rows.groupBy("key").agg(F.count("*").alias("size")), "key", "size")
-    return checkpoint(met(rows.join(sketches, "v").join(texts, "v")).mapInArrow(_blocks(width, percent), "a long, b long").distinct())
+    mated, total = write_counted(rows.join(likely, "v").drop("size"), "mated", F.count("*"))
+    sizes = mated.groupBy("key").agg(F.count("*").alias("size"))
+    sized = write_table(_with_common(mated, sizes, "key", "size", total), "sized")
+    more = checkpoint(met(sized.join(sketches, "v").join(texts, "v")).mapInArrow(_blocks(width, percent), "a long, b long").distinct())
+    release(major, rows, likely, mated, sized)
+    return more

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHUNK_BYTES = 1 << 20
 """Bytes of text that one vectorised step handles at once; a longer text is handled alone and whole."""
@@ -44,6 +44,13 @@ def write_table(df: DataFrame, name: str, options: dict | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, name: str, count: Column) -> tuple[DataFrame, int]:
+    """``write_table``, and the aggregate ``count`` of all rows, which is taken while they are written; 0 if it is null."""
+    seen = Observation()
+    table = write_table(df.observe(seen, count.alias("n")), name)
+    return table, seen.get["n"] or 0
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables of ``write_table`` that no later step reads, and the shuffles of steps that are done.
 
@@ -56,6 +63,7 @@ def release(*tables: DataFrame) -> None:
             if "/placelake-" in folder:  # never a table that isn't ours
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
         jvm.System.gc()
 
 
