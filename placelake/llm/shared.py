@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from placelake.llm import bytehash as bh
 
 CHUNK_BYTES = 1 << 20
 """Bytes of text that one vectorised step handles at once; a longer text is handled alone and whole."""
@@ -94,3 +98,63 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 def binary_column(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column of ``data`` cut at ``offsets``."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+SAMPLED = 60
+"""Rows per range, at most, by which bounds of ranges are found on the driver."""
+_FRONT = 16
+
+
+def _key(batch: pa.RecordBatch, keys: tuple[str, ...], place: tuple[str, str]) -> list[pa.Array]:
+    """The columns ``keys``, and a hash of ``place``, so that rows of one key lie in no order in which a few texts can stand together."""
+    a, b = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in place)
+    return [*(batch.column(k) for k in keys), pa.array(bh.mix(bh.mix(a) + b).view(np.int64))]
+
+
+def bounds_of(few: DataFrame, make: Callable, schema: str, keys: tuple[str, ...], place: tuple[str, str], ranges: int) -> list[tuple]:
+    """Keys that cut what ``make`` makes of a sample, ``few``, into at most ``ranges`` about equal parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in make(batches):
+            yield pa.RecordBatch.from_arrays(_key(batch, keys, place), [*keys, "salt"])
+
+    rows = few.mapInArrow(run, ", ".join(c for c in schema.split(", ") if c.split()[0] in keys) + ", salt long").select(*keys, "salt")
+    chosen = rows.orderBy(F.xxhash64(*keys, "salt")).limit(SAMPLED * ranges).collect()
+    chosen = sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in chosen)
+    return sorted({chosen[len(chosen) * i // ranges] for i in range(1, ranges)}) if chosen else []
+
+
+def _front(column: pa.Array) -> np.ndarray:
+    """Numbers, or the first bytes of binary values, in an order that never goes against that of the values."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    data, offsets = byte_arrays(column)
+    step = np.arange(_FRONT)
+    front = np.concatenate([data, np.zeros(_FRONT, np.uint8)])[offsets[:-1, None] + step]
+    front[step >= np.diff(offsets)[:, None]] = 0
+    return front.view(f"S{_FRONT}").ravel()
+
+
+def range_of(bounds: list[tuple], columns: list[pa.Array]) -> np.ndarray:
+    """How many of ``bounds`` lie before each row. Few rows begin as a bound does; those are compared whole."""
+    edge, front = _front(pa.array([b[0] for b in bounds], columns[0].type)), _front(columns[0])
+    at = np.searchsorted(edge, front, "left")
+    odd = np.flatnonzero(at < np.searchsorted(edge, front, "right"))
+    if len(odd):
+        take = pa.array(odd)
+        at[odd] = [bisect_left(bounds, row) for row in zip(*(c.take(take).to_pylist() for c in columns), strict=True)]
+    return at
+
+
+def in_ranges(rows: DataFrame, make: Callable, schema: str, keys: tuple[str, ...], place: tuple[str, str], bounds: list[tuple]) -> DataFrame:
+    """What ``make`` makes of the batches of ``rows``, range-partitioned over the cluster at ``bounds`` and sorted by ``keys``; ``place`` parts the rows of a frequent key.
+
+    ``repartitionByRange`` would make everything twice, first for its own sample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in make(batches):
+            part = range_of(bounds, _key(batch, keys, place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], [*batch.schema.names, "part"])
+
+    return rows.mapInArrow(run, f"{schema}, part int").repartitionById(len(bounds) + 1, "part").drop("part").sortWithinPartitions(*keys)

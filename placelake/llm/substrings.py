@@ -19,9 +19,10 @@ no suffix of a phrase that is longer than a trigger begins another one.
    all that they cover, then one by one. Here two hashes (62 and 62 bits or more) stand for the bytes.
 
 Windows with no trigger or with one between two unranked phrases, which are rare or periodic, go through step 4 only.
-Every order is range-partitioned with the text's id as its last key, so that a phrase or passage in
+Every order is range-partitioned with a hash of the place as its last key, so that a phrase or passage in
 a third of all texts is spread over many tasks; the rims of partitions are compared on the driver (a
-row or two per partition) in step 1, and go through step 4 after step 3.
+row or two per partition) in step 1, and go through step 4 after step 3. Where ranges end is found by
+what a few texts have (SAMPLED_TEXTS per range): it decides how even the tasks are, not what is found.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelake.llm import bytehash as bh
-from placelake.llm.shared import binary_column, byte_arrays, chunks, release, write_table
+from placelake.llm.shared import binary_column, bounds_of, byte_arrays, chunks, in_ranges, release, write_counted, write_table
 
 TRIGGER = 16
 TRIGGER_BITS = 6
@@ -45,6 +46,9 @@ TRIGGER_BITS = 6
 BLOCK = 6
 SHINGLE = 16
 """Words of the shingles that stand for windows of words."""
+SAMPLED_TEXTS = 4
+RANGE_BYTES = 1 << 19
+"""Of text per range at least, where there is too little for ``spark.sql.shuffle.partitions`` ranges."""
 SPAN, EMIT = 0, 1
 """What becomes of a region: all its windows are repeated, or some may be."""
 
@@ -175,13 +179,23 @@ _HELD = 1 << 17
 """Rows of a single phrase that are held before they are put out."""
 
 
-def dictionary(texts: DataFrame) -> tuple[DataFrame, dict[int, int], set[int]]:
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def one_in(share: int | Column, *key: str) -> Column:
+    """Whether a row is one of the sample of one in ``share``, by its key."""
+    return F.pmod(F.xxhash64(*key), F.lit(share) if isinstance(share, int) else share) == 0
+
+
+def dictionary(texts: DataFrame, few: DataFrame | None = None, ranges: int | None = None) -> tuple[DataFrame, dict[int, int], set[int]]:
     """``texts(id, h, text)`` -> the occurrences of repeated phrases (RANKED), which ranks of them are another one's, and which occur once after all.
 
-    Both are about the first and last phrase of each partition, so their number is at most twice that of partitions.
+    Both are about the first and last phrase of each partition, so their number is at most twice that of partitions, ``ranges``.
+    ``few`` is a sample of the texts.
     """
-    found = texts.mapInArrow(_phrases, _PHRASES)
-    ordered = found.repartitionByRange("phrase", "id", "place").sortWithinPartitions("phrase", "id", "place")
+    how = _phrases, _PHRASES, ("phrase",), ("id", "place")
+    ordered = in_ranges(texts, *how, bounds_of(texts if few is None else few, *how, ranges or _partitions(texts)))
     ranked = write_table(ordered.mapInArrow(_ranks, _RANKED), "ranks")
     edges = ranked.where("digest is not null").groupBy("rank", "digest").agg(F.count("*").alias("n")).collect()
     same: dict[int, int] = {}
@@ -382,8 +396,8 @@ def _bare_slices(width: int):
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over regions in order: what becomes of each, from the one before and the one after it. The rims of a partition are looked for."""
+def _neighbours(split: set[tuple[int, int]]):
+    """Over regions in order: what becomes of each, from the one before and the one after it. The rims of a partition are looked for; regions in ``split``, all of which are repeated, may go on in the next partition."""
 
     def judge(x: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
         key, region, at = (x.column(c).to_numpy() for c in ("key", "region", "at"))
@@ -393,24 +407,31 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:-1] = same_key[1:-1] & (region[1:] == region[:-1])
         if before:
             same_key[0], same[0] = key[0] == before[0], (key[0], region[0]) == before
+        else:
+            same[0] = (key[0], region[0]) in split
         if after:
             same_key[-1], same[-1] = key[-1] == after[0], (key[-1], region[-1]) == after
+        else:
+            same[-1] = (key[-1], region[-1]) in split
         again = (same[:-1] | same[1:]) & (at >= 0)
         rim = (same_key[:-1] & ~same[:-1]) | (same_key[1:] & ~same[1:]) | (at < 0)
         span, emit = np.flatnonzero(again), np.flatnonzero(rim)  # one of equal regions speaks for them among the others
         y = x.select(["id", "h", "lo", "n", "at"]).take(pa.array(np.concatenate([span, emit])))
         return pa.RecordBatch.from_arrays([*y.columns, pa.array(np.repeat(np.array([SPAN, EMIT], np.int32), [len(span), len(emit)]))], ["id", "h", "lo", "n", "at", "kind"])
 
-    held, before = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield judge(held, before, (batch.column("key")[0].as_py(), batch.column("region")[0].as_py()))
+                before = (held.column("key")[-1].as_py(), held.column("region")[-1].as_py())
+            held = batch
         if held is not None:
-            yield judge(held, before, (batch.column("key")[0].as_py(), batch.column("region")[0].as_py()))
-            before = (held.column("key")[-1].as_py(), held.column("region")[-1].as_py())
-        held = batch
-    if held is not None:
-        yield judge(held, before, None)
+            yield judge(held, before, None)
+
+    return run
 
 
 def _slices(width: int):
@@ -507,7 +528,7 @@ def _windows(width: int):
     return run
 
 
-def _cut(width: int):
+def _cut(width: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -536,9 +557,11 @@ def _cut(width: int):
                 kept = binary_column(data[~gone], left)
                 rest_of = np.concatenate([[0], np.cumsum(~all_)])[offsets]
                 rest = binary_column(data[~all_], rest_of)
+                own = dict(zip((f.name for f in part.column("row").type), part.column("row").flatten(), strict=True))
+                whole = pa.StructArray.from_arrays([own[c] if c in own else part.column(c) for c in carry], list(carry))
                 texts = [rest[i].as_py().decode("utf-8", "ignore") if x else None for i, x in enumerate((size > np.diff(rest_of)).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(of, pa.int32()), ranges), kept, pa.array(texts, pa.string())],
+                    [whole, pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(of, pa.int32()), ranges), kept, pa.array(texts, pa.string())],
                     ["row", "n_bytes", "n_removed", "spans", "kept", "rest"],
                 )
 
@@ -549,17 +572,21 @@ _SLICES = "id long, h long, lo int, n int, at int, text binary"
 _ORDERED = "key long, region long, id long, h long, lo int, n int, at long"
 
 
-def _judged(regions: DataFrame, name: str) -> DataFrame:
-    """Order regions by key and region over the cluster, and keep those that are repeated or may be in part."""
-    ordered = regions.repartitionByRange("key", "region", "id", "lo").sortWithinPartitions("key", "region")
-    return write_table(ordered.mapInArrow(_neighbours, _JUDGED), name)
+def _judged(rows: DataFrame, few: DataFrame, make, name: str, ranges: int) -> DataFrame:
+    """Order the regions that ``make`` makes of ``rows`` by key and region over the cluster, and keep those that are repeated or may be in part; ``few`` is a sample of ``rows``."""
+    how = make, _ORDERED, ("key", "region"), ("id", "lo")
+    found = bounds_of(few, *how, ranges)
+    # equal regions are parted only where they alone fill a range
+    bounds = [b if i and found[i - 1][:2] == b[:2] else b[:2] for i, b in enumerate(found)]
+    split = {b[:2] for b in bounds if len(b) > 2}
+    return write_table(in_ranges(rows, *how, bounds).mapInArrow(_neighbours(split), _JUDGED), name)
 
 
-def parse_suffixes(ranked: DataFrame, same: dict[int, int], once: set[int], width: int) -> DataFrame:
-    """The suffix array of the parse, over the cluster: its suffixes, up to ``width`` bytes, in order."""
-    whole = ranked.repartition("id", "h").sortWithinPartitions("id", "h", "place")
-    suffixes = whole.mapInArrow(_parse_suffixes(width, same, once), _SUFFIXES)
-    return suffixes.repartitionByRange("seq", "prev", "id", "at").sortWithinPartitions("seq", "prev", "id", "at")
+def parse_suffixes(ranked: DataFrame, same: dict[int, int], once: set[int], width: int, share: int = 1, ranges: int | None = None) -> DataFrame:
+    """The suffix array of the parse, over the cluster: its suffixes, up to ``width`` bytes, in order; one in ``share`` texts says where ranges end."""
+    how = _parse_suffixes(width, same, once), _SUFFIXES, ("seq", "prev"), ("id", "at")
+    whole, few = (x.repartition("id", "h").sortWithinPartitions("id", "h", "place") for x in (ranked, ranked.where(one_in(share, "id", "h"))))
+    return in_ranges(whole, *how, bounds_of(few, *how, ranges or _partitions(ranked)))
 
 
 def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -635,13 +662,18 @@ def _chosen_windows(words: int, width: int):
     return run
 
 
-def _repeated_words(texts: DataFrame, words: int, width: int) -> DataFrame:
+def _repeated_words(texts: DataFrame, few: DataFrame, words: int, width: int, ranges: int) -> DataFrame:
     """id, h, lo and n of the windows of ``words`` words whose bytes also stand anywhere else."""
-    texts = texts.where(F.octet_length("text") >= 2 * words - 1)
-    anchors = _judged(texts.mapInArrow(_anchors(words, width), _ORDERED), "anchors")
-    wanted = anchors.where(F.col("kind") == EMIT).groupBy("id", "h").agg(F.collect_set("at").alias("anchors"))
-    windows = texts.join(wanted, ["id", "h"]).mapInArrow(_chosen_windows(words, width), _ORDERED)
-    return anchors.unionByName(_judged(windows, "word-windows")).where(F.col("kind") == SPAN).select("id", "h", "lo", "n")
+    texts, few = (x.where(F.octet_length("text") >= 2 * words - 1) for x in (texts, few))
+    anchors = _judged(texts, few, _anchors(words, width), "anchors", ranges)
+    emit = anchors.where(F.col("kind") == EMIT)
+
+    def chosen(texts: DataFrame, emit: DataFrame) -> DataFrame:
+        return texts.join(emit.groupBy("id", "h").agg(F.collect_set("at").alias("anchors")).hint("shuffle_hash"), ["id", "h"])
+
+    some = chosen(few, emit.join(F.broadcast(few.select("id", "h")), ["id", "h"], "left_semi"))
+    windows = _judged(chosen(texts, emit), some, _chosen_windows(words, width), "word-windows", ranges)
+    return anchors.unionByName(windows).where(F.col("kind") == SPAN).select("id", "h", "lo", "n")
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = ("doc_id",), words: int | None = None) -> DataFrame:
@@ -657,38 +689,46 @@ def remove_repeats(docs: DataFrame, width: int = 400, carry: tuple[str, ...] = (
     and empty texts have no bytes and keep none; texts shorter than ``width`` stay whole; every one of
     several equal rows counts, so that equal texts of at least ``width`` bytes are removed in full.
     """
-    docs = docs.select(F.struct(*carry).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
+    fields = docs.select(*carry).schema.simpleString()
+    beside = [c for c in carry if c != "text"] or list(carry)  # the text goes along once
+    docs = docs.select(F.struct(*beside).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
     texts = docs.select("id", "h", "text")
-    long_ = texts.where(F.octet_length("text") >= width)
+    size = F.octet_length("text")
+    long_ = texts.where(size >= width)
     # of rows that are equal in id and text, one stands for all, and all its windows are repeated
-    more = long_.groupBy("id", "h").agg(F.count("*").alias("rows"), F.min(F.octet_length("text")).alias("bytes")).where("rows > 1").select("id", "h", F.lit(0).alias("lo"), (F.col("bytes") - width + 1).alias("n"))
+    more = long_.groupBy("id", "h").agg(F.count("*").alias("rows"), F.min(size).alias("bytes")).where("rows > 1").select("id", "h", F.lit(0).alias("lo"), (F.col("bytes") - width + 1).alias("n"))
     more = write_table(more, "equal-rows")
+    count = texts.agg(F.count_if(size >= width).alias("long"), F.count("*").alias("all"), F.sum(F.when(size >= width, size)).alias("bytes")).first()
+    ranges = min(_partitions(docs), 1 + (count["bytes"] or 0) // RANGE_BYTES)
+    least = max(1000, SAMPLED_TEXTS * ranges)
+    share, shorter = (1 + n // least for n in (count["long"], count["all"] - count["long"]))
+    few = write_table(texts.where(one_in(F.when(size >= width, share).otherwise(shorter), "id", "h")), "few")
     if not more.isEmpty():
         long_ = long_.dropDuplicates(["id", "h"])
 
-    ranked, same, once = dictionary(long_)
-    judged = write_table(parse_suffixes(ranked, same, once, width).mapInArrow(_lcp(width), _JUDGED), "regions")
+    ranked, same, once = dictionary(long_, few.where(size >= width), ranges)
+    judged = write_table(parse_suffixes(ranked, same, once, width, share, ranges).mapInArrow(_lcp(width), _JUDGED), "regions")
     release(ranked)
     wanted = judged.where(F.col("kind") == EMIT).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n", "at")).alias("regions"))
-    chosen = long_.join(wanted, ["id", "h"]).mapInArrow(_slices(width), _SLICES).unionByName(long_.mapInArrow(_bare_slices(width), _SLICES))
-    slices = write_table(chosen, "slices")
+    chosen = long_.join(wanted.hint("shuffle_hash"), ["id", "h"]).mapInArrow(_slices(width), _SLICES).unionByName(long_.mapInArrow(_bare_slices(width), _SLICES))
+    slices, n_cut = write_counted(chosen, "slices", F.count_if(F.col("at") >= 0))
 
-    blocks = _judged(slices.where("at >= 0").mapInArrow(_blocks(width), _ORDERED), "blocks")
+    cut = slices.where("at >= 0")
+    blocks = _judged(cut, cut.where(one_in(1 + n_cut // least, "id", "h", "lo")), _blocks(width), "blocks", ranges)
     wanted = blocks.where(F.col("kind") == EMIT).groupBy("id", "h", "at").agg(F.collect_set(F.struct("lo", "n")).alias("blocks"))
     name = (F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("at")  # of a region, as in _blocks
     bare = slices.where("at < 0").select("id", "h", "lo", "text", F.array(F.struct("lo", "n")).alias("blocks"))
-    rims = slices.where("at >= 0").select("id", "h", "lo", "text", name).join(wanted, ["id", "h", "at"]).drop("at").unionByName(bare)
+    rims = slices.where("at >= 0").select("id", "h", "lo", "text", name).join(wanted.hint("shuffle_hash"), ["id", "h", "at"]).drop("at").unionByName(bare)
     windows = write_table(rims.mapInArrow(_windows(width), "window long, other long, weight int, id long, h long, lo int, n int"), "windows")
     again = windows.where("window is not null").groupBy("window", "other").agg(F.sum("weight").alias("w")).where("w > 1").select("window", "other")
-    found = windows.where("weight = 1").join(again, ["window", "other"]).unionByName(windows.where("window is null"))
+    found = windows.where("weight = 1").join(again.hint("shuffle_hash"), ["window", "other"]).unionByName(windows.where("window is null"))
     found = write_table(found.select("id", "h", "lo", "n"), "found")
     release(slices, windows)
 
     repeats = judged.unionByName(blocks).where(F.col("kind") == SPAN).select("id", "h", "lo", "n").unionByName(found).unionByName(more).withColumn("passage", F.lit(False))
     if words:
-        repeats = repeats.unionByName(_repeated_words(texts, words, width).withColumn("passage", F.lit(True)))
+        repeats = repeats.unionByName(_repeated_words(texts, few, words, width, ranges).withColumn("passage", F.lit(True)))
     repeats = repeats.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n", "passage")).alias("repeats"))
     none = F.expr("cast(array() as array<struct<lo:int,n:int,passage:boolean>>)")
-    all_ = docs.join(repeats, ["id", "h"], "left").select("row", "text", F.coalesce("repeats", none).alias("repeats"))
-    row = docs.schema["row"].dataType.simpleString()
-    return all_.mapInArrow(_cut(width), f"row {row}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, rest string")
+    all_ = docs.join(repeats.hint("shuffle_hash"), ["id", "h"], "left").select("row", "text", F.coalesce("repeats", none).alias("repeats"))
+    return all_.mapInArrow(_cut(width, carry), f"row {fields}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, rest string")

@@ -139,6 +139,63 @@ def test_parse_order(spark, docs):
         assert suffixes[i][:shared] == suffixes[i - 1][:shared]
 
 
+def test_passages_in_many_ranges(spark, monkeypatch):
+    """Pairs of passages of 51 words are found wherever ranges of their windows end."""
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 1)
+    rng = random.Random(5)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(n))
+    rows = []
+    for i in range(400):
+        passage = some(51)
+        rows += [(2 * i + k, f"{a} {passage} {b}", f"{a}  {b}") for k, (a, b) in enumerate((some(12), some(12)) for _ in range(2))]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+        got = {r.row.doc_id: (r.rest, r.row.want) for r in substrings.remove_repeats(df, carry=("want", "text", "doc_id"), words=51).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(rows) and not [i for i, (rest, want) in got.items() if rest != want]
+
+
+def test_ranges(spark):
+    """Ranges follow one another in the order of their keys, also of short and empty ones, and a frequent key is spread evenly though few texts have it."""
+    rng = random.Random(3)
+    rows = [(bytes(rng.choices(b"\x00ab\xff", k=rng.randint(0, 20))), i, 0) for i in range(3000)] + [(b"often", 10**6 + i // 300, i % 300) for i in range(6000)]
+    df, schema = spark.createDataFrame(rows, "k binary, id long, at int"), "k binary, id long, at int"
+    how = iter, schema, ("k",), ("id", "at")
+    few = df.where("id % 10 = 0")
+    bounds = shared.bounds_of(few, *how, 30)
+    out = shared.in_ranges(df, *how, bounds).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((bytes(r.k), r.id, r["at"]) for r in out) == sorted(rows)
+    keys = [bytes(r.k) for r in sorted(out, key=lambda r: r.p)]
+    assert keys == sorted(keys)
+    count = {}
+    for r in out:
+        count[r.p] = count.get(r.p, 0) + 1
+    assert len(count) > 25 and max(count.values()) < 3 * len(rows) / 30
+
+
+def test_phrases_are_made_once(spark, monkeypatch):
+    """Where ranges end is found on a sample, so that the phrases aren't made twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches, real=substrings._phrases):
+        for batch in real(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(substrings, "_phrases", counted)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=500)) for _ in range(4000)]
+    want = sum(len(substrings.phrases(np.frombuffer(t.encode(), np.uint8), np.array([0, 500]))["row"]) for t in texts)
+    substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert want < made.value < 1.5 * want
+
+
 def thue_morse(n, letters):
     out = letters[0]
     while len(out) < n:
