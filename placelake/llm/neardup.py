@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from placelake.llm import bytehash as bh
 from placelake.llm.components import components
-from placelake.llm.shared import byte_arrays, checkpoint, chunks, release, write_counted, write_table
+from placelake.llm.shared import byte_arrays, chunks, release, write_counted, write_table
 
 REGISTERS = 128
 ROWS_PER_BAND = 4
@@ -271,7 +271,7 @@ class _Links:
         members = e.join(texts.withColumnRenamed("v", "a"), "a").select("b", "part", F.lit(True).alias("member"), "a", "text")
         pivots = e.select("b", "part").distinct().join(texts.withColumnRenamed("v", "b"), "b").select("b", "part", F.lit(False).alias("member"), F.col("b").alias("a"), "text")
         rows = members.unionByName(pivots).repartition("b", "part").sortWithinPartitions("b", "part", "member")
-        return checkpoint(rows.mapInArrow(_verify(self.width, self.percent), "a long, b long").distinct())
+        return write_table(rows.mapInArrow(_verify(self.width, self.percent), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -305,10 +305,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     pivot = write_table(pivot.select("key", (-F.col("p.minus")).alias("b"), "members"), "pivots")
     pairs = _with_common(hits, pivot, "key", "members", total).where("v <> b").groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("bands"))
     likely = work.likely(pairs).select("a", "b", "bands")
-    best = checkpoint(likely.groupBy("a").agg(F.max(F.struct("bands", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b")))
+    best = write_table(likely.groupBy("a").agg(F.max(F.struct("bands", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b")), "best")
     links = work.verified(best, texts)
-    rooted = write_table(hits.join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v")), "rooted")
-    release(shared, pivot, hits)
+    roots = components(links)
+    rooted = write_table(hits.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "rooted")
+    release(shared, pivot, hits, best, roots)
 
     more = _across(rooted, vertices, texts, width, percent)
     release(rooted, texts)
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     groups = vertices.join(labels, "v", "left").select("vid", "rep", "copies", F.coalesce("root", "v").alias("root"))
     first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
     groups, total = write_counted(groups.join(first, "root").select("vid", "copies", "component_id"), "groups", F.sum("copies"))
-    release(vertices)
+    release(vertices, links, more, labels)
     rows = sketched.select("doc_id", "vid", F.col("n").alias("n_shingles"))
     worded = _with_common(rows.where("n_shingles > 0"), groups, "vid", "copies", total).select("vid", "doc_id", "n_shingles", "component_id")
     bare = rows.where("n_shingles = 0").select("vid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -346,6 +347,6 @@ def _across(rooted: DataFrame, vertices: DataFrame, texts: DataFrame, width: int
     mated, total = write_counted(rows.join(likely, "v").drop("size"), "mated", F.count("*"))
     sizes = mated.groupBy("key").agg(F.count("*").alias("size"))
     sized = write_table(_with_common(mated, sizes, "key", "size", total), "sized")
-    more = checkpoint(met(sized.join(sketches, "v").join(texts, "v")).mapInArrow(_blocks(width, percent), "a long, b long").distinct())
+    more = write_table(met(sized.join(sketches, "v").join(texts, "v")).mapInArrow(_blocks(width, percent), "a long, b long").distinct(), "more")
     release(major, rows, likely, mated, sized)
     return more

@@ -9,6 +9,7 @@ from placelake.llm.shared import checkpoint, shared_dir
 
 SF = "/root/testdata/sf0.001"
 MOST_JOBS = 105
+MOST_TASKS = 620
 
 
 def test_jobs_and_tables(spark):
@@ -45,3 +46,27 @@ def test_components(spark):
     got = components(checkpoint(spark.createDataFrame(links, "a long, b long"))).collect()
     assert sorted((r.v, r.root) for r in got) == sorted((v, find(v)) for v in root if find(v) != v)
     assert components(checkpoint(spark.createDataFrame([], "a long, b long"))).isEmpty()
+
+
+def test_few_rows_in_many_partitions(spark):
+    """The driver keeps the metrics of every task: what a round leaves is read in few of them, however many partitions it was made in."""
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    links = checkpoint(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long"))
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("stars", "stars")
+    try:
+        got = components(links)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.v, r.root) for r in got.collect()) == [(2, 1), (3, 1), (5, 4)]
+    assert got.rdd.getNumPartitions() < 20
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("stars")]
+    stages = {s for j in jobs for s in j.stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    print("stars", len(jobs), "jobs", tasks, "tasks")
+    assert 0 < tasks <= MOST_TASKS
